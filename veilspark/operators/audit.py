@@ -79,29 +79,28 @@ def leaks(entries: DataFrame, rules: Rules) -> DataFrame:
     any text and what is found is looked up by equality among the distinct values.
     """
     ids = [c for c in entries.columns if c not in (*FIELDS, "raw")]
-    lines = entries.withColumn("line_json", audit_json())
-    rescanned = scan(
-        lines.select(*ids, "line_json"),
-        rules,
-        text="line_json",
-        keys=ids,
-        positions=False,
+    lines = entries.select(
+        *ids, F.col("type").alias("entry_type"), "raw", audit_json().alias("line")
     )
-    seen_again = (
-        rescanned.select(*ids, "raw")
-        .join(entries.select("raw").distinct(), "raw", "left_semi")
-        .select(*ids)
-        .distinct()
-        .withColumn("again", F.lit(True))
+    detected = scan(
+        lines.drop("raw"), rules, text="line", keys=[*ids, "entry_type"], positions=False
     )
-    return (
-        lines.join(seen_again, ids, "left")
-        .groupBy("type")
-        .agg(
-            F.count("*").alias("n_entries"),
-            F.count_if(F.contains("line_json", "raw")).alias("n_own_raw"),
-            F.count_if("again").alias("n_detected_again"),
-        )
+    again = (
+        detected.join(lines.select("raw").distinct(), "raw", "left_semi")
+        .groupBy(*ids, "entry_type")
+        .agg(F.lit(1).alias("one"))
+        .groupBy("entry_type")
+        .agg(F.count("*").alias("again"))
+    )
+    per_type = lines.groupBy("entry_type").agg(
+        F.count("*").alias("n_entries"),
+        F.count_if(F.contains("line", "raw")).alias("n_own_raw"),
+    )
+    return per_type.join(again, "entry_type", "left").select(
+        F.col("entry_type").alias("type"),
+        "n_entries",
+        "n_own_raw",
+        F.coalesce("again", F.lit(0)).alias("n_detected_again"),
     )
 
 
