@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..rules import Rules
 from .arrays import running_sum, with_positions
 from .recognizers import Recognizer, joint_guard
-from .sqltext import exists, keep, let, name, quote, transform, transform_at, zip_with
+from .sqltext import keep, let, name, quote, transform, transform_at, zip_with
 
 SPANS = "array<struct<start:int,end:int,raw:string>>"
 # line and col stay null until a scan places the hits
@@ -38,19 +38,24 @@ def detections(text: str, rules: Rules, python_spans: dict[int, str] | None = No
     recognizers run only on rows with a match of their joint guard.
     ``python_spans`` names the columns :func:`with_python_spans` has added.
     """
-    built_in, custom = [], []
+    built_in, custom, parts = [], [], []
     for order, recognizer in rules.recognizers():
-        (custom if recognizer.guard is None else built_in).append((order, recognizer))
-    parts = [_hits(text, order, r, python_spans or {}) for order, r in custom]
+        if recognizer.python_pattern is not None:
+            parts.append(_python_hits(order, recognizer, python_spans or {}))
+        else:
+            chosen = custom if recognizer.guard is None else built_in
+            chosen.append((order, recognizer))
+    if custom:
+        parts.append(_located(text, custom))
     if built_in:
         guard = joint_guard([r for _, r in built_in])
-        found = ", ".join(_hits(text, order, r, {}) for order, r in built_in)
-        parts.append(f"if(rlike({text}, {quote(guard)}), concat({found}), {NO_HITS})")
+        found = _located(text, built_in)
+        parts.append(f"if(rlike({text}, {quote(guard)}), {found}, {NO_HITS})")
     if not parts:
         return NO_HITS
-    hits = f"array_sort(concat({', '.join(parts)}))"
-    allowed = keep(hits, lambda h: f"NOT {rules.is_allowed(f'{h}.raw')}")
-    return f"coalesce({allowed}, {NO_HITS})"
+    together = parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
+    allowed = keep(together, lambda h: f"NOT {rules.is_allowed(f'{h}.raw')}")
+    return f"coalesce(array_sort({allowed}), {NO_HITS})"
 
 
 def copy_fields(item: str, fields: list[str]) -> str:
@@ -84,89 +89,107 @@ def with_python_spans(
     return df, columns
 
 
-def _hits(text: str, order: int, recognizer: Recognizer, python_spans: dict) -> str:
-    if recognizer.python_pattern is not None:
-        if order not in python_spans:
-            raise ValueError(
-                f"pattern {recognizer.python_pattern!r} needs Python's re and "
-                "works on plain text columns only, not inside nested values"
-            )
-        spans = name(python_spans[order])
-    elif recognizer.lead_group is None:
-        spans = _whole_match_spans(text, recognizer)
-    else:
-        spans = _grouped_spans(text, recognizer)
-    if recognizer.gate is not None:
-        spans = keep(spans, lambda s: recognizer.gate(f"{s}.raw"))
-    hit = transform(
-        spans,
-        lambda s: f"""struct({s}.start AS start, {s}.end AS `end`, {order} AS ord,
-            {quote(recognizer.type)} AS type, {s}.raw AS raw,
-            {str(recognizer.checked).lower()} AS checksum_valid,
-            {float(recognizer.confidence)!r}D AS confidence,
-            cast(NULL AS int) AS line, cast(NULL AS int) AS col)""",
-    )
-    return f"coalesce({hit}, {NO_HITS})"
+def _located(text: str, recognizers: list[tuple[int, Recognizer]]) -> str:
+    """The hits of several recognizers; the arithmetic on offsets is shared."""
+    candidates = ", ".join(_candidates(text, order, r) for order, r in recognizers)
+    passing = keep(f"array({candidates})", lambda c: f"{c}.gaps IS NOT NULL")
+    return f"flatten({transform(passing, _hits_of)})"
+
+
+def _candidates(text: str, order: int, recognizer: Recognizer) -> str:
+    """Matches of one pattern, whether each passes, and the text between them.
 
+    The text is gone through a second time, for the gaps, only where a match
+    passes its gate.
+    """
+    pattern = quote(recognizer.pattern)
+
+    def group(number: int) -> str:
+        return f"regexp_extract_all({text}, {pattern}, {number})"
+
+    def candidate(found: str, values: str, leads: str) -> str:
+        if recognizer.gate is None:
+            passed, any_passed = "cast(NULL AS array<boolean>)", f"size({found}) > 0"
+        else:
+            passed, any_passed = transform(values, recognizer.gate), None
+
+        def fields(ok: str) -> str:
+            return f"""named_struct('ord', {order}, 'type', {quote(recognizer.type)},
+                'checked', {str(recognizer.checked).lower()},
+                'confidence', {float(recognizer.confidence)!r}D,
+                'found', {found}, 'values', {values}, 'leads', {leads}, 'passed', {ok},
+                'gaps', if({any_passed or f"array_contains({ok}, true)"},
+                    split({text}, {pattern}, -1), NULL))"""
+
+        return let(passed, fields)
+
+    if recognizer.lead_group is None:
+        no_leads = "cast(NULL AS array<string>)"
+        return let(group(0), lambda found: candidate(found, found, no_leads))
+    return let(
+        group(0),
+        lambda found: let(
+            group(recognizer.value_group),
+            lambda values: candidate(found, values, group(recognizer.lead_group)),
+        ),
+    )
 
-def _extract(text: str, pattern: str, group: int) -> str:
-    return f"regexp_extract_all({text}, {quote(pattern)}, {group})"
 
+def _hits_of(candidate: str) -> str:
+    """Matches and gaps alternate: a running sum of lengths ends every match."""
 
-def _match_ends(text: str, pattern: str, found: str) -> str:
     def length(part: str) -> str:
         return f"coalesce(length({part}), 0)"
 
-    return running_sum(
+    ends = running_sum(
         zip_with(
-            f"split({text}, {quote(pattern)}, -1)",
-            found,
+            f"{candidate}.gaps",
+            f"{candidate}.found",
             lambda gap, match: f"{length(gap)} + {length(match)}",
         )
     )
 
+    def hit(raw: str, i: str, ends: str) -> str:
+        match, lead = f"get({candidate}.found, {i})", f"get({candidate}.leads, {i})"
+        start = f"get({ends}, {i}) - length({match}) + {length(lead)}"
+        return f"""if(coalesce(get({candidate}.passed, {i}), {candidate}.passed IS NULL),
+            {_hit(start, f"{start} + length({raw})", raw, candidate)}, NULL)"""
 
-def _whole_match_spans(text: str, recognizer: Recognizer) -> str:
-    gate = recognizer.gate or (lambda raw: "true")
-
-    def located(found: str) -> str:
-        def span(raw: str, i: str, ends: str) -> str:
-            end = f"get({ends}, {i})"
-            return f"struct({end} - length({raw}) AS start, {end} AS `end`, {raw} AS raw)"
-
-        return let(
-            _match_ends(text, recognizer.pattern, found),
-            lambda ends: transform_at(found, lambda raw, i: span(raw, i, ends)),
-        )
-
-    # the second pass over the text is made only where a candidate passes
     return let(
-        _extract(text, recognizer.pattern, 0),
-        lambda found: f"if({exists(found, gate)}, {located(found)}, NULL)",
+        ends,
+        lambda e: keep(
+            transform_at(f"{candidate}.values", lambda raw, i: hit(raw, i, e)),
+            lambda h: f"{h} IS NOT NULL",
+        ),
     )
 
 
-def _grouped_spans(text: str, recognizer: Recognizer) -> str:
-    """Spans of a group inside the match: the group before it gives the offset."""
-    pattern = recognizer.pattern
-
-    def located(found: str) -> str:
-        ends = f"slice({_match_ends(text, pattern, found)}, 1, size({found}))"
-        starts = zip_with(ends, found, lambda end, match: f"{end} - length({match})")
-        leads = _extract(text, pattern, recognizer.lead_group)
-        starts = zip_with(starts, leads, lambda start, lead: f"{start} + length({lead})")
-        values = _extract(text, pattern, recognizer.value_group)
-        return zip_with(
-            starts,
-            values,
-            lambda start, raw: f"struct({start} AS start, "
-            f"{start} + length({raw}) AS `end`, {raw} AS raw)",
-        )
+def _hit(start: str, end: str, raw: str, kind: str) -> str:
+    return f"""struct({start} AS start, {end} AS `end`, {kind}.ord AS ord,
+        {kind}.type AS type, {raw} AS raw, {kind}.checked AS checksum_valid,
+        {kind}.confidence AS confidence,
+        cast(NULL AS int) AS line, cast(NULL AS int) AS col)"""
 
-    return let(
-        _extract(text, pattern, 0),
-        lambda found: f"if(size({found}) > 0, {located(found)}, NULL)",
+
+def _python_hits(order: int, recognizer: Recognizer, python_spans: dict) -> str:
+    if order not in python_spans:
+        raise ValueError(
+            f"pattern {recognizer.python_pattern!r} needs Python's re and "
+            "works on plain text columns only, not inside nested values"
+        )
+    spans = name(python_spans[order])
+    if recognizer.gate is not None:
+        spans = keep(spans, lambda s: recognizer.gate(f"{s}.raw"))
+    kind = f"""named_struct('ord', {order}, 'type', {quote(recognizer.type)},
+        'checked', {str(recognizer.checked).lower()},
+        'confidence', {float(recognizer.confidence)!r}D)"""
+    hits = let(
+        kind,
+        lambda k: transform(
+            spans, lambda s: _hit(f"{s}.start", f"{s}.end", f"{s}.raw", k)
+        ),
     )
+    return f"coalesce({hits}, {NO_HITS})"
 
 
 def _python_finder(pattern: str):

@@ -41,117 +41,135 @@ def redact_columns(
     columns: Sequence[str] | None = None,
     numbers: str = "variant",
 ) -> DataFrame:
-    """Every string and number leaf of the columns masked, ``blocked`` added.
+    """Every string and number leaf of the columns masked.
 
+    Adds ``redactions``, those of all leaves of the row, and ``blocked``.
     ``numbers`` is the type a number column turns into: ``variant`` keeps the
     values without a hit as numbers, ``string`` gives text throughout.
     """
-    chosen = df.columns if columns is None else list(columns)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    walk = _LeafWalk(rules, numbers)
-    parts = [walk.redactions(name(c), types[c]) for c in chosen]
-    redactions = _concat([p for p in parts if p is not None])
-    return df.select(
-        *[
-            F.expr(walk.masked(name(c), types[c])).alias(c) if c in chosen else F.col(name(c))
-            for c in df.columns
-        ],
-        F.expr(is_blocked(redactions)).alias("blocked"),
-    )
+    if numbers not in ("variant", "string"):
+        raise ValueError("numbers must be variant or string")
+    chosen = list(df.columns if columns is None else columns)
+    kinds = {c: df.schema[c].dataType for c in chosen}
+    flat = [c for c in chosen if _leaf_text(name(c), kinds[c]) is not None]
+    deep = [c for c in chosen if c not in flat and _has_leaf(kinds[c])]
+
+    # First every leaf is redacted, then the results are put in place: the long
+    # redaction expression stands once for all flat columns and once for each
+    # leaf of a nested type.
+    texts = ", ".join(_leaf_text(name(c), kinds[c]) for c in flat)
+    done = df
+    if flat:
+        done = done.withColumn(
+            "_flat", F.expr(transform(f"array({texts})", lambda t: redact(t, rules)))
+        )
+    for c in deep:
+        done = done.withColumn(f"_done_{c}", F.expr(_done(name(c), kinds[c], rules)))
+
+    masked, parts = {}, []
+    for i, c in enumerate(flat):
+        result = f"get(_flat, {i})"
+        masked[c] = _masked_leaf(name(c), result, kinds[c], numbers)
+        parts.append(f"{result}.redactions")
+    for c in deep:
+        result = name(f"_done_{c}")
+        masked[c] = _masked(result, kinds[c], numbers)
+        parts.append(_redactions(result, kinds[c]))
+    together = f"concat({', '.join(parts)})" if parts else NO_REDACTIONS
+    return done.select(
+        *[F.expr(masked.get(c, name(c))).alias(c) for c in df.columns],
+        F.expr(together).alias("redactions"),
+    ).withColumn("blocked", F.expr(is_blocked("redactions")))
+
+
+def _leaf_text(value: str, kind: T.DataType) -> str | None:
+    """What is searched of a leaf, None for other types."""
+    if isinstance(kind, T.StringType):
+        return value
+    if isinstance(kind, _INTEGRAL):
+        return integer_text(value)
+    if isinstance(kind, T.DecimalType) and kind.scale == 0:
+        return integer_text(value)
+    if isinstance(kind, (*_FLOATING, T.DecimalType)):
+        return float_text(value)
+    return None
+
+
+def _has_leaf(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_leaf(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _has_leaf(kind.valueType)
+    if isinstance(kind, T.StructType):
+        return any(_has_leaf(f.dataType) for f in kind.fields)
+    return _leaf_text("x", kind) is not None
+
+
+def _rebuild(value: str, kind: T.DataType, leaf: Callable[[str, T.DataType], str]) -> str:
+    """The value with ``leaf`` applied to every leaf, keys and shape unchanged."""
+    if not _has_leaf(kind):
+        return value
+    if isinstance(kind, T.ArrayType):
+        return transform(value, lambda x: _rebuild(x, kind.elementType, leaf))
+    if isinstance(kind, T.MapType):
+        key, item = fresh("k"), fresh("x")
+        inner = _rebuild(item, kind.valueType, leaf)
+        return f"transform_values({value}, ({key}, {item}) -> {inner})"
+    if isinstance(kind, T.StructType):
+        fields = ", ".join(
+            f"{_rebuild(f'{value}.{name(f.name)}', f.dataType, leaf)} AS {name(f.name)}"
+            for f in kind.fields
+        )
+        return f"if({value} IS NULL, NULL, struct({fields}))"
+    return leaf(value, kind)
 
 
-def leaf_redactions(
-    df: DataFrame, rules: Rules, columns: Sequence[str] | None = None
-) -> DataFrame:
-    """The rows with the redactions of all leaves of the columns in one array."""
-    chosen = df.columns if columns is None else list(columns)
-    walk = _LeafWalk(rules, "string")
-    parts = [walk.redactions(name(c), df.schema[c].dataType) for c in chosen]
-    return df.withColumn(
-        "redactions", F.expr(_concat([p for p in parts if p is not None]))
+def _done(value: str, kind: T.DataType, rules: Rules) -> str:
+    """The same shape with each leaf turned into the leaf and its redaction."""
+
+    def leaf(x: str, k: T.DataType) -> str:
+        result = let(_leaf_text(x, k), lambda t: redact(t, rules))
+        return f"struct({x} AS original, {result} AS result)"
+
+    return _rebuild(value, kind, leaf)
+
+
+def _masked(done: str, kind: T.DataType, numbers: str) -> str:
+    return _rebuild(
+        done,
+        kind,
+        lambda x, k: _masked_leaf(f"{x}.original", f"{x}.result", k, numbers),
     )
 
 
-def _concat(parts: list[str]) -> str:
-    return f"concat({', '.join(parts)})" if parts else NO_REDACTIONS
-
-
-class _LeafWalk:
-    """Builds the two expressions of a type: its masked value, its redactions."""
-
-    def __init__(self, rules: Rules, numbers: str):
-        if numbers not in ("variant", "string"):
-            raise ValueError("numbers must be variant or string")
-        self.rules, self.numbers = rules, numbers
-
-    def _leaf_text(self, value: str, kind: T.DataType) -> str | None:
-        if isinstance(kind, T.StringType):
-            return value
-        if isinstance(kind, _INTEGRAL):
-            return integer_text(value)
-        if isinstance(kind, _FLOATING):
-            return float_text(value)
-        if isinstance(kind, T.DecimalType):
-            return integer_text(value) if kind.scale == 0 else float_text(value)
-        return None
-
-    def masked(self, value: str, kind: T.DataType) -> str:
-        if isinstance(kind, T.StringType):
-            return f"{redact(value, self.rules)}.text"
-        leaf = self._leaf_text(value, kind)
-        if leaf is not None:
-            return self._masked_number(value, leaf)
-        if isinstance(kind, T.ArrayType):
-            return transform(value, lambda x: self.masked(x, kind.elementType))
-        if isinstance(kind, T.MapType):
-            key, item = fresh("k"), fresh("x")
-            inner = self.masked(item, kind.valueType)
-            return f"transform_values({value}, ({key}, {item}) -> {inner})"
-        if isinstance(kind, T.StructType):
-            fields = ", ".join(
-                f"{self.masked(f'{value}.{name(f.name)}', f.dataType)} AS {name(f.name)}"
-                for f in kind.fields
-            )
-            return f"if({value} IS NULL, NULL, struct({fields}))"
-        return value
+def _masked_leaf(original: str, result: str, kind: T.DataType, numbers: str) -> str:
+    if isinstance(kind, T.StringType):
+        return f"{result}.text"
+    same = original if numbers == "variant" else f"{result}.text"
+    return (
+        f"if(size({result}.redactions) > 0, "
+        f"cast({result}.text AS {numbers}), cast({same} AS {numbers}))"
+    )
 
-    def _masked_number(self, value: str, leaf: str) -> str:
-        same = value if self.numbers == "variant" else leaf
-        return let(
-            redact_leaf(leaf, self.rules),
-            lambda done: f"if(size({done}.redactions) > 0, "
-            f"cast({done}.text AS {self.numbers}), cast({same} AS {self.numbers}))",
-        )
 
-    def redactions(self, value: str, kind: T.DataType) -> str | None:
-        leaf = self._leaf_text(value, kind)
-        if leaf is not None:
-            return f"{redact_leaf(leaf, self.rules)}.redactions"
-        if isinstance(kind, T.ArrayType):
-            return self._over(value, lambda x: self.redactions(x, kind.elementType))
-        if isinstance(kind, T.MapType):
-            return self._over(
-                f"map_values({value})", lambda x: self.redactions(x, kind.valueType)
-            )
-        if isinstance(kind, T.StructType):
-            parts = [
-                self.redactions(f"{value}.{name(f.name)}", f.dataType)
-                for f in kind.fields
-            ]
-            parts = [p for p in parts if p is not None]
-            return _concat(parts) if parts else None
-        return None
-
-    def _over(self, values: str, each: Callable[[str], str | None]) -> str | None:
-        item = fresh("x")
-        inner = each(item)
-        if inner is None:
-            return None
-        return f"coalesce(flatten(transform({values}, {item} -> {inner})), {NO_REDACTIONS})"
-
-
-def redact_leaf(text: str, rules: Rules) -> str:
-    return let(text, lambda t: redact(t, rules))
+def _redactions(done: str, kind: T.DataType) -> str:
+    """The redactions of all leaves of a value in one array."""
+    if not _has_leaf(kind):
+        return NO_REDACTIONS
+    if isinstance(kind, T.StructType):
+        parts = [
+            _redactions(f"{done}.{name(f.name)}", f.dataType)
+            for f in kind.fields
+            if _has_leaf(f.dataType)
+        ]
+        return f"concat({', '.join(parts)})"
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        is_map = isinstance(kind, T.MapType)
+        items = f"map_values({done})" if is_map else done
+        inner = kind.valueType if is_map else kind.elementType
+        each = transform(items, lambda x: _redactions(x, inner))
+        return f"coalesce(flatten({each}), {NO_REDACTIONS})"
+    return f"coalesce({done}.result.redactions, {NO_REDACTIONS})"
 
 
 # -- JSON texts ---------------------------------------------------------------

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import TYPE_LABELS
-from ..functions.masking import redact
-from ..functions.spans import HIT_FIELDS, with_python_spans
+from ..functions.masking import NO_REDACTIONS, is_blocked, redactions_of, splice
+from ..functions.spans import HIT_FIELDS, detections, with_python_spans
 from ..functions.sqltext import case, name, quote
 from ..rules import Rules
 
@@ -24,21 +24,25 @@ def redact_text(
     ``hits`` names a column of hits found before.
     """
     column = name(text)
+    # in steps, each with a small expression: one that holds everything takes the
+    # analyzer several times as long
     if hits is None:
         df, python_spans = with_python_spans(df, column, rules)
-        from_columns = python_spans
-    else:
-        from_columns = {}
-    expression = redact(column, rules, hits, from_columns)
-    done = df.withColumn("_done", F.expr(expression))
-    return (
-        done.withColumn("original_len", F.length(text))
-        .withColumn(text, F.col("_done.text"))
-        .withColumn("redactions", F.col("_done.redactions"))
-        .withColumn("n_redactions", F.size("_done.redactions"))
-        .withColumn("changed", F.size("_done.redactions") > 0)
-        .withColumn("blocked", F.col("_done.blocked"))
-        .drop("_done", *from_columns.values())
+        found = F.expr(detections(column, rules, python_spans))
+        df = df.withColumn("_found", found).drop(*python_spans.values())
+        hits = "_found"
+    done = df.withColumn(
+        "redactions",
+        F.expr(f"coalesce({redactions_of(name(hits), rules)}, {NO_REDACTIONS})"),
+    ).drop("_found")
+    return done.withColumns(
+        {
+            text: F.expr(splice(column, "redactions", rules.masking.keeps_length)),
+            "original_len": F.length(text),
+            "n_redactions": F.size("redactions"),
+            "changed": F.size("redactions") > 0,
+            "blocked": F.expr(is_blocked("redactions")),
+        }
     )
 
 

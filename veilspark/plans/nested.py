@@ -159,7 +159,8 @@ def redact_chat_turns(spark, folder):
 
 @query(
     "redact_columns",
-    f"""{_NUMBERS_SQL} SELECT k, CASE WHEN {O.id_card_ok("id_no")}
+    f"""{_NUMBERS_SQL} SELECT k, CASE WHEN {O.id_card_ok("id_no")} OR CASE
+            WHEN regexp_full_match(id_no, '\\d+') THEN {O.luhn_ok("id_no")} OR {O.uscc_ok("id_no")} ELSE false END
             THEN {O.mask("partial", "id_no")} ELSE id_no END AS id_no,
         {_PHONE_MASK} AS phone,
         CASE WHEN {O.luhn_ok("pan")} THEN {_PAN_MASK} ELSE pan END AS pan,
