@@ -38,7 +38,7 @@ class Recognizer:
     confidence: float
     gate: Callable[[str], str] | None = None
     checked: bool = False  # the gate is a check digit
-    guard: str | None = None
+    guard: tuple[str, ...] = ()  # alternatives; a hit contains one of them
     lead_group: int | None = None  # group before the value, else the match is it
     value_group: int = 0
     python_pattern: str | None = None  # for patterns only Python's re can run
@@ -60,14 +60,14 @@ BUILT_IN = (
         confidence=CONFIDENCE["id_card"],
         gate=GATES["id_card"],
         checked=True,
-        guard=rf"{D}{{11}}",
+        guard=(rf"{D}{{11}}",),
     ),
     Recognizer(
         type="phone",
         name="phone",
         pattern=rf"1(?<!{D}1)[3-9]{D}{{9}}(?!{D})",
         confidence=CONFIDENCE["phone"],
-        guard=rf"{D}{{11}}",
+        guard=(rf"{D}{{11}}",),
     ),
     Recognizer(
         type="bank_card",
@@ -80,7 +80,7 @@ BUILT_IN = (
         confidence=CONFIDENCE["bank_card"],
         gate=GATES["bank_card"],
         checked=True,
-        guard=rf"{D}{{11}}|{D}{{4}}[ -]{D}{{4}}[ -]{D}{{4}}",
+        guard=(rf"{D}{{11}}", rf"{D}{{4}}[ -]{D}{{4}}[ -]{D}{{4}}"),
     ),
     Recognizer(
         type="uscc",
@@ -92,7 +92,7 @@ BUILT_IN = (
         confidence=CONFIDENCE["uscc"],
         gate=GATES["uscc"],
         checked=True,
-        guard=rf"{D}{{6}}[{_ALNUM}]{{10}}",
+        guard=(rf"{D}{{6}}[{_ALNUM}]{{10}}",),
     ),
     Recognizer(
         type="intranet_domain",
@@ -103,7 +103,7 @@ BUILT_IN = (
         ),
         confidence=CONFIDENCE["private_ip"],
         gate=octets_valid,
-        guard=rf"{D}\.{D}{{1,3}}\.{D}",
+        guard=(rf"{D}\.{D}{{1,3}}\.{D}",),
     ),
     Recognizer(
         type="intranet_domain",
@@ -116,11 +116,12 @@ BUILT_IN = (
             rf"(?<={_SUFFIX})(?![{W}.-])"
         ),
         confidence=CONFIDENCE["intranet_host"],
-        guard=rf"{_SUFFIX}(?![{W}.-])",
+        guard=(rf"{_SUFFIX}(?![{W}.-])",),
     ),
 )
 
 
 def joint_guard(recognizers: list[Recognizer]) -> str:
     """Every guard starts with a digit or a dot, so most characters fail at once."""
-    return rf"(?=[.{D}])(?:{'|'.join(dict.fromkeys(r.guard for r in recognizers))})"
+    alternatives = dict.fromkeys(g for r in recognizers for g in r.guard)
+    return rf"(?=[.{D}])(?:{'|'.join(alternatives)})"

@@ -43,7 +43,7 @@ def detections(text: str, rules: Rules, python_spans: dict[int, str] | None = No
         if recognizer.python_pattern is not None:
             parts.append(_python_hits(order, recognizer, python_spans or {}))
         else:
-            chosen = custom if recognizer.guard is None else built_in
+            chosen = built_in if recognizer.guard else custom
             chosen.append((order, recognizer))
     if custom:
         parts.append(_located(text, custom))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed_values import TYPE_LABELS
 from ..functions.masking import NO_REDACTIONS, is_blocked, redactions_of, splice
 from ..functions.spans import HIT_FIELDS, detections, with_python_spans
-from ..functions.sqltext import case, name, quote
+from ..functions.sqltext import case, keep, name, quote, transform
 from ..rules import Rules
 
 
@@ -72,8 +72,14 @@ def redact_given_hits(
 
 
 def released(redacted: DataFrame) -> DataFrame:
-    """What may leave: rows without a blocking redaction."""
-    return redacted.filter("NOT blocked")
+    """What may leave: rows without a blocking redaction.
+
+    Dropped by an explode of none or one row. Catalyst would push a filter on
+    ``blocked`` below the redaction and evaluate that a second time for it.
+    """
+    row = F.struct(*[F.col(name(c)) for c in redacted.columns])
+    kept = F.when(~F.col("blocked"), F.array(row)).otherwise(F.array())
+    return redacted.select(F.explode(kept).alias("row")).select("row.*")
 
 
 def with_route(redacted: DataFrame) -> DataFrame:
@@ -92,11 +98,16 @@ def explode_redactions(redacted: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def counts_by_type(redacted: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Redactions per row and type."""
-    return (
-        explode_redactions(redacted, keys)
-        .groupBy(*keys, "type")
-        .agg(F.count("*").alias("n"))
+    """Redactions per row and type, counted inside the row: no shuffle."""
+    types = f"array_distinct({transform('redactions', lambda r: f'{r}.type')})"
+    counts = transform(
+        types,
+        lambda t: f"struct({t} AS type, cast(size("
+        + keep("redactions", lambda r: f"{r}.type = {t}")
+        + ") AS bigint) AS n)",
+    )
+    return redacted.select(*keys, F.explode(F.expr(counts)).alias("c")).select(
+        *keys, "c.*"
     )
 
 

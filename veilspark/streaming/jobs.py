@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.audit import audit_entries, audit_json
-from ..operators.redaction import redact_text, with_route
+from ..operators.redaction import redact_text, released, with_route
 from ..rules import Rules
 from ..sources.readers import parse_audit_lines
 
@@ -28,12 +28,7 @@ def stream_redact(
 ) -> StreamingQuery:
     """Masked rows appended to ``path``; blocked rows are left out."""
     masked = redact_text(stream, rules, text)
-    # the row is blanked inside the projection and dropped by an outer explode, so
-    # the redaction is not evaluated a second time for a filter
-    row = F.struct(*[F.col(c) for c in stream.columns], "n_redactions", "original_len")
-    kept = masked.select(
-        F.explode(F.when(~F.col("blocked"), F.array(row)).otherwise(F.array())).alias("row")
-    ).select("row.*")
+    kept = released(masked).select(*stream.columns, "n_redactions", "original_len")
     return (
         kept.writeStream.format("parquet")
         .option("path", path)
