@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from .sqltext import fresh, let, transform, transform_at
 
-BLOCK = 4096
+BLOCK = 4096  # a power of two
 
 
 def running(values: str, combine: Callable[[str, str], str]) -> str:
@@ -63,7 +63,8 @@ def running_max(values: str) -> str:
 
 def blocks_of(text: str) -> str:
     # [\s\S] is one character whatever it is, line ends included
-    return f"regexp_extract_all({text}, r'[\\s\\S]{{1,{BLOCK}}}', 0)"
+    blocks = f"regexp_extract_all({text}, r'[\\s\\S]{{1,{BLOCK}}}', 0)"
+    return f"if(length({text}) <= {BLOCK}, array({text}), {blocks})"
 
 
 def block_at(offset: str) -> str:
@@ -74,7 +75,7 @@ def cut(blocks: str, start: str, end: str) -> str:
     """``text[start:end]``, 0-based characters, from the blocks of the text."""
 
     def between(a: str, b: str) -> str:
-        return let(
+        across = let(
             f"struct({block_at(a)} AS p, {block_at(b)} AS q, {a} % {BLOCK} AS i, {b} % {BLOCK} AS j)",
             lambda at: f"""CASE
                 WHEN {at}.p > {at}.q OR ({at}.p = {at}.q AND {at}.i >= {at}.j) THEN ''
@@ -86,6 +87,8 @@ def cut(blocks: str, start: str, end: str) -> str:
                     coalesce(substr(get({blocks}, {at}.q), 1, {at}.j), ''))
                 END""",
         )
+        within = f"substr(get({blocks}, 0), {a} + 1, {b} - {a})"
+        return f"if(size({blocks}) = 1, {within}, {across})"
 
     return between(start, end)
 
@@ -112,7 +115,9 @@ def with_positions(text: str, hits: str, build: Callable[[str, str, str], str])
                 f"{i} * {BLOCK} + length({b}) - {after_last_newline(b)}, 0)",
             )
         )
-        return f"struct({newlines} AS newlines, {starts} AS starts)"
+        table = f"struct({newlines} AS newlines, {starts} AS starts)"
+        # a text of one block has nothing before the block
+        return f"if(size({blocks}) = 1, NULL, {table})"
 
     def place(blocks: str, lines: str) -> str:
         def one(hit: str) -> str:

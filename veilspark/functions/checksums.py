@@ -12,7 +12,7 @@ from .fixed_values import (
     USCC_ALPHABET,
     USCC_WEIGHTS,
 )
-from .sqltext import fresh, let, quote, zip_with
+from .sqltext import fresh, let, quote, transform_at, zip_with
 
 DIGIT = r"\p{Nd}"
 
@@ -51,9 +51,9 @@ def _weighted_sum(
     listed = ", ".join(map(str, weights))
     return _sum(
         zip_with(
-            f"sequence(1, {len(weights)})",
+            f"slice(split({value}, ''), 1, {len(weights)})",
             f"array({listed})",
-            lambda at, weight: f"{number_of(f'substr({value}, {at}, 1)')} * {weight}",
+            lambda char, weight: f"{number_of(char)} * {weight}",
         )
     )
 
@@ -66,7 +66,7 @@ def id_card_valid(value: str) -> str:
     """GB 11643: 17 weighted digits, the 18th character is the mod-11 check code."""
 
     def code(digits: str) -> str:
-        total = _weighted_sum(digits, ID_CARD_WEIGHTS, lambda c: f"try_cast({c} AS int)")
+        total = _weighted_sum(digits, ID_CARD_WEIGHTS, lambda c: f"(ascii({c}) - 48)")
         return f"substr({quote(ID_CARD_CHECK_CODES)}, {total} % 11 + 1, 1)"
 
     return _only_if(
@@ -82,21 +82,17 @@ def luhn_valid(value: str) -> str:
     not their numeric value; kept so because the rule is defined that way.
     """
 
-    def total(flipped: str) -> str:
-        at = fresh("at")
-        digit = f"(ascii(substr({flipped}, {at}, 1)) - 48)"
-        term = f"""CASE WHEN {at} % 2 = 1 THEN {digit}
-            WHEN {digit} * 2 > 9 THEN {digit} * 2 - 9 ELSE {digit} * 2 END"""
-        return _sum(f"transform(sequence(1, length({flipped})), {at} -> {term})")
+    def term(char: str, at: str) -> str:
+        digit = f"(ascii({char}) - 48)"
+        return f"if({at} % 2 = 0, {digit}, 2 * {digit} - if({digit} > 4, 9, 0))"
 
-    return _only_if(
-        matches(value, KIND_SHAPES["luhn"]),
-        f"{let(f'reverse({value})', total)} % 10 = 0",
-    )
+    terms = transform_at(f"split(reverse({value}), '')", term)
+    return _only_if(matches(value, KIND_SHAPES["luhn"]), f"{_sum(terms)} % 10 = 0")
 
 
 def bank_card_valid(value: str) -> str:
-    return _only_if(matches(value, KIND_SHAPES["bank_card"]), luhn_valid(value))
+    length = f"length({value}) BETWEEN 13 AND 19"
+    return f"coalesce({length} AND {luhn_valid(value)}, false)"
 
 
 def uscc_valid(value: str) -> str:

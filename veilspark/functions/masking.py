@@ -53,6 +53,10 @@ def masked_preview(masked: str) -> str:
 
 
 def dedupe_spans(hits: str) -> str:
+    return let(hits, _dedupe)
+
+
+def _dedupe(hits: str) -> str:
     """One hit per identical span: the most confident, the first on a tie.
 
     Ordered by start, the longest first on equal starts: the order in which the
@@ -72,7 +76,10 @@ def dedupe_spans(hits: str) -> str:
         )
         return transform(f"filter({items}, ({x}, {i}) -> {new_span})", lambda y: f"{y}.hit")
 
-    return let(f"array_sort({ranked})", firsts)
+    # hits come ordered by (start, end): with all starts different nothing is to do
+    starts = f"array_distinct({transform(hits, lambda h: f'{h}.start')})"
+    full = let(f"sort_array({ranked})", firsts)
+    return f"if(size({starts}) = size({hits}), {hits}, {full})"
 
 
 def redactions_of(hits: str, rules: Rules) -> str:
@@ -111,9 +118,13 @@ def splice(text: str, redactions: str, keeps_length: bool) -> str:
         return f"concat(array_join({transform_at(redactions, piece)}, ''), {tail})"
 
     ends = transform(redactions, lambda r: f"{r}.end")
+    overlaps = transform_at(
+        redactions, lambda r, i: f"{r}.start < get({redactions}, {i} - 1).end"
+    )
+    reach = f"if(array_contains({overlaps}, true), {running_max(ends)}, {ends})"
     spliced_text = let(
         blocks_of(text),
-        lambda blocks: let(running_max(ends), lambda reach: spliced(blocks, reach)),
+        lambda blocks: let(reach, lambda r: spliced(blocks, r)),
     )
     return f"if(size({redactions}) = 0, {text}, {spliced_text})"
 

@@ -86,8 +86,8 @@ BUILT_IN = (
         type="uscc",
         name="uscc",
         pattern=(
-            rf"[{_BASE31}](?<![{_ALNUM}][{_BASE31}])[{_BASE31}]"
-            rf"{D}{{6}}[{_BASE31}]{{10}}(?![{_ALNUM}])"
+            rf"[{_BASE31}]{{2}}{D}(?<![{_ALNUM}][{_BASE31}]{{2}}{D})"
+            rf"{D}{{5}}[{_BASE31}]{{10}}(?![{_ALNUM}])"
         ),
         confidence=CONFIDENCE["uscc"],
         gate=GATES["uscc"],

@@ -1,8 +1,8 @@
 """Detection: from a text to an array of hits with offsets.
 
-Spark's regex functions return values, not offsets. But the parts between the
-matches (``split``) and the matches (``regexp_extract_all``) alternate, so a
-running sum over their lengths gives the end of every match.
+Spark's regex functions return values, not offsets. But cut at its matches a text
+is gap, match, gap, match, .., gap, so a running sum over the lengths of the parts
+gives the end of every match.
 """
 
 from __future__ import annotations
@@ -17,7 +17,17 @@ from pyspark.sql import functions as F
 from ..rules import Rules
 from .arrays import running_sum, with_positions
 from .recognizers import Recognizer, joint_guard
-from .sqltext import keep, let, name, quote, transform, transform_at, zip_with
+from .sqltext import (
+    exists,
+    fresh,
+    keep,
+    let,
+    name,
+    quote,
+    transform,
+    transform_at,
+    zip_with,
+)
 
 SPANS = "array<struct<start:int,end:int,raw:string>>"
 # line and col stay null until a scan places the hits
@@ -38,15 +48,14 @@ def detections(text: str, rules: Rules, python_spans: dict[int, str] | None = No
     recognizers run only on rows with a match of their joint guard.
     ``python_spans`` names the columns :func:`with_python_spans` has added.
     """
-    built_in, custom, parts = [], [], []
+    built_in, parts = [], []
     for order, recognizer in rules.recognizers():
-        if recognizer.python_pattern is not None:
+        if recognizer.guard:
+            built_in.append((order, recognizer))
+        elif recognizer.python_pattern is not None:
             parts.append(_python_hits(order, recognizer, python_spans or {}))
         else:
-            chosen = built_in if recognizer.guard else custom
-            chosen.append((order, recognizer))
-    if custom:
-        parts.append(_located(text, custom))
+            parts.append(_custom_hits(text, order, recognizer))
     if built_in:
         guard = joint_guard([r for _, r in built_in])
         found = _located(text, built_in)
@@ -55,7 +64,7 @@ def detections(text: str, rules: Rules, python_spans: dict[int, str] | None = No
         return NO_HITS
     together = parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
     allowed = keep(together, lambda h: f"NOT {rules.is_allowed(f'{h}.raw')}")
-    return f"coalesce(array_sort({allowed}), {NO_HITS})"
+    return f"coalesce(sort_array({allowed}), {NO_HITS})"
 
 
 def copy_fields(item: str, fields: list[str]) -> str:
@@ -91,83 +100,168 @@ def with_python_spans(
 
 def _located(text: str, recognizers: list[tuple[int, Recognizer]]) -> str:
     """The hits of several recognizers; the arithmetic on offsets is shared."""
-    candidates = ", ".join(_candidates(text, order, r) for order, r in recognizers)
-    passing = keep(f"array({candidates})", lambda c: f"{c}.gaps IS NOT NULL")
-    return f"flatten({transform(passing, _hits_of)})"
 
+    def all_of(text: str) -> str:
+        candidates = ", ".join(_candidates(text, order, r) for order, r in recognizers)
+        passing = keep(f"array({candidates})", lambda c: f"{c}.pieces IS NOT NULL")
+        return f"flatten({transform(passing, _hits_of)})"
 
-def _candidates(text: str, order: int, recognizer: Recognizer) -> str:
-    """Matches of one pattern, whether each passes, and the text between them.
+    return let(_without_mark(text), all_of)
 
-    The text is gone through a second time, for the gaps, only where a match
-    passes its gate.
-    """
-    pattern = quote(recognizer.pattern)
 
-    def group(number: int) -> str:
-        return f"regexp_extract_all({text}, {pattern}, {number})"
+# A built-in pattern cannot tell one control character from another, so those that
+# serve as marks are swapped for a third one; offsets stay as they are.
+_MARK = "\x01"
+FEW = 20
 
-    def candidate(found: str, values: str, leads: str) -> str:
-        if recognizer.gate is None:
-            passed, any_passed = "cast(NULL AS array<boolean>)", f"size({found}) > 0"
-        else:
-            passed, any_passed = transform(values, recognizer.gate), None
 
-        def fields(ok: str) -> str:
-            return f"""named_struct('ord', {order}, 'type', {quote(recognizer.type)},
-                'checked', {str(recognizer.checked).lower()},
-                'confidence', {float(recognizer.confidence)!r}D,
-                'found', {found}, 'values', {values}, 'leads', {leads}, 'passed', {ok},
-                'gaps', if({any_passed or f"array_contains({ok}, true)"},
-                    split({text}, {pattern}, -1), NULL))"""
+def _without_mark(text: str) -> str:
+    mark, other = quote(_MARK), quote("\x03")
+    return f"if(contains({text}, {mark}), translate({text}, {mark}, {other}), {text})"
 
-        return let(passed, fields)
 
-    if recognizer.lead_group is None:
-        no_leads = "cast(NULL AS array<string>)"
-        return let(group(0), lambda found: candidate(found, found, no_leads))
-    return let(
-        group(0),
-        lambda found: let(
-            group(recognizer.value_group),
-            lambda values: candidate(found, values, group(recognizer.lead_group)),
-        ),
-    )
+def _candidates(text: str, order: int, recognizer: Recognizer) -> str:
+    """The text cut at the matches of one pattern, in one pass: gap, match, gap,
+    match, .., gap. Null where no match passes its gate."""
+    pattern = quote(recognizer.pattern)
+    marked = f"regexp_replace({text}, {pattern}, {quote(_MARK + '$0' + _MARK)})"
+    pieces = f"split({marked}, {quote(_MARK)}, -1)"
+    if len(recognizer.guard) == 1:
+        pieces = f"if(rlike({text}, {quote(recognizer.guard[0])}), {pieces}, NULL)"
 
+    def checked(cut: str) -> str:
+        if recognizer.gate is None:
+            return _candidate(
+                order, recognizer, f"if(size({cut}) > 1, {cut}, NULL)", "NULL"
+            )
+        gates = transform(_matches(cut), recognizer.gate)
+        return let(
+            gates,
+            lambda passed: _candidate(
+                order,
+                recognizer,
+                f"if(array_contains({passed}, true), {cut}, NULL)",
+                passed,
+            ),
+        )
 
-def _hits_of(candidate: str) -> str:
-    """Matches and gaps alternate: a running sum of lengths ends every match."""
+    return let(pieces, checked)
 
-    def length(part: str) -> str:
-        return f"coalesce(length({part}), 0)"
 
-    ends = running_sum(
-        zip_with(
-            f"{candidate}.gaps",
-            f"{candidate}.found",
-            lambda gap, match: f"{length(gap)} + {length(match)}",
-        )
+def _matches(pieces: str) -> str:
+    x, i = fresh("x"), fresh("i")
+    return f"filter({pieces}, ({x}, {i}) -> {i} % 2 = 1)"
+
+
+def _candidate(order: int, recognizer: Recognizer, pieces: str, passed: str) -> str:
+    constants = ", ".join(
+        f"{value} AS {field}" for field, value in _constants(order, recognizer).items()
     )
+    return (
+        f"struct({constants}, {pieces} AS pieces, "
+        f"cast({passed} AS array<boolean>) AS passed)"
+    )
+
+
+def _hits_of(candidate: str) -> str:
+    """A running sum over the lengths of the pieces ends every match."""
+    pieces = f"{candidate}.pieces"
+    kind = {
+        field: f"{candidate}.{field}"
+        for field in ("ord", "type", "checksum_valid", "confidence")
+    }
+    ends = running_sum(transform(pieces, lambda p: f"length({p})"))
+    ends = f"if(size({pieces}) > {FEW}, {ends}, NULL)"
 
     def hit(raw: str, i: str, ends: str) -> str:
-        match, lead = f"get({candidate}.found, {i})", f"get({candidate}.leads, {i})"
-        start = f"get({ends}, {i}) - length({match}) + {length(lead)}"
-        return f"""if(coalesce(get({candidate}.passed, {i}), {candidate}.passed IS NULL),
-            {_hit(start, f"{start} + length({raw})", raw, candidate)}, NULL)"""
+        passed = f"coalesce(get({candidate}.passed, {i}), {candidate}.passed IS NULL)"
+        total, piece = fresh("total"), fresh("piece")
+        # a few parts are added up anew for each match, which beats the scan
+        added = (
+            f"aggregate(slice({pieces}, 1, {i} * 2 + 1), 0, "
+            f"({total}, {piece}) -> {total} + length({piece}))"
+        )
+        start = f"if({ends} IS NULL, {added}, get({ends}, {i} * 2))"
+        made = let(start, lambda s: _hit(s, f"{s} + length({raw})", raw, kind))
+        return f"if({passed}, {made}, NULL)"
 
     return let(
         ends,
         lambda e: keep(
-            transform_at(f"{candidate}.values", lambda raw, i: hit(raw, i, e)),
+            transform_at(_matches(pieces), lambda raw, i: hit(raw, i, e)),
             lambda h: f"{h} IS NOT NULL",
         ),
     )
 
 
-def _hit(start: str, end: str, raw: str, kind: str) -> str:
-    return f"""struct({start} AS start, {end} AS `end`, {kind}.ord AS ord,
-        {kind}.type AS type, {raw} AS raw, {kind}.checked AS checksum_valid,
-        {kind}.confidence AS confidence,
+def _custom_hits(text: str, order: int, recognizer: Recognizer) -> str:
+    """Hits of a user's pattern, which may match any character.
+
+    The gaps come from a second pass (``split``), made only where a match passes
+    its gate. The length of the group before the value is the value's offset.
+    """
+    pattern = quote(recognizer.pattern)
+    constants = _constants(order, recognizer)
+
+    def group(number: int) -> str:
+        return f"regexp_extract_all({text}, {pattern}, {number})"
+
+    def length(part: str) -> str:
+        return f"coalesce(length({part}), 0)"
+
+    def located(found: str, values: str, leads: str) -> str:
+        ends = running_sum(
+            zip_with(
+                f"split({text}, {pattern}, -1)",
+                found,
+                lambda gap, match: f"{length(gap)} + {length(match)}",
+            )
+        )
+
+        def hit(raw: str, i: str, ends: str) -> str:
+            lead = f"coalesce(length(get({leads}, {i})), 0)" if leads else "0"
+            start = f"get({ends}, {i}) - length(get({found}, {i})) + {lead}"
+            return _hit(start, f"{start} + length({raw})", raw, constants)
+
+        hits = let(ends, lambda e: transform_at(values, lambda raw, i: hit(raw, i, e)))
+        if recognizer.gate is None:
+            return hits
+        return keep(hits, lambda h: recognizer.gate(f"{h}.raw"))
+
+    def if_any(found: str, values: str, leads: str) -> str:
+        gate = recognizer.gate or (lambda raw: "true")
+        some = exists(values, gate)
+        return f"if({some}, {located(found, values, leads)}, {NO_HITS})"
+
+    if recognizer.lead_group is None:
+        hits = let(group(0), lambda found: if_any(found, found, ""))
+    else:
+        hits = let(
+            group(0),
+            lambda found: let(
+                group(recognizer.value_group),
+                lambda values: let(
+                    group(recognizer.lead_group),
+                    lambda leads: if_any(found, values, leads),
+                ),
+            ),
+        )
+    return f"coalesce({hits}, {NO_HITS})"
+
+
+def _constants(order: int, recognizer: Recognizer) -> dict[str, str]:
+    return {
+        "ord": str(order),
+        "type": quote(recognizer.type),
+        "checksum_valid": str(recognizer.checked).lower(),
+        "confidence": f"{float(recognizer.confidence)!r}D",
+    }
+
+
+def _hit(start: str, end: str, raw: str, kind: dict[str, str]) -> str:
+    return f"""struct({start} AS start, {end} AS `end`, {kind["ord"]} AS ord,
+        {kind["type"]} AS type, {raw} AS raw, {kind["checksum_valid"]} AS checksum_valid,
+        {kind["confidence"]} AS confidence,
         cast(NULL AS int) AS line, cast(NULL AS int) AS col)"""
 
 
@@ -180,14 +274,9 @@ def _python_hits(order: int, recognizer: Recognizer, python_spans: dict) -> str:
     spans = name(python_spans[order])
     if recognizer.gate is not None:
         spans = keep(spans, lambda s: recognizer.gate(f"{s}.raw"))
-    kind = f"""named_struct('ord', {order}, 'type', {quote(recognizer.type)},
-        'checked', {str(recognizer.checked).lower()},
-        'confidence', {float(recognizer.confidence)!r}D)"""
-    hits = let(
-        kind,
-        lambda k: transform(
-            spans, lambda s: _hit(f"{s}.start", f"{s}.end", f"{s}.raw", k)
-        ),
+    constants = _constants(order, recognizer)
+    hits = transform(
+        spans, lambda s: _hit(f"{s}.start", f"{s}.end", f"{s}.raw", constants)
     )
     return f"coalesce({hits}, {NO_HITS})"
 

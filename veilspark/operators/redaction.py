@@ -31,9 +31,12 @@ def redact_text(
         found = F.expr(detections(column, rules, python_spans))
         df = df.withColumn("_found", found).drop(*python_spans.values())
         hits = "_found"
+        found = name(hits)
+    else:
+        found = f"sort_array({name(hits)})"
     done = df.withColumn(
         "redactions",
-        F.expr(f"coalesce({redactions_of(name(hits), rules)}, {NO_REDACTIONS})"),
+        F.expr(f"coalesce({redactions_of(found, rules)}, {NO_REDACTIONS})"),
     ).drop("_found")
     return done.withColumns(
         {
