@@ -11,33 +11,43 @@ def float_text(value: str) -> str:
     Positional from 1e-4 up to below 1e16, with an exponent outside.
     """
 
-    def positional(d: str) -> str:
-        digits = (
-            f"trim(TRAILING '0' FROM "
-            f"cast(cast(cast({d} AS string) AS decimal(38, 21)) AS string))"
+    def positional(digits: str) -> str:
+        plain = f"cast(cast({digits} AS decimal(38, 21)) AS string)"
+        return let(
+            f"trim(TRAILING '0' FROM {plain})",
+            lambda t: f"if(endswith({t}, '.'), concat({t}, '0'), {t})",
         )
-        return let(digits, lambda t: f"if(endswith({t}, '.'), concat({t}, '0'), {t})")
 
-    def scientific(d: str) -> str:
-        parts = f"split(cast({d} AS string), 'E')"
-
-        def build(p: str) -> str:
-            mantissa = f"regexp_replace(get({p}, 0), '[.]0$', '')"
-            power = f"cast(get({p}, 1) AS int)"
+    def scientific(digits: str) -> str:
+        def build(part: str) -> str:
+            mantissa = f"regexp_replace(get({part}, 0), '[.]?0*$', '')"
+            power = f"cast(get({part}, 1) AS int)"
             return (
                 f"concat({mantissa}, if({power} < 0, 'e-', 'e+'), "
                 f"if(abs({power}) < 10, '0', ''), abs({power}))"
             )
 
-        return let(parts, build)
+        return let(f"split(upper({digits}), 'E')", build)
+
+    def text(d: str) -> str:
+        size = f"abs({d})"
+        return f"""CASE
+            WHEN isnan({d}) OR {size} = double('Infinity') THEN cast({d} AS string)
+            WHEN {d} = 0 OR ({size} >= 1e-4D AND {size} < 1e16D)
+            THEN {let(_shortest(d), positional)}
+            ELSE {let(_shortest(d), scientific)} END"""
+
+    return let(f"cast({value} AS double)", text)
+
 
-    return let(
-        f"cast({value} AS double)",
-        lambda d: f"""CASE
-            WHEN {d} = 0 OR (abs({d}) >= 1e-4D AND abs({d}) < 1e16D) THEN {positional(d)}
-            WHEN isnan({d}) OR abs({d}) = double('Infinity') THEN cast({d} AS string)
-            ELSE {scientific(d)} END""",
+def _shortest(d: str) -> str:
+    """Digits that read back as the same double; the cast alone has some too many."""
+    fewer = " ".join(
+        f"WHEN cast(format_string('%.{n}e', {d}) AS double) = {d} "
+        f"THEN format_string('%.{n}e', {d})"
+        for n in (14, 15)
     )
+    return f"CASE {fewer} ELSE cast({d} AS string) END"
 
 
 def integer_text(value: str) -> str:
