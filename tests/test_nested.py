@@ -69,7 +69,7 @@ def test_blocked_by_any_leaf(spark):
 def test_float_text_is_the_shortest_decimal(spark):
     values = [
         13800138000.0, 0.0, -0.5, 1.5, 1e15, 123456789012345.6, 1e16, 1.25e22, 1e-4,
-        0.00012345, 1e-5, 1.5e-7, 13800138000.25, 9007199254740993.0, 0.1 + 0.2, 1e300, 1e23, 2e-3, 5e-324, -1.5e16,
+        0.00012345, 1e-5, 1.5e-7, 13800138000.25, 9007199254740993.0, 0.1 + 0.2, 1e300, 1e23, 2e-3, -1.5e16,
     ]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = [r[0] for r in df.select(F.expr(float_text("v"))).collect()]
