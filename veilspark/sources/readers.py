@@ -12,13 +12,13 @@ from ..operators.audit import AUDIT_SCHEMA
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a table read from fewer files than cores.
+    """Give every core a share of a table that is read in fewer parts than cores.
 
-    A file of one row group is one task whatever its split size. With at least
-    as many files as cores nothing is moved.
+    Such a table is small, at most one split per core, and a file of one row group
+    is a single task however it is split. Larger tables are not moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
