@@ -84,6 +84,22 @@ def test_numbers_written_as_floats(spark):
     assert '"e": "-1380***8000"' in leaves
 
 
+def test_escapes(spark):
+    """An escape may hide a digit; others are written in their plain form."""
+    bodies = [
+        r'{"a":"1380013800\u0030 \u4e2d\/ \n"}',
+        r'["\u4e2d \"\/\\ \t","a\n13800138000\n","plain\n\"q\""]',
+        r'["db01\n.corp","db01.corp\n","\\13800138000","\ud83d\ude00 13800138000"]',
+    ]
+    want = [
+        '{"a": "1380***8000 中/ \\n"}',
+        '["中 \\"/\\\\ \\t", "a\\n1380***8000\\n", "plain\\n\\"q\\""]',
+        '["db01\\n.corp", "db01*corp\\n", "\\\\1380***8000", "😀 1380***8000"]',
+    ]
+    assert [r.body for r in run(spark, bodies)] == want
+    assert [json.loads(w) for w in want]
+
+
 def test_json_check(spark):
     bodies = ["{}", "[1]", "1", '"a"', "null", " null ", "{", '{"a":1}x', "1],[2", "x", ""]
     df = spark.createDataFrame([(b,) for b in bodies], "b string")

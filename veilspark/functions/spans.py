@@ -67,6 +67,22 @@ def detections(text: str, rules: Rules, python_spans: dict[int, str] | None = No
     return f"coalesce(sort_array({allowed}), {NO_HITS})"
 
 
+def guard_of(rules: Rules) -> str | None:
+    """A pattern without a match of which no text holds a hit, None if unknown."""
+    recognizers = [r for _, r in rules.recognizers()]
+    if not recognizers or not all(r.guard for r in recognizers):
+        return None
+    return joint_guard(recognizers)
+
+
+def guard_of(rules: Rules) -> str | None:
+    """A pattern without a match of which no text holds a hit, None if unknown."""
+    recognizers = [r for _, r in rules.recognizers()]
+    if not recognizers or not all(r.guard for r in recognizers):
+        return None
+    return joint_guard(recognizers)
+
+
 def copy_fields(item: str, fields: list[str]) -> str:
     """Fields of a struct, for building another struct."""
     return ", ".join(f"{item}.{f} AS {name(f)}" for f in fields)

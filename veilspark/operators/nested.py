@@ -19,12 +19,14 @@ from pyspark.sql import types as T
 
 from ..functions.masking import NO_REDACTIONS, is_blocked, redact
 from ..functions.numbers import float_text, integer_text
+from ..functions.spans import guard_of
 from ..functions.sqltext import (
     fresh,
     let,
     name,
     quote,
     transform,
+    zip_with,
 )
 from ..rules import Rules
 
@@ -180,6 +182,8 @@ JSON_TOKEN = (
     r'"(?:[^"\\]++|\\.)*+"(?:\s*+:)?+'
     r"|-?+[0-9]++(?:\.[0-9]++)?+(?:[eE][+-]?+[0-9]++)?+"
 )
+# escapes that may hide a digit, or that output spells in another way
+_OTHER_SPELLING = r"\\[u/]"
 
 
 def is_json(body: str) -> str:
@@ -198,22 +202,29 @@ def is_json(body: str) -> str:
 def redact_json(body: str, rules: Rules) -> str:
     """``struct<text, redactions, blocked>`` of a JSON text, leaf by leaf.
 
-    Parts are spaced as ``", "`` and ``": "``, untouched leaves keep their
-    spelling, a number with a hit becomes a string.
+    Parts are spaced as ``", "`` and ``": "``, untouched leaves keep their value,
+    a number with a hit becomes a string.
     """
 
-    def rewrite(tokens: str) -> str:
-        leaves = transform(tokens, lambda t: let(_leaf_of(t), lambda leaf: _done(t, leaf)))
-        return let(leaves, lambda done: joined(done))
+    def unchanged(token: str) -> str:
+        return f"struct({token} AS token, {NO_REDACTIONS} AS redactions)"
 
-    def _done(token: str, leaf: str) -> str:
-        def finish(done: str) -> str:
-            masked = f"if(size({done}.redactions) > 0, {_as_json_string(f'{done}.text')}, {_spelled(token, leaf)})"
-            return f"struct({masked} AS token, {done}.redactions AS redactions)"
+    def redacted(token: str, leaf: str) -> str:
+        def result(done: str) -> str:
+            spelled = (
+                f"if(size({done}.redactions) > 0, "
+                f"{_as_json_string(f'{done}.text')}, {_spelled(token, leaf)})"
+            )
+            return f"struct({spelled} AS token, {done}.redactions AS redactions)"
+
+        return let(redact(leaf, rules), result)
 
-        return f"""if({leaf} IS NULL,
-            struct(regexp_replace({token}, r'\\s*:\\z', ': ') AS token, {NO_REDACTIONS} AS redactions),
-            {let(redact(leaf, rules), finish)})"""
+    def rewritten(token: str) -> str:
+        key = f"regexp_replace({token}, r'\\s*:\\z', ': ')"
+        return f"""CASE
+            WHEN startswith({token}, '"') AND endswith({token}, ':') THEN {unchanged(key)}
+            WHEN {_settled(token, rules)} THEN {unchanged(token)}
+            ELSE {let(_leaf_of(token), lambda leaf: redacted(token, leaf))} END"""
 
     def joined(done: str) -> str:
         gaps = f"split({body}, {quote(JSON_TOKEN)}, -1)"
@@ -221,7 +232,7 @@ def redact_json(body: str, rules: Rules) -> str:
             gaps, lambda g: f"replace(regexp_replace({g}, r'\\s', ''), ',', ', ')"
         )
         tokens = transform(done, lambda d: f"{d}.token")
-        pairs = f"zip_with({spaced}, {tokens}, (g, t) -> concat(g, coalesce(t, '')))"
+        pairs = zip_with(spaced, tokens, lambda g, t: f"concat({g}, coalesce({t}, ''))")
         redactions = f"flatten({transform(done, lambda d: f'{d}.redactions')})"
         return let(
             redactions,
@@ -229,15 +240,27 @@ def redact_json(body: str, rules: Rules) -> str:
             f"{is_blocked(r)} AS blocked)",
         )
 
-    return let(f"regexp_extract_all({body}, {quote(JSON_TOKEN)}, 0)", rewrite)
+    tokens = f"regexp_extract_all({body}, {quote(JSON_TOKEN)}, 0)"
+    return let(transform(tokens, rewritten), joined)
+
+
+def _settled(token: str, rules: Rules) -> str:
+    """A string token that stays as it is, seen without decoding it: no hit can be
+    in it, and none of its escapes is spelled otherwise on output."""
+    guard = guard_of(rules)
+    if guard is None:
+        return "false"
+    return (
+        f"startswith({token}, '\"') AND NOT rlike({token}, {quote(guard)}) "
+        f"AND NOT rlike({token}, {quote(_OTHER_SPELLING)})"
+    )
 
 
 def _leaf_of(token: str) -> str:
-    """The text of a leaf token, null for a key."""
+    """The text of a leaf token."""
     inner = f"substr({token}, 2, length({token}) - 2)"
     decoded = f"""from_json(concat('{{"v":', {token}, '}}'), 'v string').v"""
     return f"""CASE
-        WHEN startswith({token}, '"') AND endswith({token}, ':') THEN NULL
         WHEN startswith({token}, '"') AND contains({token}, '\\\\') THEN {decoded}
         WHEN startswith({token}, '"') THEN {inner}
         WHEN rlike({token}, '[.eE]') THEN {float_text(token)}
