@@ -121,7 +121,7 @@ def splice(text: str, redactions: str, keeps_length: bool) -> str:
     overlaps = transform_at(
         redactions, lambda r, i: f"{r}.start < get({redactions}, {i} - 1).end"
     )
-    reach = f"if(array_contains({overlaps}, true), {running_max(ends)}, {ends})"
+    reach = f"if({exists(overlaps, lambda o: o)}, {running_max(ends)}, {ends})"
     spliced_text = let(
         blocks_of(text),
         lambda blocks: let(reach, lambda r: spliced(blocks, r)),

@@ -156,7 +156,7 @@ def _candidates(text: str, order: int, recognizer: Recognizer) -> str:
             lambda passed: _candidate(
                 order,
                 recognizer,
-                f"if(array_contains({passed}, true), {cut}, NULL)",
+                f"if({exists(passed, lambda p: p)}, {cut}, NULL)",
                 passed,
             ),
         )
