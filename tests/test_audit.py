@@ -1,7 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
-
 from veilspark.operators.audit import (
     FIELDS,
     audit_entries,

@@ -31,9 +31,7 @@ from .sqltext import (
 
 SPANS = "array<struct<start:int,end:int,raw:string>>"
 # line and col stay null until a scan places the hits
-HIT_FIELDS = (
-    "start end ord type raw checksum_valid confidence line col".split()
-)
+HIT_FIELDS = "start end ord type raw checksum_valid confidence line col".split()
 HIT = (
     "struct<start:int,end:int,ord:int,type:string,raw:string,"
     "checksum_valid:boolean,confidence:double,line:int,col:int>"
@@ -75,14 +73,6 @@ def guard_of(rules: Rules) -> str | None:
     return joint_guard(recognizers)
 
 
-def guard_of(rules: Rules) -> str | None:
-    """A pattern without a match of which no text holds a hit, None if unknown."""
-    recognizers = [r for _, r in rules.recognizers()]
-    if not recognizers or not all(r.guard for r in recognizers):
-        return None
-    return joint_guard(recognizers)
-
-
 def copy_fields(item: str, fields: list[str]) -> str:
     """Fields of a struct, for building another struct."""
     return ", ".join(f"{item}.{f} AS {name(f)}" for f in fields)
