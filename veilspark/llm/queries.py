@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, simhash
+from . import decontamination, mixing, simhash, token_store, toxicity
 from .tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_simhash")
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@_query("op7_token_store")
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.token_report(spark, documents(spark, sf_dir))
+
+
+@_query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.toxicity_report(documents(spark, sf_dir), labels)
