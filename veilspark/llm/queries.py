@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    chat,
     decontamination,
     licenses,
     mixing,
@@ -74,3 +75,8 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.quality_report(documents(spark, sf_dir), labels)
+
+
+@_query("op10_chat")
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
