@@ -14,6 +14,7 @@ from . import (
     quality,
     secrets,
     simhash,
+    suffix_dedup,
     token_store,
     toxicity,
 )
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
     "op3_decontamination": decontamination.ORACLE,
+    "op9_suffix_dedup": suffix_dedup.ORACLE,
 }
 
 
@@ -80,3 +82,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_chat")
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@_query("op9_suffix_dedup")
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats_report(documents(spark, sf_dir))
