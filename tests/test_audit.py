@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from veilspark.operators.audit import (
     FIELDS,
     audit_entries,
@@ -10,7 +12,13 @@ from veilspark.operators.audit import (
     report_totals,
 )
 from veilspark.operators.hits import scan
-from veilspark.operators.layered_rules import RuleTables, apply_layers, check_small
+from veilspark.operators.layered_rules import (
+    SETTINGS_SCHEMA,
+    apply_layers,
+    rules_of,
+    settings_table,
+    with_defaults,
+)
 from veilspark.operators.redaction import redact_text
 from veilspark.rules import Rules
 from veilspark.sources import readers, sinks
@@ -111,32 +119,51 @@ def test_whole_files_with_bad_bytes(spark, tmp_path):
     assert files.count() == 2
 
 
+LAYER = {
+    "min_confidence": 0.95,
+    "default_policy": "block",
+    "detectors": {"phone": {"min_confidence": 0.8, "policy": "mask"}},
+    "allowlist": ["139"],
+    "masking": {"style": "full", "mask_char": "$"},
+}
+
+
 def test_layered_tables_agree_with_layers(spark):
-    layer = {
-        "min_confidence": 0.95,
-        "default_policy": "block",
-        "detectors": {"phone": {"min_confidence": 0.8, "policy": "mask"}},
-        "allowlist": ["139"],
-    }
-    rules = Rules.from_layers(layer)
+    rules = Rules.from_layers(LAYER)
     hits = scan(spark.createDataFrame(ROWS, SCHEMA), Rules.default())
-    base = RuleTables.from_rules(spark, Rules.default())
-    user = RuleTables.from_rows(
-        spark,
-        [(1, "phone", None, 0.8, "mask")],
-        [(1, "min_confidence", "0.95"), (1, "default_policy", "block")],
-        [(1, "139"), (1, "")],
-    )
-    got = {(r.raw, r.policy) for r in apply_layers(hits, user.over(base)).collect()}
+    settings = with_defaults(spark, settings_table(spark, LAYER), Rules.default())
+    fields = ("raw", "policy", "masked")
+    got = {tuple(r[f] for f in fields) for r in apply_layers(hits, settings).collect()}
     want = redact_text(spark.createDataFrame(ROWS, SCHEMA), rules)
     assert got == {
-        (r.raw, r.policy) for row in want.collect() for r in row.redactions
-    } == {("110101199003078515", "block"), ("13800138000", "mask")}
+        tuple(r[f] for f in fields) for row in want.collect() for r in row.redactions
+    }
+    assert {g[:2] for g in got} == {("110101199003078515", "block"), ("13800138000", "mask")}
+    assert rules_of(settings).values.keys() == rules.without("allowlist").values.keys()
+
 
+@pytest.mark.parametrize("style", ["partial", "full", "label"])
+@pytest.mark.parametrize("char", ["*", "\\", "$", "xy"])
+def test_masks_of_tables_are_those_of_rules(spark, style, char):
+    layer = {"masking": {"style": style, "mask_char": char, "keep_prefix": 2, "labels": {"phone": "T"}}}
+    rules = Rules.from_layers(layer)
+    hits = scan(spark.createDataFrame(ROWS, SCHEMA), rules)
+    settings = with_defaults(spark, settings_table(spark, layer), Rules.default())
+    got = {(r.raw, r.masked) for r in apply_layers(hits, settings).collect()}
+    want = redact_text(spark.createDataFrame(ROWS, SCHEMA), rules).collect()
+    assert got >= {(r.raw, r.masked) for row in want for r in row.redactions} and got
 
-def test_large_rule_tables_are_refused(spark):
-    import pytest
 
-    with pytest.raises(ValueError):
-        check_small(spark.range(10_001), "the allowlist")
-    assert check_small(spark.range(10_000), "the allowlist").count() == 10_000
+def test_absent_settings_have_defaults(spark):
+    hits = scan(spark.createDataFrame(ROWS, SCHEMA), Rules.default())
+    empty = spark.createDataFrame([], SETTINGS_SCHEMA)
+    kept = apply_layers(hits, empty)
+    assert kept.count() == hits.count() and {r.policy for r in kept.collect()} == {"mask"}
+
+
+def test_an_allowlist_of_any_size(spark):
+    hits = scan(spark.createDataFrame(ROWS, SCHEMA), Rules.default())
+    rows = [(1, ["allowlist", f"1/{i}"], f"{i:07}no") for i in range(20_000)]
+    many = spark.createDataFrame([*rows, (1, ["allowlist", "1/x"], "1380013")], SETTINGS_SCHEMA)
+    left = {r.raw for r in apply_layers(hits, many).collect()}
+    assert left == {r.raw for r in hits.collect() if "1380013" not in r.raw}

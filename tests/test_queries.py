@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+from veilspark.plans import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
@@ -22,15 +22,15 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLES.keys()
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    df = entry.queries()[name](spark, FOLDER)
+    df = QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)
     got = sorted(repr(tuple(r)) for r in df.select(*columns).collect())
     listed = ", ".join(f'"{c}"' for c in columns)
-    result = duck.execute(f"SELECT {listed} FROM ({entry.oracle_sql()[name]})")
+    result = duck.execute(f"SELECT {listed} FROM ({ORACLES[name]})")
     want = sorted(map(repr, result.fetchall()))
     assert got == want and got

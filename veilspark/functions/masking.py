@@ -14,8 +14,7 @@ NO_REDACTIONS = f"cast(array() AS array<{REDACTION}>)"
 
 def mask_full(raw: str, masking: Masking) -> str:
     """Every character but space and dash masked."""
-    replacement = masking.mask_char.replace("\\", "\\\\").replace("$", "\\$")
-    return f"regexp_replace({raw}, '[^ -]', {quote(replacement)})"
+    return f"regexp_replace({raw}, '[^ -]', {masking.replacement})"
 
 
 def mask_partial(raw: str, masking: Masking) -> str:

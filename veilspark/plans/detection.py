@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions.fixed_values import DETECTOR_TYPES
 from ..operators import hits as H
-from ..operators.layered_rules import RuleTables, apply_layers
+from ..operators.layered_rules import apply_layers, rules_of, unpivoted
 from ..operators.profile import checksum_profile
 from ..rules import Rules
 from . import oracle as O
@@ -131,7 +133,7 @@ def filter_allowlist(spark, folder):
 def _no_allowlist() -> Rules:
     from dataclasses import replace
 
-    return replace(Rules.default(), allowlist=())
+    return Rules.default().without("allowlist")
 
 
 @query(
@@ -199,38 +201,50 @@ def scan_totals(spark, folder):
     return H.scan_totals(H.scan(corpus(spark, folder), Rules.default(), positions=False))
 
 
-_DETECTOR_ROWS = [
-    (0, "id_card", True, None, None),
-    (0, "phone", True, 0.5, None),
-    (0, "bank_card", True, None, "mask"),
-    (0, "uscc", True, None, None),
-    (0, "intranet_domain", True, None, None),
-]
-_USER_ROWS = [
-    (1, "uscc", False, None, None),
-    (1, "phone", None, 0.9, None),
-    (1, "bank_card", None, 0.9, "block"),
-    (1, "intranet_domain", None, 0.85, None),
-]
-_SCALAR_ROWS = [
-    (0, "default_policy", "mask"),
-    (0, "min_confidence", "0.5"),
-    (1, "min_confidence", "0.95"),
-]
-_ALLOWED_ROWS = [
-    (0, "00000000000000000X"),
-    (0, "example.internal"),
-    (1, "db1"),
-    (1, ""),
-]
+_LAYERS = {
+    "detectors": (
+        "layer int, type string, enabled boolean, min_confidence double, policy string",
+        [
+            (0, "id_card", True, None, None),
+            (0, "phone", True, 0.5, None),
+            (0, "bank_card", True, None, "mask"),
+            (0, "uscc", True, None, None),
+            (0, "intranet_domain", True, None, None),
+            (1, "uscc", False, None, None),
+            (1, "phone", None, 0.9, None),
+            (1, "bank_card", None, 0.9, "block"),
+            (1, "intranet_domain", None, 0.85, None),
+        ],
+    ),
+    "scalars": (
+        "layer int, key string, value string",
+        [
+            (0, "default_policy", "mask"),
+            (0, "min_confidence", "0.5"),
+            (1, "min_confidence", "0.95"),
+            (1, "keep_prefix", "2"),
+            (1, "mask_char", "#"),
+        ],
+    ),
+    "allowlist": (
+        "layer int, value string",
+        [(0, "00000000000000000X"), (0, "example.internal"), (1, "db1"), (1, "")],
+    ),
+    "labels": ("layer int, type string, label string", [(0, "phone", "<tel>")]),
+    "custom_patterns": (
+        "layer int, type string, pattern string, checksum string, confidence double",
+        [(1, "order", "ORD-[0-9]{4,10}", None, 0.97)],
+    ),
+}
 
 
-def _values(rows: list[tuple]) -> str:
+def _values(name: str) -> str:
     def literal(v):
         if v is None:
             return "NULL"
         return f"'{v}'" if isinstance(v, str) else str(v).lower()
 
+    rows = _LAYERS[name][1]
     return ", ".join(f"({', '.join(map(literal, r))})" for r in rows)
 
 
@@ -238,24 +252,38 @@ def _values(rows: list[tuple]) -> str:
     "rules_apply_layers",
     O.hits(where="true")
     + f""", rule_rows(layer, type, enabled, min_confidence, policy) AS (
-        VALUES {_values(_DETECTOR_ROWS + _USER_ROWS)}),
-    scalars(layer, key, value) AS (VALUES {_values(_SCALAR_ROWS)}),
-    allowed(layer, value) AS (VALUES {_values(_ALLOWED_ROWS)}),
+        VALUES {_values("detectors")}),
+    scalars(layer, key, value) AS (VALUES {_values("scalars")}),
+    allowed(layer, value) AS (VALUES {_values("allowlist")}),
     resolved AS (SELECT type, arg_max(enabled, layer) FILTER (enabled IS NOT NULL) AS enabled,
         arg_max(min_confidence, layer) FILTER (min_confidence IS NOT NULL) AS min_confidence,
-        arg_max(policy, layer) FILTER (policy IS NOT NULL) AS policy FROM rule_rows GROUP BY type)
-    SELECT h.doc_id, h.source, h.type, h.raw, coalesce(r.policy,
+        arg_max(policy, layer) FILTER (policy IS NOT NULL) AS policy FROM rule_rows GROUP BY type),
+    every AS (
+        SELECT doc_id, source, type, raw, confidence FROM hits UNION ALL
+        SELECT o_orderkey, 'orders', 'order', 'ORD-' || (10000 + o_custkey), 0.97 FROM orders),
+    kept AS (SELECT h.doc_id, h.source, h.type, h.raw, coalesce(r.policy,
         (SELECT arg_max(value, layer) FROM scalars WHERE key = 'default_policy')) AS policy
-    FROM hits AS h LEFT JOIN resolved AS r ON h.type = r.type
+    FROM every AS h LEFT JOIN resolved AS r ON h.type = r.type
     WHERE coalesce(r.enabled, true) AND h.confidence >= coalesce(r.min_confidence,
         (SELECT CAST(arg_max(value, layer) AS DOUBLE) FROM scalars WHERE key = 'min_confidence'))
-        AND NOT EXISTS (SELECT 1 FROM allowed AS a WHERE a.value <> '' AND contains(h.raw, a.value))""",
+        AND NOT EXISTS (SELECT 1 FROM allowed AS a WHERE a.value <> '' AND contains(h.raw, a.value)))
+    SELECT *, substr(raw, 1, 2) || regexp_replace(substr(raw, 3, length(raw) - 6), '[^ -]', '#', 'g')
+        || substr(raw, length(raw) - 3) AS masked FROM kept""",
 )
 def rules_apply_layers(spark, folder):
-    found = H.scan(corpus(spark, folder), _no_allowlist(), positions=False)
-    base = RuleTables.from_rows(
-        spark, _DETECTOR_ROWS, _SCALAR_ROWS[:2], _ALLOWED_ROWS[:2]
+    tables = {
+        name: spark.createDataFrame(rows, schema) for name, (schema, rows) in _LAYERS.items()
+    }
+    settings = unpivoted(**tables)
+    texts = corpus(spark, folder).select("doc_id", "source", "text")
+    orders = spark.read.parquet(f"{folder}/orders.parquet").select(
+        F.col("o_orderkey").cast("bigint").alias("doc_id"),
+        F.lit("orders").alias("source"),
+        F.concat(
+            F.lit("ref ORD-"), 10000 + F.col("o_custkey"), F.lit(", "), "o_orderstatus"
+        ).alias("text"),
     )
-    user = RuleTables.from_rows(spark, _USER_ROWS, _SCALAR_ROWS[2:], _ALLOWED_ROWS[2:])
-    kept = apply_layers(found, user.over(base))
-    return kept.select("doc_id", "source", "type", "raw", "policy")
+    custom = rules_of(settings.filter("path[0] = 'custom_patterns'"))
+    found = H.scan(texts.unionByName(orders), custom, positions=False)
+    kept = apply_layers(found, settings)
+    return kept.select("doc_id", "source", "type", "raw", "policy", "masked")
