@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .tables import stored
 
 BUCKET_ROWS = 5000
+SALTS = 64
 MOST_EPOCHS = 3
 SYMBOLS = "#*$%&|<>"
 CLASSES = (0.25, 0.5, 0.75, 1.0)
@@ -108,6 +109,15 @@ def _with_targets(sources: DataFrame) -> DataFrame:
     )
 
 
+def _joined(drawn: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows with their source's figures. Each source comes ``SALTS`` times, so that the
+    rows of a large one are dealt to as many tasks."""
+    salt = F.pmod(F.xxhash64("_draw"), F.lit(SALTS))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    left = drawn.withColumn("_salt", salt)
+    return left.join(sources.withColumn("_salt", salts), ["_source", "_salt"])
+
+
 def mixture_plan(drawn: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """A row per source: size, target, epochs and the last key of its part epoch.
 
@@ -130,7 +140,7 @@ def mixture_plan(drawn: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> Data
         F.col(f"share{i}") * (1 - F.exp(-w * F.col("_key"))) for i, w in enumerate(CLASSES)
     )
     bucket = F.least(F.floor(expected * F.col("buckets")), F.col("buckets") - 1)
-    rows = drawn.join(part, "_source").withColumn("bucket", bucket)
+    rows = _joined(drawn, part).withColumn("bucket", bucket)
     sums = rows.groupBy("_source", "bucket").agg(
         F.sum("_size").alias("n"), F.first("rest").alias("rest")
     )
@@ -163,7 +173,7 @@ def with_repeats(drawn: DataFrame, plan: DataFrame) -> DataFrame:
         F.col("cut").isNotNull(), position <= F.col("cut")
     ).otherwise((F.col("rest") > 0) & F.coalesce(position < F.col("start"), F.lit(False)))
     repeats = (F.col("epochs") + chosen.cast("long")).alias("_repeats")
-    return drawn.join(plan, "_source").select(
+    return _joined(drawn, plan).select(
         *drawn.columns, "source_size", "target", repeats
     )
 
