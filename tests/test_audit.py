@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from veilspark.operators.audit import (
     FIELDS,
@@ -95,7 +96,7 @@ def test_leaks_are_found(spark):
     entries = audit_entries(
         redact_text(df, rules), ts=TS, keys=["doc_id"], keep_raw=True
     )
-    got = {r.type: tuple(r)[1:] for r in leaks(entries, rules).collect()}
+    got = {r.type: tuple(r)[1:] for r in leaks(entries).collect()}
     # the badge's only masked character is a dash; a source label holds a phone
     assert got == {"badge": (1, 1, 1), "phone": (2, 0, 1)}
 
@@ -128,6 +129,18 @@ LAYER = {
 }
 
 
+def test_a_value_inside_another_preview_is_a_leak(spark):
+    rules = Rules.from_layers({"custom_patterns": [{"type": "badge", "pattern": r"EMP-\d+"}]})
+    df = spark.createDataFrame([(1, "a", "EMP-1"), (2, "b", "EMP-12345678")], SCHEMA)
+    entries = audit_entries(redact_text(df, rules), ts=TS, keep_raw=True)
+    # the preview EMP-****5678 holds no value, but EMP-* of the first one stays clear
+    masked = {r.masked_preview for r in entries.collect()}
+    assert masked == {"EMP-*", "EMP-****5678"}
+    changed = entries.withColumn("masked_preview", F.regexp_replace("masked_preview", r"-\*{4}", "-12**"))
+    [row] = leaks(changed).collect()
+    assert tuple(row) == ("badge", 2, 0, 1)
+
+
 def test_layered_tables_agree_with_layers(spark):
     rules = Rules.from_layers(LAYER)
     hits = scan(spark.createDataFrame(ROWS, SCHEMA), Rules.default())

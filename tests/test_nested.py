@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.numbers import float_text
 from veilspark.operators.nested import (
+    chat_requests,
     is_json,
     redact_chat,
     redact_columns,
@@ -132,11 +133,56 @@ def test_chat(spark):
         }
     )
     df = spark.createDataFrame([(body,)], "body string")
-    schema = (
-        "model string, messages array<struct<role: string, content: string>>, max_tokens bigint"
+    row = redact_chat(df, Rules.default()).first()
+    assert json.loads(row.body) == json.loads(body.replace(ID, MASKED))
+    assert (len(row.redactions), row.blocked) == (1, False)
+
+
+def test_chat_keeps_what_it_does_not_know(spark):
+    bodies = [
+        json.dumps(
+            {
+                "model": "m 13800138000",
+                "system": f"s {ID}",
+                "temperature": 0.5,
+                "messages": [{"name": "n", "content": [{"type": "text", "text": f"x {ID}"}]}],
+            }
+        ),
+        f'{{"model": "m", broken {ID}',
+    ]
+    df = spark.createDataFrame(list(enumerate(bodies)), "i int, body string")
+    rules = Rules.from_layers({"detectors": {"id_card": {"policy": "block"}}})
+    first, broken = redact_chat(df, rules).orderBy("i").collect()
+    want = bodies[0].replace(ID, MASKED).replace("13800138000", "1380***8000")
+    assert json.loads(first.body) == json.loads(want)
+    assert (len(first.redactions), first.blocked) == (3, True)
+    assert broken.body == bodies[1].replace(ID, MASKED) and broken.blocked
+
+
+def test_requests_of_whole_conversations(spark):
+    turns = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, 0, "user", None)]
+    df = spark.createDataFrame(turns, "c int, t int, r string, x string")
+    made = chat_requests(df, "c", "t", "r", "x", model="m").orderBy("c").collect()
+    assert json.loads(made[0].body) == {
+        "model": "m",
+        "messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}],
+    }
+    assert json.loads(made[1].body)["messages"] == [{"role": "user"}]
+
+
+def test_variants_are_masked_and_masked_again(spark):
+    df = spark.sql(
+        f"""SELECT parse_json('{{"a": ["tel 13800138000", {ID}, true, null]}}') AS v,
+            array(parse_json('1.5'), NULL) AS more, cast(NULL AS variant) AS nothing"""
     )
-    got = json.loads(redact_chat(df, Rules.default(), "body", schema).first().body)
-    assert got == json.loads(body.replace(ID, MASKED))
+    once = redact_columns(df, Rules.default())
+    row = once.selectExpr("to_json(v) AS v", "to_json(more[0]) AS m", "nothing", "redactions").first()
+    assert json.loads(row.v) == {"a": ["tel 1380***8000", MASKED, True, None]}
+    assert (row.m, row.nothing, len(row.redactions)) == ("1.5", None, 2)
+    custom = Rules.from_layers({"custom_patterns": [{"type": "t", "pattern": "tel"}]})
+    again = redact_columns(once.drop("redactions", "blocked"), custom)
+    row = again.selectExpr("to_json(v) AS v", "redactions").first()
+    assert [r.type for r in row.redactions] == ["t"]
 
 
 @pytest.mark.parametrize("numbers", ["variant", "string"])

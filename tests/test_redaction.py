@@ -10,7 +10,7 @@ from veilspark.operators.redaction import (
     released,
 )
 from veilspark.rules import Rules
-from veilspark.sources.sinks import write_routed
+from veilspark.sources.sinks import write_masked, write_routed
 
 SNIPPET = (
     "def settle(amount):\n    fee = amount * 60 // 10000\n"
@@ -110,6 +110,35 @@ def test_given_hits_keep_their_positions(spark):
     assert [(r.line, r.col) for r in given[1].redactions] == [(3, 29), (3, 60)]
 
 
+def test_given_hits_of_any_shape(spark):
+    texts = spark.createDataFrame([(1, "call 13800138000 now"), (2, "x")], "doc_id int, text string")
+    hits = spark.createDataFrame(
+        [(1, "phone", 5, 16), (1, "phone", -3, 2), (2, "t", 0, 99), (2, "t", 5, 9)],
+        "doc_id int, type string, start int, end int",
+    )
+    done = {r.doc_id: r for r in redact_given_hits(texts, hits, Rules.default()).collect()}
+    assert done[1].text == "c*ll 1380***8000 now" and done[2].text == "*"
+    assert [(r.start, r.end, r.raw) for r in done[1].redactions] == [
+        (0, 2, "ca"),
+        (5, 16, "13800138000"),
+    ]
+    assert [(r.start, r.end, r.raw) for r in done[2].redactions] == [(0, 1, "x")]
+
+
+def test_no_sink_writes_raw_values(spark, tmp_path):
+    df = spark.createDataFrame([(1, SNIPPET), (2, "tel 13912345678")], "doc_id int, text string")
+    rules = Rules.from_layers({"detectors": {"id_card": {"policy": "block"}}})
+    done = redact_text(df, rules)
+    write_routed(done, str(tmp_path / "routed"))
+    write_masked(done, str(tmp_path / "masked"), ["doc_id", "text", "redactions"])
+    for folder in ("routed", "masked"):
+        rows = spark.read.parquet(str(tmp_path / folder)).select(F.to_json(F.struct("*"))).collect()
+        written = " ".join(r[0] for r in rows)
+        assert rows and '"type":"phone"' in written
+        for raw in ("110101199003078515", "13800138000", "13912345678"):
+            assert raw not in written
+
+
 def test_counts(spark):
     df = spark.createDataFrame(
         [(1, SNIPPET + " 13912345678"), (2, "10.0.0.1")], "doc_id int, text string"

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from veilspark.operators.nested import redact_payloads
 from veilspark.operators.redaction import redact_text, released
 from veilspark.rules import Rules
 from veilspark.sources.readers import read_audit_log
@@ -55,3 +56,34 @@ def test_report_grows_with_the_log(spark, tmp_path):
         spark.range(5 if n == 8 else 3).select(F.lit(line)).write.mode("append").text(log)
         jobs.stream_audit_report(spark, log, out, state).awaitTermination()
         assert [tuple(r) for r in spark.read.parquet(out).collect()] == [("phone", "mask", n)]
+
+
+def test_bodies_and_audit_hold_no_raw_value(spark, tmp_path):
+    folder, out, state = (str(tmp_path / p) for p in ("in", "out", "state"))
+    rows = [
+        (1, "a", '{"13800138000": "tel 13800138000", "n": 110101199003078515}', "application/json"),
+        (2, "b", "tel 13800138000", "text/plain"),
+        (3, "c", "{broken 13800138000", "application/json"),
+    ]
+    schema = "doc_id bigint, source string, text string, kind string"
+    batch = spark.createDataFrame(rows, schema)
+    batch.write.parquet(folder)
+    stream = jobs.read_text_stream(spark, folder, schema)
+    jobs.stream_block_audit(
+        stream, RULES, out, state, ts="t", content_type="kind", trigger={"availableNow": True}
+    ).awaitTermination()
+    want = redact_payloads(batch, RULES, "text", "kind").select("doc_id", "text", "blocked")
+    got = spark.read.parquet(f"{out}/routed")
+    routed = {(r.doc_id, r.text, r.route == "quarantine") for r in got.collect()}
+    assert routed == {tuple(r) for r in want.collect()}
+    keys = '{"13800138000": '  # keys of JSON stay
+    texts = " ".join(r[0] for r in got.select(F.to_json(F.struct("*"))).collect())
+    logged = " ".join(r[0] for r in spark.read.text(f"{out}/audit").collect())
+    assert "13800138000" not in texts.replace(keys.replace('"', '\\"'), "") + logged
+    assert "110101199003078515" not in texts + logged and '"type":"id_card"' in logged
+    state2, out2 = state + "2", out + "2"
+    jobs.stream_redact(
+        jobs.read_text_stream(spark, folder, schema), RULES, out2, state2, content_type="kind"
+    ).awaitTermination()
+    left = {(r.doc_id, r.text) for r in spark.read.parquet(out2).collect()}
+    assert left == {r[:2] for r in routed if not r[2]}

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import AUDIT_SCHEMA_VERSION
 from ..functions.masking import masked_preview
-from ..rules import Rules
-from .hits import scan
 from .redaction import explode_redactions, type_label
 
 FIELDS = (
@@ -26,7 +24,9 @@ def utc_now() -> Column:
     """The time of the run to the second, e.g. 2026-01-01T00:00:00+00:00."""
     return F.concat(
         F.date_format(
-            F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()),
+            F.convert_timezone(
+                F.current_timezone(), F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz")
+            ),
             "yyyy-MM-dd'T'HH:mm:ss",
         ),
         F.lit("+00:00"),
@@ -70,37 +70,37 @@ def audit_json() -> Column:
     return F.to_json(F.struct(*FIELDS), {"ignoreNullFields": "false"})
 
 
-def leaks(entries: DataFrame, rules: Rules) -> DataFrame:
-    """Per type: records holding their own raw value, and records in which a value
-    of any text of the run can be detected again.
+def leaks(entries: DataFrame) -> DataFrame:
+    """Per type: records, those holding their own raw value, and those holding any
+    raw value of the run.
 
-    ``entries`` come from ``audit_entries(keep_raw=True)`` with the key of a text in
-    ``keys``. The second test does not pair records with values: the records are scanned like
-    any text and what is found is looked up by equality among the distinct values.
+    ``entries`` come from ``audit_entries(keep_raw=True)``. Records are not paired with
+    values: each line is cut into its pieces of the lengths that raw values have, and
+    the pieces are looked up among the distinct values. Complete, and linear in the
+    lines, which are short.
     """
-    ids = [c for c in entries.columns if c not in (*FIELDS, "raw")]
-    lines = entries.select(
-        *ids, F.col("type").alias("entry_type"), "raw", audit_json().alias("line")
+    lines = entries.select("type", "raw", audit_json().alias("line"))
+    values = lines.select(F.col("raw").alias("piece")).filter("piece <> ''").distinct()
+    lengths = values.agg(F.collect_set(F.length("piece"))).scalar()
+    pieces = F.expr(
+        "array_distinct(flatten(transform(filter(_lengths, n -> n <= length(line)), n -> "
+        "transform(sequence(1, length(line) - n + 1), i -> substr(line, i, n)))))"
     )
-    detected = scan(
-        lines.drop("raw"), rules, text="line", keys=[*ids, "entry_type"], positions=False
+    # equal records of one type count once here, so a frequent one is cut once
+    distinct = lines.groupBy("type", "line").agg(F.count("*").alias("n"))
+    cut = distinct.withColumn("_lengths", lengths).select(
+        "type", "line", "n", F.explode(pieces).alias("piece")
     )
-    again = (
-        detected.join(lines.select("raw").distinct(), "raw", "left_semi")
-        .groupBy(*ids, "entry_type")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("entry_type")
-        .agg(F.count("*").alias("again"))
+    holding = cut.join(values, "piece", "left_semi").groupBy("type", "line").agg(
+        F.first("n").alias("n")
     )
-    per_type = lines.groupBy("entry_type").agg(
+    any_raw = holding.groupBy("type").agg(F.sum("n").alias("n_any_raw"))
+    per_type = lines.groupBy("type").agg(
         F.count("*").alias("n_entries"),
         F.count_if(F.contains("line", "raw")).alias("n_own_raw"),
     )
-    return per_type.join(again, "entry_type", "left").select(
-        F.col("entry_type").alias("type"),
-        "n_entries",
-        "n_own_raw",
-        F.coalesce("again", F.lit(0)).alias("n_detected_again"),
+    return per_type.join(any_raw, "type", "left").withColumn(
+        "n_any_raw", F.coalesce("n_any_raw", F.lit(0))
     )
 
 
@@ -108,11 +108,13 @@ def leaks(entries: DataFrame, rules: Rules) -> DataFrame:
 
 
 def report_by_type(entries: DataFrame) -> DataFrame:
+    """The most frequent first; ``position`` says so whatever becomes of the order."""
     return (
         entries.groupBy("type")
         .agg(F.count("*").alias("n"))
         .withColumn("label", type_label("type"))
-        .orderBy(F.desc("n"), "type")
+        .withColumn("position", F.row_number().over(Window.orderBy(F.desc("n"), "type")))
+        .orderBy("position")
     )
 
 

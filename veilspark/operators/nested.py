@@ -104,7 +104,7 @@ def _has_leaf(kind: T.DataType) -> bool:
         return _has_leaf(kind.valueType)
     if isinstance(kind, T.StructType):
         return any(_has_leaf(f.dataType) for f in kind.fields)
-    return _leaf_text("x", kind) is not None
+    return isinstance(kind, T.VariantType) or _leaf_text("x", kind) is not None
 
 
 def _rebuild(value: str, kind: T.DataType, leaf: Callable[[str, T.DataType], str]) -> str:
@@ -130,7 +130,10 @@ def _done(value: str, kind: T.DataType, rules: Rules) -> str:
     """The same shape with each leaf turned into the leaf and its redaction."""
 
     def leaf(x: str, k: T.DataType) -> str:
-        result = let(_leaf_text(x, k), lambda t: redact(t, rules))
+        if isinstance(k, T.VariantType):
+            result = let(f"to_json({x})", lambda t: redact_json(t, rules))
+        else:
+            result = let(_leaf_text(x, k), lambda t: redact(t, rules))
         return f"struct({x} AS original, {result} AS result)"
 
     return _rebuild(value, kind, leaf)
@@ -147,6 +150,9 @@ def _masked(done: str, kind: T.DataType, numbers: str) -> str:
 def _masked_leaf(original: str, result: str, kind: T.DataType, numbers: str) -> str:
     if isinstance(kind, T.StringType):
         return f"{result}.text"
+    if isinstance(kind, T.VariantType):
+        changed = f"coalesce(size({result}.redactions), 0) > 0"
+        return f"if({changed}, parse_json({result}.text), {original})"
     same = original if numbers == "variant" else f"{result}.text"
     return (
         f"if(size({result}.redactions) > 0, "
@@ -312,28 +318,31 @@ def redact_json_column(df: DataFrame, rules: Rules, body: str = "body") -> DataF
     return redact_payloads(typed, rules, body, "_type").drop("_type")
 
 
-def redact_chat(df: DataFrame, rules: Rules, body: str, schema: str) -> DataFrame:
-    """Model requests of a known schema: ``messages[].content`` masked, the rest
-    of the request as it was."""
-    request = T.StructType.fromDDL(schema)
-    fields = request["messages"].dataType.elementType.fields
-    messages = transform(
-        "_request.messages",
-        lambda m: "struct("
-        + ", ".join(
-            (
-                f"{redact(f'{m}.content', rules)}.text"
-                if f.name == "content"
-                else f"{m}.{name(f.name)}"
-            )
-            + f" AS {name(f.name)}"
-            for f in fields
-        )
-        + ")",
-    )
-    return (
-        df.withColumn("_request", F.from_json(body, request))
-        .withColumn("_request", F.col("_request").withField("messages", F.expr(messages)))
-        .withColumn(body, F.to_json("_request", {"ignoreNullFields": "false"}))
-        .drop("_request")
+def redact_chat(df: DataFrame, rules: Rules, body: str = "body") -> DataFrame:
+    """Model requests: every leaf of the whole request masked, whatever its keys.
+
+    Adds ``redactions`` and ``blocked``. A request that is not JSON is masked as text.
+    """
+    return redact_json_column(df, rules, body)
+
+
+def chat_requests(
+    turns: DataFrame, key: str, order: str, role: str, content: str, **settings
+) -> DataFrame:
+    """(key, body): one request for each conversation, its messages in order.
+
+    ``settings`` are further keys of the request, before and after ``messages`` as
+    they are given: a setting of ``...`` marks the place of the messages.
+    """
+    message = F.struct(F.col(role).alias("role"), F.col(content).alias("content"))
+    gathered = turns.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct(order, message.alias("m")))).alias("all")
     )
+    messages = F.transform("all", lambda x: x["m"]).alias("messages")
+    fields = [
+        messages if value is ... else F.lit(value).alias(name_)
+        for name_, value in settings.items()
+    ]
+    if ... not in settings.values():
+        fields.append(messages)
+    return gathered.select(key, F.to_json(F.struct(*fields)).alias("body"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.fixed_values import TYPE_LABELS
 from ..functions.masking import NO_REDACTIONS, is_blocked, redactions_of, splice
-from ..functions.spans import HIT_FIELDS, detections, with_python_spans
+from ..functions.spans import HIT, HIT_FIELDS, detections, with_python_spans
 from ..functions.sqltext import case, keep, name, quote, transform
 from ..rules import Rules
 
@@ -62,18 +63,49 @@ def redact_given_hits(
     gathers is bounded by its own length. Only texts with hits get a list; if
     the lists are small Spark broadcasts them and the texts are not shuffled.
     """
-    columns = [
-        F.col(f) if f in hits.columns else F.lit(None).cast("int").alias(f)
-        for f in HIT_FIELDS
-    ]
-    best = hits.groupBy(*keys, "start", "end").agg(
-        F.max_by(F.struct(*columns), F.struct("confidence", -F.col("ord"))).alias("hit")
+    best = (
+        _typed(hits)
+        .groupBy(*keys, "start", "end")
+        .agg(F.max_by(F.struct(*HIT_FIELDS), F.struct("confidence", -F.col("ord"))).alias("hit"))
     )
     lists = best.groupBy(*keys).agg(F.collect_list("hit").alias("_hits"))
     joined = df.join(lists, list(keys), "left")
+    joined = joined.withColumn("_hits", F.expr(_fitted("_hits", name(text))))
     return redact_text(joined, rules, text, hits="_hits").drop("_hits")
 
 
+_ABSENT = {"ord": 0, "confidence": 1.0, "checksum_valid": False}
+
+
+def _typed(hits: DataFrame) -> DataFrame:
+    """Hits with all fields, from any that have ``type``, ``start`` and ``end``.
+
+    An absent confidence is 1, an absent order 0; check digits of which nothing is known
+    count as not confirmed.
+    """
+    fields = []
+    for field in T.StructType.fromDDL(HIT[len("struct<") : -1]).fields:
+        value = F.col(field.name) if field.name in hits.columns else F.lit(None)
+        if field.name in _ABSENT:
+            value = F.coalesce(value, F.lit(_ABSENT[field.name]))
+        fields.append(value.cast(field.dataType).alias(field.name))
+    others = [c for c in hits.columns if c not in HIT_FIELDS]
+    return hits.select(*others, *fields)
+
+
+def _fitted(hits: str, text: str) -> str:
+    """Spans clipped to the text, which also gives a value that is absent."""
+
+    def fit(h: str) -> str:
+        start, end = f"greatest({h}.start, 0)", f"least({h}.end, length({text}))"
+        raw = f"coalesce({h}.raw, substr({text}, {start} + 1, {end} - {start}))"
+        new = {"start": start, "end": end, "raw": raw}
+        fields = ", ".join(f"{new.get(f, f'{h}.{f}')} AS {f}" for f in HIT_FIELDS)
+        return f"struct({fields})"
+
+    return keep(transform(hits, fit), lambda h: f"{h}.start < {h}.end")
+
+
 def released(redacted: DataFrame) -> DataFrame:
     """What may leave: rows without a blocking redaction.
 
@@ -85,9 +117,23 @@ def released(redacted: DataFrame) -> DataFrame:
     return redacted.select(F.explode(kept).alias("row")).select("row.*")
 
 
+WRITTEN = ("type", "policy", "checksum_valid", "line", "col", "masked")
+"""Fields of a redaction that may be written; the raw value is none of them."""
+
+
+def without_raw(redacted: DataFrame) -> DataFrame:
+    """Redactions reduced to what may leave; every sink of rows goes through here."""
+    if "redactions" not in redacted.columns:
+        return redacted
+    fields = transform(
+        "redactions", lambda r: f"struct({', '.join(f'{r}.{f} AS {f}' for f in WRITTEN)})"
+    )
+    return redacted.withColumn("redactions", F.expr(fields))
+
+
 def with_route(redacted: DataFrame) -> DataFrame:
     """``route`` = output or quarantine; written with ``sinks.write_routed``."""
-    return redacted.withColumn(
+    return without_raw(redacted).withColumn(
         "route", F.when(F.col("blocked"), "quarantine").otherwise("output")
     )
 
@@ -121,7 +167,8 @@ def mask_summary(redacted: DataFrame) -> DataFrame:
         .groupBy("type")
         .agg(F.count("*").alias("n"))
         .withColumn("label", type_label("type"))
-        .orderBy(F.desc("n"), "type")
+        .withColumn("position", F.row_number().over(Window.orderBy(F.desc("n"), "type")))
+        .orderBy("position")
     )
 
 

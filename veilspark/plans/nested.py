@@ -126,32 +126,31 @@ _SAID = (
     "lpad(CAST((conv_id * 7919 + turn) % 1000000000 AS string), 9, '0') || ' at db' || "
     "CAST(turn AS string) || '.corp'"
 )
-CHAT_SCHEMA = "model string, messages array<struct<role: string, content: string>>, max_tokens bigint"
 
 
 @query(
     "redact_chat_turns",
     _masked(
+        policy="CASE WHEN type = 'phone' THEN 'block' ELSE 'mask' END",
         texts=f"""corpus AS (SELECT conv_id * 1000 + turn AS doc_id, role AS source,
-            {_SAID} AS text FROM conversations)"""
+            {_SAID} AS text FROM conversations)""",
     )
-    + """ SELECT doc_id, '{"model":"m","messages":[{"role":"' || source || '","content":'
-        || to_json(text) || '}],"max_tokens":256}' AS request FROM masked_text""",
+    + """ SELECT doc_id // 1000 AS conv_id, '{"model": "m", "messages": [' || string_agg(
+        '{"role": "' || source || '", "content": ' || to_json(text) || '}', ', ' ORDER BY doc_id)
+        || '], "max_tokens": 256}' AS body, CAST(sum(n_redactions) AS INTEGER) AS n_redactions,
+        bool_or(blocked) AS blocked FROM masked_text GROUP BY doc_id // 1000""",
 )
 def redact_chat_turns(spark, folder):
+    """A request of all messages of each conversation."""
     turns = read_table(
         spark, f"{folder}/conversations.parquet", ["conv_id", "turn", "role", "text"]
+    ).withColumn("content", F.expr(_SAID))
+    requests = N.chat_requests(
+        turns, "conv_id", "turn", "role", "content", model="m", messages=..., max_tokens=256
     )
-    requests = turns.select(
-        F.expr("conv_id * 1000 + turn").alias("doc_id"),
-        F.to_json(
-            F.expr(
-                f"""named_struct('model', 'm', 'messages', array(named_struct('role', role,
-                'content', {_SAID})), 'max_tokens', 256L)"""
-            )
-        ).alias("request"),
-    )
-    return N.redact_chat(requests, Rules.default(), "request", CHAT_SCHEMA)
+    rules = Rules.from_layers({"detectors": {"phone": {"policy": "block"}}})
+    done = N.redact_chat(requests, rules)
+    return done.select("conv_id", "body", F.size("redactions").alias("n_redactions"), "blocked")
 
 
 # -- typed columns ----------------------------------------------------------

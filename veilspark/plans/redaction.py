@@ -144,7 +144,7 @@ _BLOCKED = O.hits() + O.redactions(policy=BLOCK_SQL) + O.spliced()
 def block_route(spark, folder):
     path = sinks.scratch_folder(spark, "routed")
     done = R.redact_text(corpus(spark, folder), blocking())
-    sinks.write_routed(done.select("doc_id", "source", "text", "blocked"), path)
+    sinks.write_routed(done, path)
     return spark.read.parquet(path).select("doc_id", "source", "text", "route")
 
 
@@ -176,8 +176,9 @@ def counts_by_type(spark, folder):
     "mask_summary",
     O.hits()
     + O.redactions()
-    + f""" SELECT type, {O.type_label("type")} AS label, count(*) AS n FROM redactions
-        GROUP BY ALL ORDER BY n DESC, type""",
+    + f""" SELECT type, {O.type_label("type")} AS label, count(*) AS n,
+        CAST(row_number() OVER (ORDER BY count(*) DESC, type) AS INTEGER) AS position
+        FROM redactions GROUP BY type""",
 )
 def mask_summary(spark, folder):
     return R.mask_summary(R.redact_text(corpus(spark, folder), Rules.default()))
@@ -243,51 +244,35 @@ def sink_hits_json(spark, folder):
     ).json(path)
 
 
-# the records are scanned again as texts of their own, under the same rules
 _LEAK_SQL = (
-    O.hits("phone", "bank_card", extra=CUSTOM_SEARCHES)
+    O.hits(extra=CUSTOM_SEARCHES)
     + O.redactions()
     + f""",
-records AS (SELECT doc_id, source, redaction_no, type, raw,
+records AS (SELECT type, raw,
     '{{"schema":1,"ts":"{TS}","type":"' || type || '","action":"mask","checksum_valid":'
     || CAST(checksum_valid AS VARCHAR) || ',"file":"' || source || '","line":null,"col":null,'
     || '"rule_id":"' || type || '","masked_preview":"' || masked || '"}}' AS json FROM redactions),
-again AS (SELECT doc_id, source || '#' || redaction_no AS source, json AS text FROM records),
-"""
-    + O.search_ctes(
-        [*O.built_in("phone", "bank_card"), *CUSTOM_SEARCHES], "again", "again_"
-    )
-    + """
+every AS (SELECT DISTINCT raw AS piece FROM records),
+lines AS (SELECT DISTINCT json FROM records),
+holding AS (SELECT DISTINCT json FROM lines JOIN every ON contains(json, piece))
 SELECT type, count(*) AS n_entries, count(*) FILTER (contains(json, raw)) AS n_own_raw,
-    count(*) FILTER (EXISTS (SELECT 1 FROM again_found AS a WHERE a.doc_id = r.doc_id
-        AND a.source = r.source || '#' || r.redaction_no
-        AND a.raw IN (SELECT raw FROM redactions))) AS n_detected_again
-FROM records AS r GROUP BY type"""
+    count(*) FILTER (json IN (SELECT json FROM holding)) AS n_any_raw
+FROM records GROUP BY type"""
 )
 
 
 @query("audit_leak_check", _LEAK_SQL)
 def audit_leak_check(spark, folder):
-    off = {t: {"enabled": False} for t in ("id_card", "uscc", "intranet_domain")}
-    rules = Rules.from_layers(CUSTOM_LAYER, {"detectors": off})
-    done = R.redact_text(corpus(spark, folder), rules)
-    with_raw = A.audit_entries(
-        done.withColumn("doc", F.concat_ws("/", "doc_id", "source")),
-        ts=TS,
-        keys=["doc"],
-        keep_raw=True,
-    )
-    # read three times, so written once
-    path = sinks.scratch_folder(spark, "entries")
-    with_raw.write.parquet(path)
-    return A.leaks(spark.read.parquet(path), rules)
+    done = R.redact_text(corpus(spark, folder), Rules.from_layers(CUSTOM_LAYER))
+    return A.leaks(A.audit_entries(done, ts=TS, keep_raw=True))
 
 
 @query(
     "report_by_type",
     _BLOCKED
-    + f""" SELECT type, {O.type_label("type")} AS label, count(*) AS n FROM redactions
-        GROUP BY ALL ORDER BY n DESC, type""",
+    + f""" SELECT type, {O.type_label("type")} AS label, count(*) AS n,
+        CAST(row_number() OVER (ORDER BY count(*) DESC, type) AS INTEGER) AS position
+        FROM redactions GROUP BY type""",
 )
 def report_by_type(spark, folder):
     return A.report_by_type(entries(spark, folder))

@@ -14,6 +14,9 @@ from .redaction import _BLOCKED, TS, blocking, entries
 from .registry import query
 
 
+FILES = 64
+
+
 @query(
     "src_text_corpus",
     O.hits(texts="corpus AS (SELECT doc_id, 'f' AS source, text FROM documents)")
@@ -23,18 +26,31 @@ from .registry import query
         USING (doc_id)""",
 )
 def src_text_corpus(spark, folder):
-    """Every document as a file of its own, read back as whole files."""
+    """Documents as lines of a bounded number of files, read back as whole files."""
     path = sinks.scratch_folder(spark, "files")
     documents = readers.read_table(
         spark, f"{folder}/documents.parquet", ["doc_id", "text"]
     )
-    documents.write.partitionBy("doc_id").text(path)
+    # no more files than FILES, whatever the number of documents
+    group = F.pmod(F.col("doc_id"), F.lit(FILES)).alias("part")
+    line = F.concat(F.col("doc_id"), F.lit("\x1e"), F.translate("text", "\n", "\x1f"))
+    documents.select(line.alias("value"), group).repartition("part").write.partitionBy(
+        "part"
+    ).text(path)
     files = readers.read_text_files(spark, path, glob="*.txt")
-    counted = H.hit_counts(readers.spread(files), Rules.default())
-    return counted.select(
-        F.regexp_extract("source", "doc_id=([0-9]+)", 1).cast("long").alias("doc_id"),
-        F.length("text").alias("n_chars"),
-        "n_hits",
+    # a file is one text: its hits are found in it whole, then told to its documents
+    found = H.scan(readers.spread(files), Rules.default(), keys=["source"])
+    lines = files.select("source", F.posexplode(F.split("text", "\n")).alias("at", "value"))
+    parts = F.split("value", "\x1e")
+    lines = lines.filter("value <> ''").select(
+        "source",
+        (F.col("at") + 1).alias("line"),
+        parts[0].cast("long").alias("doc_id"),
+        (F.length(parts[1]) + 1).alias("n_chars"),
+    )
+    n = found.groupBy("source", "line").agg(F.count("*").cast("int").alias("n_hits"))
+    return lines.join(n, ["source", "line"], "left").select(
+        "doc_id", "n_chars", F.coalesce("n_hits", F.lit(0)).alias("n_hits")
     )
 
 
@@ -127,27 +143,32 @@ def stream_redact(spark, folder):
 @query(
     "stream_block_audit",
     _BLOCKED
-    + """ SELECT source, count(*) AS n_rows, count(*) FILTER (blocked) AS n_quarantined,
-        CAST(sum(n_redactions) AS BIGINT) AS n_entries FROM masked_text GROUP BY source""",
+    + """ SELECT CAST(doc_id AS VARCHAR) || '/' || source AS place, text,
+        CASE WHEN blocked THEN 'quarantine' ELSE 'output' END AS what, n_redactions AS n,
+        CAST(NULL AS BOOLEAN) AS checksum_valid FROM masked_text
+    UNION ALL SELECT source, masked, type || ' ' || policy, 1, checksum_valid FROM redactions""",
 )
 def stream_block_audit(spark, folder):
+    """Every routed row, and every line of the audit."""
     out, state = (sinks.scratch_folder(spark, p) for p in ("gate", "state"))
     jobs.stream_block_audit(
         _arriving(spark, folder), blocking(), out, state, ts=TS
     ).awaitTermination()
-    routed = (
-        spark.read.parquet(f"{out}/routed")
-        .groupBy("source")
-        .agg(
-            F.count("*").alias("n_rows"),
-            F.count_if(F.col("route") == "quarantine").alias("n_quarantined"),
-        )
+    routed = spark.read.parquet(f"{out}/routed").select(
+        F.concat_ws("/", "doc_id", "source").alias("place"),
+        "text",
+        F.col("route").alias("what"),
+        F.size("redactions").alias("n"),
+        F.lit(None).cast("boolean").alias("checksum_valid"),
     )
-    log = readers.read_audit_log(spark, f"{out}/audit")
-    logged = log.groupBy(F.col("file").alias("source")).agg(F.count("*").alias("n_entries"))
-    return routed.join(logged, "source", "left").select(
-        "source", "n_rows", "n_quarantined", F.coalesce("n_entries", F.lit(0)).alias("n_entries")
+    logged = readers.read_audit_log(spark, f"{out}/audit").select(
+        F.col("file").alias("place"),
+        F.col("masked_preview").alias("text"),
+        F.concat_ws(" ", "type", "action").alias("what"),
+        F.lit(1).alias("n"),
+        "checksum_valid",
     )
+    return routed.union(logged)
 
 
 @query(

@@ -9,26 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.audit import audit_json
-from ..operators.redaction import released, with_route
+from ..operators.redaction import released, with_route, without_raw
 
 
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder all executors share, for tables that cut or stage a job.
 
-    It lies in the folder the cluster names in ``spark.checkpoint.dir``. Only a
-    local session may do without that setting.
+    It lies in the folder the cluster names in ``spark.checkpoint.dir``. A local
+    session without that setting, as in tests, gets one folder for its life.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder all nodes share")
         base = tempfile.mkdtemp(prefix="veilspark-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def write_masked(redacted: DataFrame, path: str, columns: list[str]) -> None:
-    """Only rows that are not blocked, as parquet."""
-    released(redacted).select(*columns).write.mode("append").parquet(path)
+    """Only rows that are not blocked, as parquet, without raw values."""
+    without_raw(released(redacted).select(*columns)).write.mode("append").parquet(path)
 
 
 def write_routed(redacted: DataFrame, path: str) -> None:

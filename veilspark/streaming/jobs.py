@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.audit import audit_entries, audit_json
+from ..operators.nested import redact_payloads
 from ..operators.redaction import redact_text, released, with_route
 from ..rules import Rules
 from ..sources.readers import parse_audit_lines
@@ -23,18 +24,60 @@ def read_text_stream(
     )
 
 
+ALL_NOW = {"availableNow": True}
+
+
+def _redacted(
+    df: DataFrame, rules: Rules, body: str, content_type: str | None
+) -> DataFrame:
+    """Bodies by their content type, or texts, with the same columns added."""
+    if content_type is None:
+        return redact_text(df, rules, body)
+    done = redact_payloads(df.withColumn("original_len", F.length(body)), rules, body, content_type)
+    return done.withColumn("n_redactions", F.size("redactions")).withColumn(
+        "changed", F.size("redactions") > 0
+    )
+
+
+def _append_batch(
+    batch: DataFrame, number: int, path: str, file: str, ts: str | None, audit: bool
+) -> None:
+    """One micro-batch in folders of its own, which a second run overwrites.
+
+    Redaction runs once: rows are written with their redactions, without raw values,
+    and the audit is derived from what was written.
+    """
+    routed = f"{path}/routed/batch={number}"
+    with_route(batch).write.mode("overwrite").partitionBy("route").parquet(routed)
+    if audit:
+        written = batch.sparkSession.read.schema(with_route(batch).schema).parquet(routed)
+        audit_entries(written, file, ts).select(audit_json().alias("value")).write.mode(
+            "overwrite"
+        ).text(f"{path}/audit/batch={number}")
+
+
 def stream_redact(
-    stream: DataFrame, rules: Rules, path: str, checkpoint: str, text: str = "text"
+    stream: DataFrame,
+    rules: Rules,
+    path: str,
+    checkpoint: str,
+    text: str = "text",
+    content_type: str | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Masked rows appended to ``path``; blocked rows are left out."""
-    masked = redact_text(stream, rules, text)
+    """Masked rows appended to ``path``; blocked rows are left out.
+
+    With ``content_type``, a column, bodies of JSON are masked leaf by leaf. ``trigger``
+    are the arguments of the stream's trigger; by default it ends with what is there.
+    """
+    masked = _redacted(stream, rules, text, content_type)
     kept = released(masked).select(*stream.columns, "n_redactions", "original_len")
     return (
         kept.writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ALL_NOW))
         .start()
     )
 
@@ -47,36 +90,31 @@ def stream_block_audit(
     text: str = "text",
     file: str = "source",
     ts: str | None = None,
+    content_type: str | None = None,
+    audit: bool = True,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Per micro-batch: every row routed and every redaction in the audit log.
-
-    Each batch owns the folder ``batch=N`` of both tables and overwrites it, so a
-    batch run again after a failure leaves one copy. Redaction runs once per
-    batch: the routed rows are written with their redactions, and the audit is
-    derived from what was written.
-    """
+    """Per micro-batch: every row routed and, with ``audit``, every redaction logged."""
 
     def write_batch(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        routed = f"{path}/routed/batch={number}"
-        with_route(redact_text(batch, rules, text)).write.mode("overwrite").partitionBy(
-            "route"
-        ).parquet(routed)
-        written = spark.read.parquet(routed)
-        audit_entries(written, file, ts).select(audit_json().alias("value")).write.mode(
-            "overwrite"
-        ).text(f"{path}/audit/batch={number}")
+        done = _redacted(batch, rules, text, content_type)
+        _append_batch(done, number, path, file, ts, audit)
 
     return (
         stream.writeStream.foreachBatch(write_batch)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ALL_NOW))
         .start()
     )
 
 
 def stream_audit_report(
-    spark: SparkSession, log: str, path: str, checkpoint: str, files_per_batch: int = 1000
+    spark: SparkSession,
+    log: str,
+    path: str,
+    checkpoint: str,
+    files_per_batch: int = 1000,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Counts per type and action over a growing audit log.
 
@@ -99,6 +137,6 @@ def stream_audit_report(
         counts.writeStream.outputMode("complete")
         .foreachBatch(replace_report)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ALL_NOW))
         .start()
     )
