@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import set_aside, stored
 from .textbytes import (
     LOWER,
     WORD,
@@ -238,8 +238,8 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark window occurs, columns unchanged."""
-    found = find_contamination(docs, benchmark)
-    return found.filter(F.size("_runs") == 0).select(*docs.columns)
+    docs, restored = set_aside(docs, *_ADDED)
+    return restored(find_contamination(docs, benchmark).filter(F.size("_runs") == 0))
 
 
 ORACLE = r"""

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import set_aside, stored
 
 BUCKET_ROWS = 5000
 SALTS = 64
@@ -28,6 +28,11 @@ CLASSES = (0.25, 0.5, 0.75, 1.0)
 """Quality weights, by how many of 100 characters are symbols: over 10, over 5, over 1."""
 
 
+DRAWN = ["_source", "_size", "_weight", "_draw", "_key"]
+ADDED = [*DRAWN, "_salt", "_repeats", "_time", "source_size", "target", "epochs", "rest"]
+ADDED += ["cut", "start"]
+
+
 def n_words(text: str) -> Column:
     return F.coalesce(
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long")
@@ -205,12 +210,11 @@ def mix_documents(
     The plan is made from a table without texts; texts are read once more to be
     given out, and drawn again with the same result.
     """
+    docs, restored = set_aside(docs, *ADDED)
     drawn = keyed(docs, seed)
-    narrow = [c for c in drawn.columns if c in ("doc_id", "source") or c not in docs.columns]
-    plan = mixture_plan(stored(drawn.select(*narrow), "drawn"), weights)
-    times = F.explode(F.expr("sequence(1, _repeats)"))
-    rows = with_repeats(drawn, plan).filter("_repeats > 0").select("*", times)
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    plan = mixture_plan(stored(drawn.select("doc_id", "source", *DRAWN), "drawn"), weights)
+    times = F.explode(F.expr("sequence(1, _repeats)")).alias("_time")
+    return restored(with_repeats(drawn, plan).filter("_repeats > 0").select("*", times))
 
 
 ORACLE = r"""

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import stored
+from .tables import set_aside, stored
 from .textbytes import slices, texts_of
 
 SHINGLE = 3
@@ -154,15 +154,14 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | None = No
     """Smallest reachable row of each of n rows over the links a-b."""
     labels = np.arange(n) if labels is None else labels
     while len(a):
-        least = np.minimum(labels[a], labels[b])
-        for side in (a, b):
-            np.minimum.at(labels, labels[side], least)
-            np.minimum.at(labels, side, least)
-        labels = labels[labels]
+        # every label is a root; a root hooks to the least it is linked to, and links
+        # to others stay open until both ends have one root
+        first, second = labels[a], labels[b]
+        np.minimum.at(labels, np.maximum(first, second), np.minimum(first, second))
+        while (labels[labels] != labels).any():
+            labels = labels[labels]
         open_ = labels[a] != labels[b]
         a, b = a[open_], b[open_]
-    while (labels[labels] != labels).any():
-        labels = labels[labels]
     return labels
 
 
@@ -301,6 +300,7 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     Of rows that share the smallest doc_id, the one with the smallest hash of its
     columns stays; of rows equal in all columns one stays.
     """
+    docs, restored = set_aside(docs, "_fingerprint", "_row", "_id", "_r", "n", "_component")
     columns = docs.columns
     row = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in columns])
     keyed = docs.withColumn("_row", row)
@@ -321,7 +321,7 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
 
     repeated = kept.filter("n > 1")
     if repeated.isEmpty():
-        return rows(kept).select(*columns)
+        return restored(rows(kept))
     first = F.first(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("d")
     one = rows(repeated).groupBy("_id", "_r").agg(first).select("d.*")
-    return rows(kept.filter("n = 1")).select(*columns).union(one)
+    return restored(rows(kept.filter("n = 1")).select(*columns).union(one))

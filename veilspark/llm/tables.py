@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.sinks import scratch_folder
 
@@ -29,5 +31,20 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def set_aside(
+    docs: DataFrame, *names: str
+) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The rows with columns of these names out of the way, and what brings them back:
+    exactly the columns of ``docs``."""
+    columns = docs.columns
+    moved = {c: f"{c}__given" for c in columns if c in names}
+    renamed = docs.withColumnsRenamed(moved)
+
+    def restored(rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(f"`{moved.get(c, c)}`").alias(c) for c in columns])
+
+    return renamed, restored
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

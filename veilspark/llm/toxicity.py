@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import set_aside, stored
 from .textbytes import slices
 
 TRAIN_ROWS = 12_000
@@ -91,7 +91,9 @@ SEED_WEIGHT = 3.0
 _LATIN = {ord(x): latin for latin, like in HOMOGLYPHS.items() for x in like}
 _LATIN |= {0xFF41 + i: chr(0x61 + i) for i in range(26)}  # full width
 _SIGNS = re.escape("".join(SUBSTITUTES))
-_DISGUISED = re.compile(rf"[^\W\d_]+(?:[{_SIGNS}]+[^\W\d_]+)+|[{_SIGNS}]+[^\W\d_]{{2,}}")
+_DISGUISED = re.compile(
+    rf"[{_SIGNS}]*[^\W\d_]+(?:[{_SIGNS}]+[^\W\d_]+)+|[{_SIGNS}]+[^\W\d_]{{2,}}"
+)
 _SIGN_TO_LETTER = str.maketrans(SUBSTITUTES)
 _HAS_SIGN = re.compile(rf"[{_SIGNS}]")
 WORDS = re.compile(r"[^\W\d_]+")
@@ -392,5 +394,5 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score below the cut, columns unchanged."""
-    scored = score(docs, learn(docs, labels))
-    return scored.filter(F.col("_toxicity") < CUT).select(*docs.columns)
+    docs, restored = set_aside(docs, "_toxicity")
+    return restored(score(docs, learn(docs, labels)).filter(F.col("_toxicity") < CUT))
