@@ -36,7 +36,7 @@ LENGTH = 50
 GRAM = 16
 SPAN = LENGTH - GRAM + 1
 """Parts of a string; the smallest hash among them is the anchor."""
-SLICE = 8 << 20
+SLICE = 2 << 20
 BLOCK = 1 << 20
 """Bytes of pieces whose suffixes are sorted together."""
 CROWDED = 20_000
@@ -55,40 +55,63 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray):
     if n < LENGTH:
         none = np.empty(0, np.int64)
         return none, none, none, np.empty(0, np.uint64)
-    hashes = mix(data.astype(np.uint64) + np.uint64(1))
-    width = 1
-    while width < GRAM:  # hashes of 2, 4, 8, 16 bytes
-        hashes = mix(hashes[:-width] * np.uint64(0x9E3779B97F4A7C15) + hashes[width:])
-        width *= 2
+    eight = _eights(data)
+    hashes = eight[: n - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15)
+    hashes ^= hashes >> np.uint64(32)
+    hashes += eight[8 : n - GRAM + 9]
+    hashes = mix(hashes)
     least, width = hashes, 1
     while 2 * width <= SPAN:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     if width < SPAN:
         least = np.minimum(least[: len(least) - (SPAN - width)], least[SPAN - width :])
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(least)]
-    whole = np.arange(len(least)) + LENGTH <= offsets[doc + 1]
+    # strings that would run into the next text
+    over = np.zeros(n + 1, np.int8)
+    sizes = np.diff(offsets)
+    np.add.at(over, np.maximum(offsets[1:] - LENGTH + 1, offsets[:-1])[sizes > 0], 1)
+    np.add.at(over, offsets[1:][sizes > 0], -1)
+    whole = np.cumsum(over[: len(least)], dtype=np.int8) == 0
     begins = np.ones(len(least), bool)
-    begins[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
+    np.not_equal(least[1:], least[:-1], out=begins[1:])
+    begins[offsets[:-1][offsets[:-1] < len(least)]] = True
     ends = np.append(begins[1:], True) | ~np.append(whole[1:], True)
     first = np.flatnonzero(begins & whole)
     last = np.flatnonzero(ends & whole)
-    return doc[first], first - offsets[doc[first]], last - first + 1, least[first]
+    doc = np.searchsorted(offsets, first, "right") - 1
+    return doc, first - offsets[doc], last - first + 1, least[first]
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number; zeros after the end."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    return np.ndarray((len(data),), np.uint64, padded, strides=(1,)).copy()
 
 
 def _first_rows(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order of the rows by the keys, and where in it the first key's groups begin."""
     order = np.lexsort(keys[::-1])
     top = keys[0][order]
-    return order, np.flatnonzero(np.append(True, top[1:] != top[:-1]))
+    return order, np.flatnonzero(np.append(True, top[1:] != top[:-1])[: len(top)])
 
 
 _BLOCKS = (
     "p int, anchor array<int>, piece array<bigint>, doc array<bigint>, salt array<bigint>, "
-    "start array<int>, n array<int>, known array<boolean>"
+    "start_low array<smallint>, start_high array<smallint>, n_low array<smallint>, "
+    "n_high array<smallint>, known array<boolean>"
 )
 
 
+def _halves(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Low and high 16 bits; apart, the high ones, mostly zero, compress to nothing."""
+    both = values.astype("<i4").view("<i2").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+def _whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return np.column_stack([low, high]).astype("<i2").view("<i4").ravel()
+
+
 def _cut(partitions: int):
     """Step 1: rows of arrays, one for each slice and partition."""
 
@@ -108,6 +131,7 @@ def _cut(partitions: int):
             known[order] = (ids[order] > least) & same
             p = (anchor >> np.uint64(33)) % np.uint64(partitions)
             low = (anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+            low, piece = np.where(known, 0, low), np.where(known, 0, piece.view(np.int64))
             order = np.argsort(p, kind="stable")
             p = p[order].astype(np.int32)
             borders = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(p) else p
@@ -119,15 +143,14 @@ def _cut(partitions: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(p[borders]),
-                    column(low),
-                    column(piece.view(np.int64)),
+                    column(low.astype(np.int32)),
+                    column(piece),
                     column(ids),
                     column(salts),
-                    column(start.astype(np.int32)),
-                    column(n.astype(np.int32)),
+                    *map(column, (*_halves(start), *_halves(n))),
                     column(known),
                 ],
-                names=["p", "anchor", "piece", "doc", "salt", "start", "n", "known"],
+                names=[f.split()[0] for f in _BLOCKS.split(", ")],
             )
 
     return run
@@ -144,6 +167,8 @@ def _match(table: pa.Table) -> pa.Table:
         for c in table.column_names
         if c != "p"
     }
+    flat["start"] = _whole(flat.pop("start_low"), flat.pop("start_high"))
+    flat["n"] = _whole(flat.pop("n_low"), flat.pop("n_high"))
     known = flat.pop("known").astype(bool)
     out = [{c: flat[c][known] for c in ("doc", "salt", "start", "n", "anchor")}]
     kinds = [np.full(int(known.sum()), REPEAT)]
@@ -299,9 +324,7 @@ def repeated_starts(pieces: list[bytes], docs: np.ndarray) -> list[tuple[int, in
     order = order[starts_string[order]]
     if not len(order):
         return []
-    padded = np.append((text - 2).astype(np.uint8), np.zeros(8, np.uint8))
-    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(text)]
-    eight = np.ascontiguousarray(eight).view(np.uint64).ravel()
+    eight = _eights((text - 2).astype(np.uint8))
     equal = np.ones(len(order) - 1, bool)
     for k in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
         equal &= eight[order[1:] + k] == eight[order[:-1] + k]
@@ -318,6 +341,29 @@ def repeated_starts(pieces: list[bytes], docs: np.ndarray) -> list[tuple[int, in
     return list(zip(piece.tolist(), (first - begin[piece]).tolist(), count.tolist(), strict=True))
 
 
+def _promising(pieces: list[bytes], docs: np.ndarray) -> np.ndarray:
+    """Pieces with a string whose hash another document's piece has as well.
+
+    Words that many texts share give pieces an anchor in common but seldom 50 bytes; the
+    rest need not be sorted.
+    """
+    keep = np.zeros(len(pieces), bool)
+    if not pieces:
+        return keep
+    sizes = np.array([len(p) for p in pieces])
+    ends = np.cumsum(sizes)
+    count = sizes - LENGTH + 1
+    owner = np.repeat(np.arange(len(pieces)), count)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + (ends - sizes)[owner]
+    hashes = span_hashes(np.frombuffer(b"".join(pieces), np.uint8), at, at + LENGTH)
+    order, begin = _first_rows(hashes)
+    doc = docs[owner[order]]
+    shared = np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin)
+    group = np.cumsum(np.bincount(begin, minlength=len(order))) - 1
+    keep[owner[order[shared[group]]]] = True
+    return keep
+
+
 def _compare(table: pa.Table) -> pa.Table:
     """Step 3, for one partition, in blocks of whole anchors."""
     out: list[tuple] = []
@@ -327,6 +373,7 @@ def _compare(table: pa.Table) -> pa.Table:
     for i in np.flatnonzero(sizes == 0).tolist():  # known to be repeats
         out.append((docs[i], salts[i], starts[i], 1))
     filled = np.flatnonzero(sizes)
+    filled = filled[_promising([pieces[i] for i in filled.tolist()], docs[filled])]
     order, begin = _first_rows(table["anchor"].to_numpy()[filled])
     order = filled[order]
     block: list[int] = []
@@ -366,9 +413,13 @@ def _cut_out(batches: Iterator[pa.RecordBatch]):
         for k in range(batch.num_rows):
             text = data[offsets[k] : offsets[k + 1]]
             a, b = (lists[k], lists[k + 1]) if repeats[k].is_valid else (0, 0)
-            change = np.zeros(len(text) + 1, np.int64)
-            np.add.at(change, start[a:b], 1)
-            np.add.at(change, start[a:b] + count[a:b] - 1 + LENGTH, -1)
+            if a == b:
+                rows.append({"n_bytes": len(text), "spans": [], "kept": text.tobytes()})
+                continue
+            change = np.bincount(start[a:b], minlength=len(text) + 1)
+            change -= np.bincount(
+                start[a:b] + count[a:b] - 1 + LENGTH, minlength=len(text) + 1
+            )
             gone = np.cumsum(change[:-1]) > 0
             edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
             rows.append(
@@ -382,9 +433,9 @@ def _cut_out(batches: Iterator[pa.RecordBatch]):
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
-    """doc_id, text, ``_id`` (null as the largest) and ``_salt``, which parts rows that
-    share a doc_id by their texts; 0 where all ids are different."""
-    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("_id"))
+    """text, ``_id`` (null as the largest) and ``_salt``, which parts rows that share a
+    doc_id by their texts; 0 where all ids are different."""
+    rows = docs.select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"))
     again = rows.groupBy("_id").count().filter("count > 1").select("_id")
     if again.isEmpty():
         return rows.withColumn("_salt", F.lit(0).cast("long"))
@@ -427,7 +478,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept: documents without repeats.
 
-    ``kept`` are the remaining bytes, which may end inside a character. A null or empty
+    Ids are whole numbers; the largest of 64 bits stands for null. ``kept`` are the remaining bytes, which may end inside a character. A null or empty
     text has no bytes. A null doc_id is larger than all others; rows that share a doc_id
     remove nothing from each other; copies of a text lose all of it but in the document
     with the smallest id. An empty table gives no rows.
@@ -444,7 +495,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch, found in _cut_out(batches):
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
+                    pa.array([None if i == LAST else i for i in batch["_id"].to_pylist()], pa.int64()),
                     pa.array([r["n_bytes"] for r in found], pa.int64()),
                     pa.array([r["n_bytes"] - len(r["kept"]) for r in found], pa.int64()),
                     pa.array([len(r["spans"]) for r in found], pa.int64()),
@@ -454,16 +505,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return (
-        rows.join(repeats, same, "left")
-        .select("doc_id", "text", "repeats")
+    # the same columns as the other join takes: texts are shuffled once for both
+    kind = docs.schema["doc_id"].dataType
+    found = (
+        rows.select("_id", "_salt", "text")
+        .join(repeats, same, "left")
+        .select("_id", "text", "repeats")
         .mapInArrow(
             run,
-            f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, "
+            "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, "
             "kept_sha256 string, kept binary",
         )
     )
+    return found.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def repeats_report(docs: DataFrame) -> DataFrame:
