@@ -43,13 +43,16 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     rules = Rules.default()
+    custom = Rules.from_layers(
+        {"custom_patterns": [{"type": f"t{i}", "pattern": rf"EMP{i}-(?P<v>\d{{4,6}})"} for i in range(5)]}
+    )
 
     def texts() -> DataFrame:
         return corpus(spark, SF_DIR)
 
     def documents() -> DataFrame:
         return read_table(
-            spark, f"{SF_DIR}/documents.parquet", ["doc_id", "source", "text"]
+            spark, f"{SF_DIR}/documents.parquet", ["doc_id", "source", "text"], small=True
         )
 
     def redacted() -> DataFrame:
@@ -72,6 +75,8 @@ def main() -> None:
     queries = {
         "read_only": lambda: noop(documents()),
         "detect_documents": lambda: noop(hits.scan(documents(), rules, positions=False)),
+        "positions_documents": lambda: noop(hits.scan(documents(), rules)),
+        "custom_documents": lambda: noop(hits.scan(documents(), custom, positions=False)),
         "detect_all": lambda: noop(hits.scan(texts(), rules, positions=False)),
         "scan_positions": lambda: noop(hits.scan(texts(), rules)),
         "scan_gate": lambda: noop(hits.scan_gate(texts(), rules)),

@@ -12,11 +12,10 @@ from veilspark.functions.fixed_values import (
     ID_CARD_WEIGHTS,
     INTRANET_SUFFIXES,
     USCC_ALPHABET,
+    USCC_CLASS,
     USCC_WEIGHTS,
 )
 
-B31 = "[0-9A-HJ-NP-RTUWXYa-hj-np-rtuwxy]"
-OCTET = r"\d{1,3}"
 
 
 def id_ok(v):
@@ -52,6 +51,7 @@ def host_ok(v):
     return v.lower().endswith(INTRANET_SUFFIXES)
 
 
+# What the six kinds look like, in Python's spelling.
 KINDS = [
     ("id_card", "id_card", r"(?<![0-9A-Za-z])\d{17}[0-9Xx](?![0-9A-Za-z])", id_ok),
     ("phone", "phone", r"(?<!\d)1[3-9]\d{9}(?!\d)", lambda v: True),
@@ -61,12 +61,12 @@ KINDS = [
         r"(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,4}(?:[ -]\d{1,3})?)(?![\d-])",
         card_ok,
     ),
-    ("uscc", "uscc", rf"(?<![0-9A-Za-z]){B31}{{2}}\d{{6}}{B31}{{10}}(?![0-9A-Za-z])", uscc_ok),
+    ("uscc", "uscc", rf"(?<![0-9A-Za-z]){USCC_CLASS}{{2}}\d{{6}}{USCC_CLASS}{{10}}(?![0-9A-Za-z])", uscc_ok),
     (
         "private_ip",
         "intranet_domain",
-        rf"(?<![\d.])(?:10\.{OCTET}|192\.168|172\.(?:1[6-9]|2\d|3[01])|127\.{OCTET})"
-        rf"\.{OCTET}\.{OCTET}(?![\d.])",
+        r"(?<![\d.])(?:10\.\d{1,3}\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3}"
+        r"|172\.(?:1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3}|127\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![\d.])",
         ip_ok,
     ),
     (

@@ -209,3 +209,22 @@ def test_columns(spark, numbers):
     assert (row.f, row.dec, row.nothing, row.bools) == ("1380***8000.0", MASKED, None, [True])
     assert row.a == [(MASKED, MASKED, True), None] and row.m == {ID: f"y {MASKED}"}
     assert len(row.redactions) == 7 and not row.blocked
+
+
+def test_json_of_any_size_and_depth(spark):
+    long = '{"13800138000": "' + "x" * 25_000_000 + f' {ID}"' + "}"
+    deep = "[" * 2000 + f'"{ID}", 1' + "]" * 2000
+    twice = f'{{"k{ID}": 1, "k{ID}": "{ID}", "n": NaN}}'
+    broken = [f'{{"{ID}": 1,}}', f'{{"a": [1 2], "{ID}": 1}}', f'{{"a": \x02, "{ID}": 3}}', f'[1}} {ID}']
+    rows = run(spark, [long, deep, twice, *broken])
+    assert rows[0].body.startswith('{"13800138000": "xxx') and rows[0].body.endswith(f' {MASKED}"}}')
+    assert rows[1].body == deep.replace(ID, MASKED)
+    assert rows[2].body == twice.replace(f'"{ID}"', f'"{MASKED}"')
+    for row, body in zip(rows[3:], broken, strict=True):
+        assert row.body == body.replace(ID, MASKED)  # text, keys as well
+
+
+def test_custom_patterns_in_json(spark):
+    rules = Rules.from_layers({"custom_patterns": [{"type": "t", "pattern": r"^EMP-\d+$"}]})
+    [row] = run(spark, ['{"EMP-1": ["EMP-12", "x EMP-12", "a\\nEMP-12", "EMP-\\u0031"]}'], rules)
+    assert json.loads(row.body) == {"EMP-1": ["EMP-*2", "x EMP-12", "a\nEMP-12", "EMP-*"]}

@@ -54,6 +54,11 @@ class JavaPattern:
     value_group: int
 
 
+# Java matches a repeated group by recursion, so a long match ends the stack; Python's
+# engine does not. Repeats of a single character are loops in both.
+_OPEN_REPEAT = re.compile(r"[*+]|\{\d*,\}|\{(?:\d*,)?\d{3,}\}")
+
+
 def to_java(pattern: str) -> JavaPattern | None:
     """The Java form of a Python pattern, or None where it is not certain.
 
@@ -93,6 +98,8 @@ def to_java(pattern: str) -> JavaPattern | None:
             depth += 1
         elif token["close"]:
             depth -= 1
+            if _OPEN_REPEAT.match(pattern, at):
+                return None
             if value_at is not None and not value_closed and depth == 0:
                 value_closed = True
                 if re.match(r"[*+?{]", pattern[at:]):

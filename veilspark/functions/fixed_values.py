@@ -58,3 +58,6 @@ DEFAULT_ALLOWLIST = ("00000000000000000X", "example.internal")
 # Record format of the audit log.
 AUDIT_SCHEMA_VERSION = 1
 AUDIT_PREVIEW_LENGTH = 64
+
+# The characters of a unified social credit code, in either case.
+USCC_CLASS = "[0-9A-HJ-NP-RTUWXYa-hj-np-rtuwxy]"

@@ -16,14 +16,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from .checksums import GATES, ascii_digits
-from .fixed_values import CONFIDENCE, INTRANET_SUFFIXES
+from .fixed_values import CONFIDENCE, INTRANET_SUFFIXES, USCC_CLASS
 from .sqltext import fresh
 
 D = r"\p{Nd}"
 W = r"\p{L}\p{N}_"
 _ALNUM = "0-9A-Za-z"
-# Fixed value: the base-31 letters in either case
-_BASE31 = "0-9A-HJ-NP-RTUWXYa-hj-np-rtuwxy"
+_BASE31 = USCC_CLASS[1:-1]
 _SUFFIX = (
     r"\.(?i:" + "|".join(s[1:].replace(".", r"\.") for s in INTRANET_SUFFIXES) + ")"
 )

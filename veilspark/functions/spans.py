@@ -46,14 +46,22 @@ def detections(text: str, rules: Rules, python_spans: dict[int, str] | None = No
     recognizers run only on rows with a match of their joint guard.
     ``python_spans`` names the columns :func:`with_python_spans` has added.
     """
-    built_in, parts = [], []
+    built_in, custom, parts = [], [], []
     for order, recognizer in rules.recognizers():
         if recognizer.guard:
             built_in.append((order, recognizer))
         elif recognizer.python_pattern is not None:
             parts.append(_python_hits(order, recognizer, python_spans or {}))
         else:
-            parts.append(_custom_hits(text, order, recognizer))
+            custom.append((order, recognizer))
+    if custom:
+        # one pass decides for most rows that none of the user's patterns matches
+        found = [
+            f"if(rlike({text}, {quote(r.pattern)}), {_custom_hits(text, order, r)}, {NO_HITS})"
+            for order, r in custom
+        ]
+        guard = quote(_alternatives([r.pattern for _, r in custom]))
+        parts.append(f"if(rlike({text}, {guard}), concat({', '.join(found)}), {NO_HITS})")
     if built_in:
         guard = joint_guard([r for _, r in built_in])
         found = _located(text, built_in)
@@ -73,22 +81,42 @@ def guard_of(rules: Rules) -> str | None:
     return joint_guard(recognizers)
 
 
+def _alternatives(patterns: list[str]) -> str:
+    return "|".join(f"(?:{p})" for p in patterns)
+
+
+def exact_guard_of(rules: Rules) -> str | None:
+    """As :func:`guard_of` with the user's patterns: it must be given the very text that
+    is searched. None where a pattern needs Python's engine."""
+    recognizers = [r for _, r in rules.recognizers()]
+    if not recognizers or any(r.python_pattern is not None for r in recognizers):
+        return None
+    guarded = [r for r in recognizers if r.guard]
+    own = [r.pattern for r in recognizers if not r.guard]
+    return _alternatives([joint_guard(guarded), *own] if guarded else own)
+
+
 def copy_fields(item: str, fields: list[str]) -> str:
     """Fields of a struct, for building another struct."""
     return ", ".join(f"{item}.{f} AS {name(f)}" for f in fields)
 
 
 def positioned(text: str, hits: str) -> str:
-    """The hits with their line and column in the text."""
-    return let(
-        hits,
-        lambda found: with_positions(
+    """The hits with their line and column in the text.
+
+    Lines are counted only where there are hits.
+    """
+
+    def placed(found: str) -> str:
+        positions = with_positions(
             text,
             found,
             lambda hit, line, col: f"struct({copy_fields(hit, HIT_FIELDS[:-2])}, "
             f"{line} AS line, {col} AS col)",
-        ),
-    )
+        )
+        return f"if(size({found}) > 0, {positions}, {NO_HITS})"
+
+    return let(hits, placed)
 
 
 def with_python_spans(

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.masking import NO_REDACTIONS, is_blocked, redact
 from ..functions.numbers import float_text, integer_text
-from ..functions.spans import guard_of
+from ..functions.spans import exact_guard_of, guard_of
 from ..functions.sqltext import (
     fresh,
     let,
@@ -196,13 +196,58 @@ def is_json(body: str) -> str:
     """True for one whole JSON value other than null.
 
     Wrapped in a list and in a map, since the parser stops after the first value
-    and text after it must not pass.
+    and text after it must not pass. What the parser refuses may only be too long, too
+    deep or have a key twice: then the grammar itself decides, which has no limits.
     """
     tests = [
         f"try_parse_json(concat({quote(left)}, {body}, {quote(right)})) IS NOT NULL"
         for left, right in (("[", "]"), ('{"v":', "}"))
     ]
-    return f"coalesce(trim({body}) <> 'null' AND {' AND '.join(tests)}, false)"
+    return (
+        f"coalesce(trim({body}) <> 'null' AND (({' AND '.join(tests)}) "
+        f"OR {_fits_grammar(body)}), false)"
+    )
+
+
+# Possessive throughout, as above. \x01 stands for a string, \x02 for any other value;
+# JSON holds neither.
+_GRAMMAR_STRING = r'"(?:[^"\\\x00-\x1f]++|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*+"'
+_GRAMMAR_VALUE = (
+    r"-?+(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?+[0-9]++)?+(?![0-9.eE])"
+    r"|true|false|null|NaN|-?Infinity"
+)
+_INNERMOST = (
+    r"\{(?:\x01:[\x01\x02](?:,\x01:[\x01\x02])*+)?+\}"
+    r"|\[(?:[\x01\x02](?:,[\x01\x02])*+)?+\]"
+)
+
+
+def _fits_grammar(body: str) -> str:
+    """Tokens become single characters, and the innermost brackets values, level by level."""
+
+    def replaced(text: str, pattern: str, by: str) -> str:
+        return f"regexp_replace({text}, {quote(pattern)}, {quote(by)})"
+
+    def reduced(tokens: str) -> str:
+        brackets = f"split({replaced(tokens, r'[^\[\]{}]', '')}, '')"
+        depth, bracket, value, level = (fresh(x) for x in "dbvl")
+        deepest = (
+            f"aggregate({brackets}, struct(0 AS now, 1 AS most), ({depth}, {bracket}) -> struct("
+            f"{depth}.now + CASE WHEN {bracket} IN ('[', '{{') THEN 1 "
+            f"WHEN {bracket} = '' THEN 0 ELSE -1 END AS now, "
+            f"greatest({depth}.most, {depth}.now + 1) AS most)).most"
+        )
+        return (
+            f"aggregate(sequence(1, {deepest}), {tokens}, ({value}, {level}) -> "
+            f"{replaced(value, _INNERMOST, chr(2))}) IN ({quote(chr(1))}, {quote(chr(2))})"
+        )
+
+    tokens = replaced(body, _GRAMMAR_STRING, "\x01")
+    tokens = replaced(tokens, _GRAMMAR_VALUE, "\x02")
+    tokens = replaced(tokens, r"[ \t\r\n]", "")
+    opens = f"rlike({body}, {quote(r'^[ \t\r\n]*[\[{]')})"
+    foreign = f"rlike({body}, {quote(r'[\x01\x02]')})"
+    return f"({opens} AND NOT {foreign} AND {let(tokens, reduced)})"
 
 
 def redact_json(body: str, rules: Rules) -> str:
@@ -254,6 +299,12 @@ def _settled(token: str, rules: Rules) -> str:
     """A string token that stays as it is, seen without decoding it: no hit can be
     in it, and none of its escapes is spelled otherwise on output."""
     guard = guard_of(rules)
+    if guard is None and (exact := exact_guard_of(rules)) is not None:
+        inner = f"substr({token}, 2, length({token}) - 2)"
+        return (
+            f"startswith({token}, '\"') AND NOT contains({token}, '\\\\') "
+            f"AND NOT rlike({inner}, {quote(exact)})"
+        )
     if guard is None:
         return "false"
     return (

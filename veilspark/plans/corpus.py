@@ -131,7 +131,7 @@ FROM ({flipped_values_sql(customer)}) AS f"""
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, source, text``: the real documents and the planted texts."""
     documents = read_table(
-        spark, f"{folder}/documents.parquet", ["doc_id", "source", "text"]
+        spark, f"{folder}/documents.parquet", ["doc_id", "source", "text"], small=True
     )
     return documents.unionByName(planted(spark, folder))
 
@@ -144,7 +144,9 @@ def planted(spark: SparkSession, folder: str) -> DataFrame:
     dozens of expressions would be computed anew for every expression on it."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _staged:
-        customer = read_table(spark, f"{folder}/customer.parquet", ["c_custkey"])
+        customer = read_table(
+        spark, f"{folder}/customer.parquet", ["c_custkey"], small=True
+    )
         path = scratch_folder(spark, "planted")
         spark.sql(planted_sql("{customer}"), customer=customer).write.parquet(path)
         _staged[key] = path
@@ -153,5 +155,7 @@ def planted(spark: SparkSession, folder: str) -> DataFrame:
 
 def planted_values(spark: SparkSession, folder: str) -> DataFrame:
     """The single values, wrong check digits included."""
-    customer = read_table(spark, f"{folder}/customer.parquet", ["c_custkey"])
+    customer = read_table(
+        spark, f"{folder}/customer.parquet", ["c_custkey"], small=True
+    )
     return spark.sql(flipped_values_sql("{customer}"), customer=customer)

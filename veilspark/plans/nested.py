@@ -143,7 +143,7 @@ _SAID = (
 def redact_chat_turns(spark, folder):
     """A request of all messages of each conversation."""
     turns = read_table(
-        spark, f"{folder}/conversations.parquet", ["conv_id", "turn", "role", "text"]
+        spark, f"{folder}/conversations.parquet", ["conv_id", "turn", "role", "text"], small=True
     ).withColumn("content", F.expr(_SAID))
     requests = N.chat_requests(
         turns, "conv_id", "turn", "role", "content", model="m", messages=..., max_tokens=256
@@ -200,7 +200,7 @@ def redact_columns(spark, folder):
 )
 def src_table_text(spark, folder):
     documents = read_table(
-        spark, f"{folder}/documents.parquet", ["doc_id", "source", "text"]
+        spark, f"{folder}/documents.parquet", ["doc_id", "source", "text"], small=True
     )
     done = redact_text(documents, Rules.default())
     return done.select("doc_id", "text", "n_redactions")

@@ -18,6 +18,7 @@ from ..functions.fixed_values import (
     MASK_LABELS,
     TYPE_LABELS,
     USCC_ALPHABET,
+    USCC_CLASS,
     USCC_WEIGHTS,
 )
 from .corpus import planted_sql
@@ -72,8 +73,8 @@ def uscc_ok(v: str) -> str:
     return f"({total} + {last}) % 31 = 0"
 
 
-_BASE31 = "[0-9A-HJ-NP-RTUWXYa-hj-np-rtuwxy]"
 _ENDINGS = "|".join(s.replace(".", "\\.") for s in INTRANET_SUFFIXES)
+# What the six kinds look like, in DuckDB's spelling.
 SEARCHES = (
     Search("id_card", "id_card", "0-9A-Za-z", r"\d{17}[0-9Xx]", id_card_ok("raw"), True, 0.99),
     Search("phone", "phone", "0-9", r"1[3-9]\d{9}", "true", False, 0.8),
@@ -90,7 +91,7 @@ SEARCHES = (
         "uscc",
         "uscc",
         "0-9A-Za-z",
-        _BASE31 + r"{2}\d{6}" + _BASE31 + "{10}",
+        USCC_CLASS + r"{2}\d{6}" + USCC_CLASS + "{10}",
         uscc_ok("raw"),
         True,
         0.97,

@@ -29,7 +29,7 @@ def src_text_corpus(spark, folder):
     """Documents as lines of a bounded number of files, read back as whole files."""
     path = sinks.scratch_folder(spark, "files")
     documents = readers.read_table(
-        spark, f"{folder}/documents.parquet", ["doc_id", "text"]
+        spark, f"{folder}/documents.parquet", ["doc_id", "text"], small=True
     )
     # no more files than FILES, whatever the number of documents
     group = F.pmod(F.col("doc_id"), F.lit(FILES)).alias("part")
@@ -70,7 +70,7 @@ _UNION_SQL = """corpus AS (
 )
 def src_union_sources(spark, folder):
     def texts(table: str, column: str):
-        read = readers.read_table(spark, f"{folder}/{table}.parquet", [column])
+        read = readers.read_table(spark, f"{folder}/{table}.parquet", [column], small=True)
         return read.select(F.lit(table).alias("source"), F.col(column).alias("text"))
 
     together = readers.union_sources(
@@ -112,7 +112,9 @@ _LINES = f"""CASE c_custkey % 6
 )
 def src_audit_tolerant(spark, folder):
     path = sinks.scratch_folder(spark, "log")
-    customer = readers.read_table(spark, f"{folder}/customer.parquet", ["c_custkey"])
+    customer = readers.read_table(
+        spark, f"{folder}/customer.parquet", ["c_custkey"], small=True
+    )
     customer.select(F.expr(_LINES).alias("value")).write.text(path)
     return readers.read_audit_log(spark, path)
 

@@ -21,9 +21,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def read_table(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """Columns of a parquet table as a source of texts."""
-    return spread(spark.read.parquet(path).select(*columns))
+def read_table(
+    spark: SparkSession, path: str, columns: Sequence[str], small: bool = False
+) -> DataFrame:
+    """Columns of a parquet table as a source of texts.
+
+    ``small``: the table may be of one file, and its rows are spread over the cores.
+    """
+    table = spark.read.parquet(path).select(*columns)
+    return spread(table) if small else table
 
 
 def read_text_files(spark: SparkSession, *paths: str, glob: str = "*") -> DataFrame:
