@@ -341,56 +341,84 @@ def repeated_starts(pieces: list[bytes], docs: np.ndarray) -> list[tuple[int, in
     return list(zip(piece.tolist(), (first - begin[piece]).tolist(), count.tolist(), strict=True))
 
 
-def _promising(pieces: list[bytes], docs: np.ndarray) -> np.ndarray:
-    """Pieces with a string whose hash another document's piece has as well.
+def _shared_runs(pieces: list[bytes], docs: np.ndarray) -> list[tuple[int, int, int]]:
+    """(piece, first, count): strings whose hash another document's piece has as well.
 
     Words that many texts share give pieces an anchor in common but seldom 50 bytes; the
     rest need not be sorted.
     """
-    keep = np.zeros(len(pieces), bool)
     if not pieces:
-        return keep
+        return []
     sizes = np.array([len(p) for p in pieces])
-    ends = np.cumsum(sizes)
     count = sizes - LENGTH + 1
     owner = np.repeat(np.arange(len(pieces)), count)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + (ends - sizes)[owner]
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    at = inside + (np.cumsum(sizes) - sizes)[owner]
     hashes = span_hashes(np.frombuffer(b"".join(pieces), np.uint8), at, at + LENGTH)
     order, begin = _first_rows(hashes)
     doc = docs[owner[order]]
-    shared = np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin)
+    differ = np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin)
     group = np.cumsum(np.bincount(begin, minlength=len(order))) - 1
-    keep[owner[order[shared[group]]]] = True
-    return keep
+    shared = np.zeros(len(order), bool)
+    shared[order] = differ[group]
+    before = np.append(False, shared[:-1]) & (inside > 0)
+    after = np.append(shared[1:], False) & np.append(inside[1:] > 0, False)
+    first, last = np.flatnonzero(shared & ~before), np.flatnonzero(shared & ~after)
+    runs = zip(owner[first].tolist(), inside[first].tolist(), (last - first + 1).tolist(), strict=True)
+    return list(runs)
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """Step 3, for one partition, in blocks of whole anchors."""
-    out: list[tuple] = []
-    pieces = table["piece"].to_pylist()
-    docs, salts, starts = (table[c].to_numpy() for c in ("doc", "salt", "start"))
-    sizes = np.array([len(p) for p in pieces])
-    for i in np.flatnonzero(sizes == 0).tolist():  # known to be repeats
-        out.append((docs[i], salts[i], starts[i], 1))
-    filled = np.flatnonzero(sizes)
-    filled = filled[_promising([pieces[i] for i in filled.tolist()], docs[filled])]
-    order, begin = _first_rows(table["anchor"].to_numpy()[filled])
-    order = filled[order]
-    block: list[int] = []
-    borders = np.append(begin, len(order))
-    size = 0
-    for k in range(len(begin)):
-        group = order[borders[k] : borders[k + 1]].tolist()
-        block += group
-        size += int(sizes[group].sum())
-        if size >= BLOCK or k + 1 == len(begin):
-            found = repeated_starts([pieces[i] for i in block], docs[block])
-            out += [
-                (docs[block[i]], salts[block[i]], starts[block[i]] + first, n)
-                for i, first, n in found
-            ]
+    """Step 3, for one partition, in blocks of whole anchors.
+
+    Equal runs of strings are sorted once, for the smallest document that has them;
+    larger documents repeat it.
+    """
+    doc, salt, start, n = [], [], [], []
+
+    def repeat(i: int, first: int, count: int) -> None:
+        doc.append(docs[i])
+        salt.append(salts[i])
+        start.append(starts[i] + first)
+        n.append(count)
+
+    pieces, anchors = table["piece"].to_pylist(), table["anchor"].to_numpy()
+    docs, salts, starts = (table[c].to_pylist() for c in ("doc", "salt", "start"))
+    filled = []
+    for i, piece in enumerate(pieces):
+        if piece:
+            filled.append(i)
+        else:
+            repeat(i, 0, 1)  # known to be one
+    own = np.array(docs, np.int64)[filled]
+    holders: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+    for k, first, count in _shared_runs([pieces[i] for i in filled], own):
+        i = filled[k]
+        run = pieces[i][first : first + count - 1 + LENGTH]
+        holders.setdefault((int(anchors[i]), run), []).append((i, first))
+    del pieces
+    block: list[tuple[bytes, int, list[tuple[int, int]]]] = []
+    size, last = 0, None
+
+    def sort_block() -> None:
+        found = repeated_starts([b[0] for b in block], np.array([b[1] for b in block]))
+        for k, first, count in found:
+            for i, at in block[k][2]:
+                repeat(i, at + first, count)
+
+    for anchor, run in sorted(holders, key=lambda h: h[0]):
+        if size >= BLOCK and anchor != last:
+            sort_block()
             block, size = [], 0
-    doc, salt, start, n = zip(*out, strict=True) if out else ((), (), (), ())
+        places = holders[anchor, run]
+        least = min(docs[i] for i, _ in places)
+        for i, first in places:
+            if docs[i] > least:
+                repeat(i, first, len(run) - LENGTH + 1)
+        block.append((run, least, [(i, f) for i, f in places if docs[i] == least]))
+        size, last = size + len(run), anchor
+    if block:
+        sort_block()
     return pa.table(
         {
             "doc": pa.array(doc, pa.int64()),
