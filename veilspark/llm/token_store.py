@@ -12,6 +12,7 @@ range are a running sum over the ranges, so nothing counts through all documents
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,15 +27,15 @@ from .tables import shared_folder
 from .textbytes import LOWER, slices, texts_of
 
 END_ID = 2
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS = 200_000
 """Chunks of text whose ids a worker remembers, twice at most."""
 TOGETHER = 1000
 BETWEEN = "<|endoftext|>"
 """A special token of the tokenizer; chunks with a ``<|`` are encoded one by one."""
-SLICE = 16 << 20
+SLICE = 4 << 20
 
 PARQUET = {
-    "compression": "zstd",
+    "compression": "snappy",  # packed dictionary numbers hardly shrink any further
     "parquet.writer.version": "PARQUET_2_0",  # delta encoding where a dictionary is too large
     "parquet.enable.dictionary": "true",
     "parquet.dictionary.page.size": str(1 << 20),
@@ -46,10 +47,17 @@ PARQUET = {
 _BREAK = np.zeros(256, bool)
 _BREAK[[0x20, 0x0A]] = True
 _MARK = np.zeros(256, bool)
-_MARK[[ord("."), ord(",")]] = True
+_MARK[[c for c in b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("A") : ord("Z") + 1] = _LETTER[ord("a") : ord("z") + 1] = True
 
+# letters of words stay in a range where no normal form or lower case makes several of one
+_NOT_PLAIN = re.compile("[^\\x00-\\x7fÀ-ÖØ-öø-įı-ſ]").search
+# how the tokenizer's model spells the bytes of UTF-8 that make up those letters
+_BYTE_SIGNS = np.arange(256, dtype="<u4")
+_BYTE_SIGNS[0x7F:0xA1] += 0x100 + 33 - 0x7F
+_BYTE_SIGNS[0xAD] = 0x143
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -66,42 +74,76 @@ class ChunkEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.between = self.tokenizer.token_to_id(BETWEEN)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def learn(self, chunks: list[str]) -> None:
-        """Ids of new chunks: many at once, parted by a special token none of them has."""
-        alone = [c for c in chunks if "<|" in c]
-        encoded = self.tokenizer.encode_batch(alone, add_special_tokens=False)
-        for c, e in zip(alone, encoded, strict=True):
-            self.young[c] = np.array(e.ids, np.int32).tobytes()
-        plain = [c for c in chunks if "<|" not in c] if alone else chunks
-        for i in range(0, len(plain), TOGETHER):
-            part = plain[i : i + TOGETHER]
-            line = BETWEEN.join(part)
-            (e,) = self.tokenizer.encode_batch_fast([line], add_special_tokens=False)
-            ids = np.array(e.ids, np.int32)
-            cut = 4 * np.append(np.flatnonzero(ids == self.between), len(ids))
-            raw, cut = ids.tobytes(), cut.tolist()
-            first = [0, *(c + 4 for c in cut[:-1])]
-            for c, a, b in zip(part, first, cut, strict=True):
-                self.young[c] = raw[a:b]
+        """Ids of new chunks. A chunk that is one word of plain letters skips the
+        normaliser: it goes to the model as it is, and its last token shows its end."""
+        words = [c for c in chunks if c.strip().isalpha()]
+        line = " ".join(words)
+        if _NOT_PLAIN(line):
+            words = [c for c in words if not _NOT_PLAIN(c)]
+            line = " ".join(words)
+        if words:
+            if not line.isascii():
+                spelled = np.frombuffer(line.lower().encode(), np.uint8)
+                line = _BYTE_SIGNS[spelled].tobytes().decode("utf-32-le")
+            ids = self._ids(self.plain, line)
+            cut = np.append(0, 4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            found = [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            self.young.update(zip(words, found, strict=True))
+        others = [c for c in chunks if c not in self.young] if len(words) < len(chunks) else []
+        for i in range(0, len(others), TOGETHER):
+            self._learn_others(others[i : i + TOGETHER])
+
+    @staticmethod
+    def _ids(tokenizer, text: str) -> np.ndarray:
+        (encoded,) = tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(encoded.ids, np.int32)
+
+    def _learn_others(self, chunks: list[str]) -> None:
+        """Chunks parted by a special token, or alone if they might hold one."""
+        if any("<|" in c for c in chunks):
+            for c in chunks:
+                self.young[c] = self._ids(self.tokenizer, c).tobytes()
+            return
+        ids = self._ids(self.tokenizer, BETWEEN.join(chunks))
+        cut = 4 * np.append(np.flatnonzero(ids == self.between), len(ids))
+        raw, cut = ids.tobytes(), cut.tolist()
+        first = [0, *(c + 4 for c in cut[:-1])]
+        for c, a, b in zip(chunks, first, cut, strict=True):
+            self.young[c] = raw[a:b]
 
     def ids_of(self, chunks: list[str]) -> list[bytes]:
         if len(self.young) > CACHED_CHUNKS:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        self.learn([c for c in chunks if c not in young and c not in old])
-        return [young[c] if c in young else young.setdefault(c, old[c]) for c in chunks]
+        found = [*map(young.get, chunks)]
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        for i in missing:
+            if (ids := old.get(chunks[i])) is not None:
+                young[chunks[i]] = ids
+        self.learn([chunks[i] for i in missing if chunks[i] not in young])
+        for i in missing:
+            found[i] = young[chunks[i]]
+        return found
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by the end id, and the n + 1 borders."""
-        starts = self.cuts(data, offsets)
-        if b"<|" not in data.tobytes():  # names of special tokens mind the case
+        plain = b"<|" not in data.tobytes()
+        starts = self.cuts(data, offsets, plain)
+        if plain:  # names of special tokens mind the case
             data = LOWER[data]
         tiles = pa.Array.from_buffers(
             pa.large_string(),
@@ -123,20 +165,17 @@ class ChunkEncoder:
         return out, borders
 
     @staticmethod
-    def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Where chunks begin: each text, what follows a space, a mark after a letter."""
+    def cuts(data: np.ndarray, offsets: np.ndarray, marks: bool = True) -> np.ndarray:
+        """Where chunks begin: each text, spaces before a word, a mark after a letter.
+
+        Where the names of special tokens may stand, marks begin none.
+        """
         space = _BREAK[data]
         begin = np.zeros(len(data), bool)
-        begin[1:] = space[:-1] & ~space[1:]
-        last = np.zeros(len(data), bool)
-        last[:-1] = space[1:]
-        filled = offsets[1:] > offsets[:-1]
-        last[offsets[1:][filled] - 1] = True
-        mark = _MARK[data] & last
-        mark[1:] &= _LETTER[data[:-1]]
-        mark[:1] = False
-        begin |= mark
-        begin[offsets[:-1][filled]] = True
+        begin[1:] = space[1:] & ~space[:-1]
+        if marks:
+            begin[1:] |= _MARK[data[1:]] & _LETTER[data[:-1]]
+        begin[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
         return np.flatnonzero(begin)
 
 
@@ -182,12 +221,17 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, text: str = "text
 
 
 def _with_starts(rows: DataFrame) -> DataFrame:
-    """Adds ``start``, the ids of all documents before. One row per range is summed."""
+    """Adds ``start``, the ids of all documents before.
+
+    Sums are one row per range, so no more than the partitions of one shuffle: they
+    are broadcast, and the ids stay where they are read.
+    """
     shards = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")
     start = F.col("before") + F.col("start_in_shard")
-    return rows.join(shards.select("shard", before), "shard").withColumn("start", start)
+    shards = F.broadcast(shards.select("shard", before))
+    return rows.join(shards, "shard").withColumn("start", start)
 
 
 def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
