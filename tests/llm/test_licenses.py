@@ -54,3 +54,12 @@ def test_common_words_are_not_looked_up(spark):
     index = L._Index(n, counts)
     assert index.idf[L.VOCABULARY.index("license")] == 0
     assert index.idf[L.VOCABULARY.index("apache")] > 0
+
+
+def test_files_of_many_licenses(spark):
+    labels = ["apache-2", "bsd", "cc0", "gpl-3", "isc", "mit", "mpl-2", "unlicense"]
+    longest = {x: max((t for own, t, _ in L.TEMPLATES if own == x), key=len) for x in labels}
+    notices = " ".join(f"{prose(i, 30)} {longest[x]}." for i, x in enumerate(labels))
+    rows = [(0, notices, "en", "a", 1)] + [(i, prose(i, 40), "en", "a", 1) for i in range(1, 60)]
+    got = {r.doc_id: r.labels for r in L.license_report(table(spark, rows)).collect()}
+    assert got[0].split(",") == labels and not any(got[i] for i in range(1, 60))

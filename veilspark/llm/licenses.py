@@ -1,8 +1,8 @@
 """License scans by a positional index of rare words.
 
-The templates' words are counted over all documents. A file looks up its
-``RAREST`` licence words of the highest inverse document frequency; each posting
-(template, place) votes, with that weight, for the shift between file and template, so
+The templates' words are counted over all documents. A file looks up all its rare
+licence words, however many they are; each posting (template, place) votes, with the
+word's inverse document frequency, for the shift between file and template, so
 words that stand to each other as in the template meet at one shift. A template whose
 shift gathers enough of its weight is confirmed by its key phrases there.
 
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from .textbytes import LOWER, WORD, slices, span_hashes, texts_of, words_of
 
-RAREST = 24
 COMMON = 0.1
 """Licence words that more than this share of all documents hold are not looked up."""
 ENOUGH = 0.35
@@ -58,6 +57,7 @@ TEMPLATES: list[tuple[str, str, list[str]]] = [
     ("all-rights-reserved", "copyright all rights reserved", ["all rights reserved"]),
 ]
 
+LONGEST = max(len(text.split()) for _, text, _ in TEMPLATES)
 VOCABULARY = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
 
 
@@ -138,25 +138,19 @@ class _Index:
         doc, place, word = doc[rare], place[rare], word[rare]
         if not len(doc):
             return []
-        pairs = np.unique(doc * len(VOCABULARY) + word)
-        d, w = pairs // len(VOCABULARY), pairs % len(VOCABULARY)
-        order = np.lexsort((w, -self.idf[w], d))
-        d, w = d[order], w[order]
-        rank = np.arange(len(d)) - np.searchsorted(d, d)
-        looked_up = np.sort((d * len(VOCABULARY) + w)[rank < RAREST])
-        own = doc * len(VOCABULARY) + word
-        at = np.minimum(np.searchsorted(looked_up, own), len(looked_up) - 1)
-        use = looked_up[at] == own
-        doc, place, word = doc[use], place[use], word[use]
         n = self.first[word + 1] - self.first[word]
         which = np.repeat(np.arange(len(word)), n)
         post = self.posts[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + self.first[word][which]]
-        key = np.column_stack([doc[which], post[:, 0], place[which] - post[:, 1]])
-        votes, inverse = np.unique(key, axis=0, return_inverse=True)
-        weight = np.bincount(inverse.ravel(), self.idf[word][which], len(votes))
-        share = weight / self.total[votes[:, 1]]
+        # a shift is above minus the longest template, a text has under 2**32 words
+        key = doc[which] * len(TEMPLATES) + post[:, 0]
+        key = (key << 32) + (place[which] - post[:, 1] + LONGEST)
+        votes, inverse = np.unique(key, return_inverse=True)
+        weight = np.bincount(inverse, self.idf[word][which], len(votes))
+        both, shift = votes >> 32, (votes & 0xFFFFFFFF) - LONGEST
+        share = weight / self.total[both % len(TEMPLATES)]
         good = share >= ENOUGH
-        return [(*v, s) for v, s in zip(votes[good].tolist(), share[good].tolist(), strict=True)]
+        found = (both // len(TEMPLATES), both % len(TEMPLATES), shift, share)
+        return [*zip(*(x[good].tolist() for x in found), strict=True)]
 
 
 def find_licenses(
