@@ -1,5 +1,7 @@
 import re
 
+import numpy as np
+
 from veilspark.llm import licenses as L
 
 from .data import awkward, prose, table, with_clashes
@@ -63,3 +65,15 @@ def test_files_of_many_licenses(spark):
     rows = [(0, notices, "en", "a", 1)] + [(i, prose(i, 40), "en", "a", 1) for i in range(1, 60)]
     got = {r.doc_id: r.labels for r in L.license_report(table(spark, rows)).collect()}
     assert got[0].split(",") == labels and not any(got[i] for i in range(1, 60))
+
+
+def test_licenses_of_much_of_the_corpus(spark):
+    for t, (label, notice, _) in enumerate(L.TEMPLATES):
+        index = L._Index(30, [30] * len(L.VOCABULARY))
+        words = np.array([L.VOCABULARY.index(w) for w in notice.split()])
+        found = index.candidates(np.zeros(len(words), int), np.arange(len(words)), words)
+        assert (0, t, 0) in [f[:3] for f in found], label
+    header = next(t for own, t, _ in L.TEMPLATES if own == "gpl-3" and "redistribute" in t)
+    texts = [f"{prose(i, 20)} {header if i % 3 == 0 else ''} {prose(i + 50, 20)}" for i in range(30)]
+    got = L.license_report(table(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)]))
+    assert {r.doc_id: r.labels for r in got.collect()} == {i: "" if i % 3 else "gpl-3" for i in range(30)}

@@ -4,7 +4,9 @@ The templates' words are counted over all documents. A file looks up all its rar
 licence words, however many they are; each posting (template, place) votes, with the
 word's inverse document frequency, for the shift between file and template, so
 words that stand to each other as in the template meet at one shift. A template whose
-shift gathers enough of its weight is confirmed by its key phrases there.
+shift gathers enough of its weight is confirmed by its key phrases there. The ``OWN``
+rarest words of a template are looked up for it however common they are, so a licence
+that much of the corpus has is found like any other.
 
 Words are found and hashed for a slice of texts at once, in the task that reads them.
 """
@@ -22,7 +24,11 @@ from pyspark.sql import functions as F
 from .textbytes import LOWER, WORD, slices, span_hashes, texts_of, words_of
 
 COMMON = 0.1
-"""Licence words that more than this share of all documents hold are not looked up."""
+"""Licence words that more than this share of all documents hold are looked up only
+for templates that have them among their ``OWN`` rarest."""
+OWN = 4
+LEAST = 0.05
+"""Weight of a word that all documents hold."""
 ENOUGH = 0.35
 SLACK = 12
 """Words around a template's place in which its key phrases may stand."""
@@ -115,27 +121,31 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, list
 
 
 class _Index:
-    """Postings of the rare words, and the phrases as hashes."""
+    """Postings of the rare words and of each template's own, and the phrases as hashes."""
 
     def __init__(self, n_docs: int, frequencies: list[int]):
         rare = [2 * f <= max(2 * COMMON * n_docs, 4) for f in frequencies]
-        self.idf = np.array([math.log((n_docs + 1) / (f + 0.5)) for f in frequencies])
-        self.idf = np.maximum(self.idf, 1e-6) * rare
+        weight = [math.log((n_docs + 1) / (f + 0.5)) for f in frequencies]
+        self.weight = np.maximum(weight, LEAST)
+        self.idf = self.weight * rare
         number = {w: i for i, w in enumerate(VOCABULARY)}
         posts = [[] for _ in VOCABULARY]
         self.total = np.zeros(len(TEMPLATES))
         for t, (_, text, _) in enumerate(TEMPLATES):
-            for place, word in enumerate(text.split()):
-                posts[number[word]].append((t, place))
-                self.total[t] += self.idf[number[word]]
+            words = [number[w] for w in text.split()]
+            own = sorted(set(words), key=lambda w: (-self.weight[w], w))[:OWN]
+            for place, word in enumerate(words):
+                if rare[word] or word in own:
+                    posts[word].append((t, place))
+                    self.total[t] += self.weight[word]
         self.first = np.cumsum([0, *map(len, posts)])
         self.posts = np.array([p for own in posts for p in own], np.int64)
         self.base = [(label, p.split(), _hash_words(p.split())) for label, p in BASE.items()]
 
     def candidates(self, doc: np.ndarray, place: np.ndarray, word: np.ndarray):
         """(document, template, shift, share of weight) with enough weight."""
-        rare = self.idf[word] > 0
-        doc, place, word = doc[rare], place[rare], word[rare]
+        posted = self.first[word + 1] > self.first[word]
+        doc, place, word = doc[posted], place[posted], word[posted]
         if not len(doc):
             return []
         n = self.first[word + 1] - self.first[word]
@@ -145,7 +155,7 @@ class _Index:
         key = doc[which] * len(TEMPLATES) + post[:, 0]
         key = (key << 32) + (place[which] - post[:, 1] + LONGEST)
         votes, inverse = np.unique(key, return_inverse=True)
-        weight = np.bincount(inverse, self.idf[word][which], len(votes))
+        weight = np.bincount(inverse, self.weight[word][which], len(votes))
         both, shift = votes >> 32, (votes & 0xFFFFFFFF) - LONGEST
         share = weight / self.total[both % len(TEMPLATES)]
         good = share >= ENOUGH
