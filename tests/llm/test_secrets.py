@@ -79,3 +79,20 @@ def brute_cost(text):
 def test_costs_are_minimal_over_words():
     for value in ("secretdragon", "xpasswordy", "loveanddogs7", "mastermind"):
         assert S.guess_cost(value) <= brute_cost(value) + 1e-9
+
+
+def test_values_of_all_signs():
+    cases = [
+        ("password: p@ssW0rd#92xQ", ["p@ssW0rd#92xQ"]),
+        ("x secret=kX9#vTq2!mZ7, y", ["kX9#vTq2!mZ7"]),
+        ('passwd: "Tr0ub4dor&3xx" z', ["Tr0ub4dor&3xx"]),
+        ("password = Tr0ub4dor&3xx", ["Tr0ub4dor&3xx"]),
+        ("token: token: g8#Lp0!vRw", ["g8#Lp0!vRw"]),
+        ("API_KEY=abcdef012345xyz#Q!9z", ["abcdef012345xyz#Q!9z"]),
+        ("DB_PASSWORD=abcdef012345xyz;", []),
+        ("password is g8#Lp0!vRw.", ["g8#Lp0!vRw"]),
+        ("the secret is understanding. password: password!", []),
+        ("token=" * 50_000, []),
+    ]
+    for text, want in cases:
+        assert [text[a:b] for a, k, b, _ in S.secrets_of(text) if k == 3] == want, text[:40]

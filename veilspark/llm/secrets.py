@@ -3,8 +3,9 @@
 A value's guess cost is the least number of guesses, as a power of ten, over all ways
 to cut it into common words, dates, repeats, keyboard walks and single characters
 (dynamic programming over the end of the last piece). Values that follow a credential
-word and cost more than ``HARD`` are reported besides the fixed patterns: the shorter
-values of assignments, and values after other credential words.
+word and cost more than ``HARD`` are reported besides the fixed patterns: the values
+of assignments with all their signs, where a base span does not hold them whole, and
+values after other credential words.
 
 Each text is scanned whole in the task that reads it; nothing is shuffled.
 """
@@ -41,6 +42,16 @@ CONTEXT = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 
+# The credential words of ASSIGN before values with other signs too. After " is " only
+# values with a digit or sign inside are judged: "the secret is understanding" is prose.
+KEY = re.compile(
+    r"""(?:password|passwd|secret|token|api_?key)["']?(\x20*[:=]\x20*|\x20is\x20)["']?""",
+    re.IGNORECASE | re.ASCII,
+)
+VALUE = re.compile(r"[!#-&(-~]+")
+CLOSING = ",;:.)]}>"
+"""Signs that, next to a value, are taken as those of the text around it."""
+
 # Common parts of passwords, the commonest first.
 COMMON = (
     "password 123456 qwerty admin welcome login letmein monkey dragon football iloveyou "
@@ -130,26 +141,43 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def _assigned(text: str) -> Iterator[tuple[int, int]]:
+    """Whole values after the words of ASSIGN; one inside another is part of that."""
+    last = 0
+    for m in KEY.finditer(text):
+        a = m.end()
+        if a < last or not (value := VALUE.match(text, a)):
+            continue
+        last = b = value.end()
+        if text[a - 1] not in "\"'":
+            b = a + len(value[0].rstrip(CLOSING))
+        prose = "is" in m[1].lower() and text[a:b].strip(CLOSING).isalpha()
+        if b - a >= 6 and not prose:
+            yield a, b
+
+
 def secrets_of(text: str) -> list[tuple[int, int, int, float | None]]:
     """(start, kind's number, end, guess cost) of all secrets, in order.
 
     Base kinds are found leftmost and without overlaps inside a kind. Values judged by
-    cost are left out where a base span covers a part of them.
+    cost are left out where base spans hold all of them but closing signs.
     """
-    found, values = [], []
+    found = []
     for m in ASSIGN.finditer(text):
         if m.end(2) - m.start(2) >= ASSIGN_LENGTH:
             found.append((m.start(), 0, m.end(), guess_cost(m[2])))
-        elif m.end(2) - m.start(2) >= 6:
-            values.append(m.span(2))
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), None) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end(), None) for m in HEX.finditer(text)]
-    values += [m.span(1) for m in CONTEXT.finditer(text)]
-    base = list(found)
+    values = [*_assigned(text), *(m.span(1) for m in CONTEXT.finditer(text))]
+    base = sorted((a, b) for a, _, b, _ in found)
     taken: list[tuple[int, int]] = []
     for a, b in sorted(set(values)):
-        if any(x < b and a < y for x, _, y, _ in base) or (taken and a < taken[-1][1]):
+        held = a
+        for x, y in base:
+            if x <= held < y:
+                held = y
+        if not text[held:b].strip(CLOSING) or (taken and a < taken[-1][1]):
             continue
         cost = guess_cost(text[a:b])
         if cost >= HARD:
