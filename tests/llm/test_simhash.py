@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
+from veilspark.llm import near
 from veilspark.llm import simhash as S
 from veilspark.llm.components import components
 
@@ -136,3 +137,28 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in components(df).collect()}
     assert got == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(200)}
     assert components(df.filter("false")).count() == 0
+
+
+def edited(seed, n, changes):
+    words = prose(seed, n).split()
+    for i in range(changes):
+        words[(2 * i + 1) * n // (2 * changes)] = f"edit{i}"
+    return " ".join(words)
+
+
+def test_representatives_of_near_copies(spark):
+    near_copies = [(i, edited(21, 300, i), "en", "a", 1) for i in range(7)]  # 0.8 or more of the first
+    far = [(20, edited(21, 300, 40), "en", "a", 1), (21, prose(22, 300), "en", "a", 1)]
+    chain = [(30 + i, " ".join(prose(23, 400).split()[15 * i :][:300]), "en", "a", 1) for i in range(7)]
+    docs = table(spark, [*near_copies, *far, *chain])
+    assert {r.doc_id for r in S.keep_representatives(docs).collect()} == {0, 20, 21, 30}
+
+
+def test_recall_at_the_threshold():
+    chance, met = np.random.default_rng(8), 0
+    for _ in range(1000):
+        words = chance.integers(0, 2**63, 360, dtype=np.uint64)
+        _, a = near.sketch(words[:324])
+        _, b = near.sketch(words[36:])  # 288 of 360: 0.8
+        met += bool({*a} & {*b})
+    assert met >= 990

@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near
 from .components import components
 from .tables import set_aside, stored
 from .textbytes import slices, texts_of
@@ -295,21 +296,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """One document of each component: that of the smallest doc_id, all columns kept.
+    """One document of each component of near copies (``near``: five-word shingles,
+    Jaccard 0.8 or more): that of the smallest doc_id, all columns kept.
 
     Of rows that share the smallest doc_id, the one with the smallest hash of its
-    columns stays; of rows equal in all columns one stays.
+    columns stays; of rows equal in all columns one stays. Texts without words are
+    copies of each other.
     """
-    docs, restored = set_aside(docs, "_fingerprint", "_row", "_id", "_r", "n", "_component")
+    names = "_row _id _r n _component _set _sketch _keys _root root".split()
+    docs, restored = set_aside(docs, *names)
     columns = docs.columns
     row = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in columns])
     keyed = docs.withColumn("_row", row)
-    prints = fingerprints(keyed, keep=["doc_id", "_row"])
-    prints = prints.groupBy("_fingerprint", "doc_id", "_row").agg(F.count("*").alias("n"))
+    sketched = stored(near.sketches(keyed, "text", ["doc_id", "_row"]), "documents")
+    prints = near.with_roots(sketched, keyed, "text")
+    smallest = prints.groupBy("_root").agg(F.min("doc_id").alias("_component"))
+    prints = prints.join(smallest, "_root").groupBy("_component", "doc_id", "_row")
+    prints = prints.agg(F.count("*").alias("n"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
     kept = (
-        with_components(stored(prints, "documents"))
-        .groupBy("_component")
+        prints.groupBy("_component")
         .agg(F.min_by(F.struct("doc_id", "_row", "n"), order).alias("k"))
         .select(F.col("k.doc_id").alias("_id"), F.col("k._row").alias("_r"), "k.n")
     )
