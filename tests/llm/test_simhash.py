@@ -162,3 +162,11 @@ def test_recall_at_the_threshold():
         _, b = near.sketch(words[36:])  # 288 of 360: 0.8
         met += bool({*a} & {*b})
     assert met >= 990
+
+
+def test_representatives_share_ids_or_have_none(spark):
+    ids = [None, None, None, 5, 5, None]
+    texts = [prose(31 + i, 100) for i in range(5)] + [prose(31, 100)]
+    rows = [(i, t, "en", "a", 1) for i, t in zip(ids, texts, strict=True)]
+    kept = S.keep_representatives(table(spark, rows)).collect()
+    assert sorted(r.text for r in kept) == sorted(set(texts))

@@ -301,21 +301,21 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
 
     Of rows that share the smallest doc_id, the one with the smallest hash of its
     columns stays; of rows equal in all columns one stays. Texts without words are
-    copies of each other.
+    copies of each other. Different texts stay apart also where they share a doc_id or
+    have none.
     """
-    names = "_row _id _r n _component _set _sketch _keys _root root".split()
+    names = "_row _id _r n _set _sketch _keys _root root".split()
     docs, restored = set_aside(docs, *names)
     columns = docs.columns
     row = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in columns])
     keyed = docs.withColumn("_row", row)
     sketched = stored(near.sketches(keyed, "text", ["doc_id", "_row"]), "documents")
     prints = near.with_roots(sketched, keyed, "text")
-    smallest = prints.groupBy("_root").agg(F.min("doc_id").alias("_component"))
-    prints = prints.join(smallest, "_root").groupBy("_component", "doc_id", "_row")
+    prints = prints.groupBy("_root", "doc_id", "_row")
     prints = prints.agg(F.count("*").alias("n"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
     kept = (
-        prints.groupBy("_component")
+        prints.groupBy("_root")
         .agg(F.min_by(F.struct("doc_id", "_row", "n"), order).alias("k"))
         .select(F.col("k.doc_id").alias("_id"), F.col("k._row").alias("_r"), "k.n")
     )
