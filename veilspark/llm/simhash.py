@@ -25,7 +25,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import near
 from .components import components
 from .tables import set_aside, stored
 from .textbytes import slices, texts_of
@@ -260,23 +259,28 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     )
 
 
+def with_roots(prints: DataFrame) -> DataFrame:
+    """Adds ``_root``: the smallest fingerprint of the component of the row's own.
+
+    ``prints`` has ``_fingerprint`` and is read several times: give a stored table.
+    """
+    distinct = stored(prints.select("_fingerprint").distinct(), "fingerprints")
+    roots = components(fingerprint_links(distinct))
+    linked = distinct.join(
+        roots.withColumnRenamed("node", "_fingerprint"), "_fingerprint", "left"
+    ).select("_fingerprint", F.coalesce("root", "_fingerprint").alias("_root"))
+    return prints.join(stored(linked, "components"), "_fingerprint")
+
+
 def with_components(prints: DataFrame, order: str = "doc_id") -> DataFrame:
     """Adds ``_component``: the smallest ``order`` value of all rows reachable by links.
 
     ``prints`` has ``_fingerprint`` and is read several times: give a stored table.
     Null values of ``order`` never are the smallest; a group of only such has null.
     """
-    distinct = stored(
-        prints.groupBy("_fingerprint").agg(F.min(order).alias("least")), "fingerprints"
-    )
-    roots = components(fingerprint_links(distinct.select("_fingerprint")))
-    linked = distinct.join(
-        roots.withColumnRenamed("node", "_fingerprint"), "_fingerprint", "left"
-    ).withColumn("root", F.coalesce("root", "_fingerprint"))
-    linked = stored(linked, "components")
-    smallest = linked.groupBy("root").agg(F.min("least").alias("_component"))
-    known = linked.join(smallest, "root").select("_fingerprint", "_component")
-    return prints.join(known, "_fingerprint")
+    rooted = with_roots(prints)
+    smallest = rooted.groupBy("_root").agg(F.min(order).alias("_component"))
+    return rooted.join(smallest, "_root").drop("_root")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -296,22 +300,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """One document of each component of near copies (``near``: five-word shingles,
-    Jaccard 0.8 or more): that of the smallest doc_id, all columns kept.
+    """One document of each component of near copies: fingerprints of three-word
+    shingles linked at ``THRESHOLD`` = 2 or fewer differing bits, as ``near_duplicates``
+    finds them. The document of the smallest doc_id stays, all columns kept.
 
     Of rows that share the smallest doc_id, the one with the smallest hash of its
-    columns stays; of rows equal in all columns one stays. Texts without words are
-    copies of each other. Different texts stay apart also where they share a doc_id or
-    have none.
+    columns stays; of rows equal in all columns one stays. Texts without words have
+    fingerprint zero and link like any other. A null doc_id is never the smallest
+    unless the whole component has none. An empty table gives no rows.
     """
-    names = "_row _id _r n _set _sketch _keys _root root".split()
+    names = "_row _id _r n _fingerprint _root".split()
     docs, restored = set_aside(docs, *names)
     columns = docs.columns
     row = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in columns])
     keyed = docs.withColumn("_row", row)
-    sketched = stored(near.sketches(keyed, "text", ["doc_id", "_row"]), "documents")
-    prints = near.with_roots(sketched, keyed, "text")
-    prints = prints.groupBy("_root", "doc_id", "_row")
+    prints = stored(fingerprints(keyed, keep=["doc_id", "_row"]), "documents")
+    prints = with_roots(prints).groupBy("_root", "doc_id", "_row")
     prints = prints.agg(F.count("*").alias("n"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
     kept = (
