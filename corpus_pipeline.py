@@ -16,7 +16,8 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five words, Jaccard 0.8 or more."""
+    """One document of each SimHash component stays: three-word shingles, 2 or fewer
+    differing bits, as op8 links them."""
     return simhash.keep_representatives(docs)
 
 
