@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (
     chat,
     decontamination,
+    exact_dedup,
     licenses,
     mixing,
     quality,
@@ -25,6 +26,7 @@ ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
     "op3_decontamination": decontamination.ORACLE,
     "op9_suffix_dedup": suffix_dedup.ORACLE,
+    "op11_exact_dedup": exact_dedup.ORACLE,
 }
 
 
@@ -87,3 +89,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_suffix_dedup")
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats_report(documents(spark, sf_dir))
+
+
+@_query("op11_exact_dedup")
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(spark, documents(spark, sf_dir))
