@@ -10,6 +10,7 @@ from . import (
     chat,
     decontamination,
     exact_dedup,
+    hard_negatives,
     licenses,
     mixing,
     quality,
@@ -27,6 +28,7 @@ ORACLES: dict[str, str] = {
     "op3_decontamination": decontamination.ORACLE,
     "op9_suffix_dedup": suffix_dedup.ORACLE,
     "op11_exact_dedup": exact_dedup.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
 
 
@@ -94,3 +96,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op11_exact_dedup")
 def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(spark, documents(spark, sf_dir))
+
+
+@_query("op12_hard_negatives")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
