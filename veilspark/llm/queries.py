@@ -16,6 +16,7 @@ from . import (
     quality,
     secrets,
     simhash,
+    spelling,
     suffix_dedup,
     token_store,
     toxicity,
@@ -101,3 +102,8 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op12_hard_negatives")
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@_query("op13_spelling")
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
