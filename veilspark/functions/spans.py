@@ -8,7 +8,7 @@ gives the end of every match.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,19 +39,21 @@ HIT = (
 NO_HITS = f"cast(array() AS array<{HIT}>)"
 
 
-def detections(text: str, rules: Rules, python_spans: dict[int, str] | None = None) -> str:
+def detections(text: str, rules: Rules, python_spans: dict | None = None) -> str:
     """``array<HIT>`` of one text, ordered by (start, end, recognizer).
 
     A plain expression: no shuffle, and usable inside nested types. Built-in
     recognizers run only on rows with a match of their joint guard.
-    ``python_spans`` names the columns :func:`with_python_spans` has added.
+    ``python_spans`` names the columns :func:`with_python_spans` has added, or gives
+    for each pattern a function from the text to its spans, as
+    :func:`with_leaf_spans` does for leaves of nested values.
     """
     built_in, custom, parts = [], [], []
     for order, recognizer in rules.recognizers():
         if recognizer.guard:
             built_in.append((order, recognizer))
         elif recognizer.python_pattern is not None:
-            parts.append(_python_hits(order, recognizer, python_spans or {}))
+            parts.append(_python_hits(text, order, recognizer, python_spans or {}))
         else:
             custom.append((order, recognizer))
     if custom:
@@ -299,13 +301,14 @@ def _hit(start: str, end: str, raw: str, kind: dict[str, str]) -> str:
         cast(NULL AS int) AS line, cast(NULL AS int) AS col)"""
 
 
-def _python_hits(order: int, recognizer: Recognizer, python_spans: dict) -> str:
+def _python_hits(text: str, order: int, recognizer: Recognizer, python_spans: dict) -> str:
     if order not in python_spans:
         raise ValueError(
-            f"pattern {recognizer.python_pattern!r} needs Python's re and "
-            "works on plain text columns only, not inside nested values"
+            f"pattern {recognizer.python_pattern!r} needs Python's re: give its spans "
+            "by with_python_spans, or by with_leaf_spans for leaves of nested values"
         )
-    spans = name(python_spans[order])
+    given = python_spans[order]
+    spans = given(text) if callable(given) else name(given)
     if recognizer.gate is not None:
         spans = keep(spans, lambda s: recognizer.gate(f"{s}.raw"))
     constants = _constants(order, recognizer)
@@ -315,6 +318,62 @@ def _python_hits(order: int, recognizer: Recognizer, python_spans: dict) -> str:
     return f"coalesce({hits}, {NO_HITS})"
 
 
+def with_leaf_spans(
+    df: DataFrame, leaves: str, rules: Rules
+) -> tuple[DataFrame, dict[int, Callable[[str], str]], list[str]]:
+    """Spans of the patterns that only Python's ``re`` can run, for every leaf of a row.
+
+    ``leaves`` is an SQL ``array<string>`` of the texts of all leaves of the row (of
+    JSON bodies, nested columns, or both), in any order, with repeats and nulls. Its
+    distinct texts go to Python once per Arrow batch; each leaf then finds its spans
+    by its own text, which is all they depend on, so no path or place need travel.
+    Returns the frame with the added columns, the lookup of each pattern for
+    :func:`detections`, and the names of the added columns.
+    """
+    python = [(o, r) for o, r in rules.recognizers() if r.python_pattern is not None]
+    if not python:
+        return df, {}, []
+    x = fresh("leaf")
+    df = df.withColumn(
+        "_leaves", F.expr(f"array_distinct(filter({leaves}, {x} -> {x} IS NOT NULL))")
+    )
+    added, lookups = ["_leaves"], {}
+    for order, recognizer in python:
+        spans, table = f"_leaf_spans_{order}", f"_leaf_table_{order}"
+        df = df.withColumn(spans, _python_leaf_finder(recognizer.python_pattern)("_leaves"))
+        df = df.withColumn(table, F.map_from_arrays("_leaves", spans))
+        added += [spans, table]
+        lookups[order] = lambda text, table=table: (
+            f"if({text} IS NULL, NULL, try_element_at({name(table)}, {text}))"
+        )
+    return df, lookups, added
+
+
+def _spans_of(compiled: re.Pattern):
+    group = "v" if "v" in compiled.groupindex else 0
+
+    def spans(text: str | None) -> list[dict]:
+        return [
+            {"start": m.start(group), "end": m.end(group), "raw": m[group]}
+            for m in (compiled.finditer(text) if text else ())
+            if m[group] is not None
+        ]
+
+    return spans
+
+
+def _python_leaf_finder(pattern: str):
+    """Arrow UDF giving, for an array of texts, the spans of each."""
+
+    @F.pandas_udf(f"array<{SPANS}>")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        spans = _spans_of(re.compile(pattern))
+        for leaves in batches:
+            yield leaves.map(lambda texts: None if texts is None else [spans(t) for t in texts])
+
+    return find
+
+
 def _python_finder(pattern: str):
     """Arrow UDF giving the spans of a pattern by Python's own engine."""
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.masking import NO_REDACTIONS, is_blocked, redact
 from ..functions.numbers import float_text, integer_text
-from ..functions.spans import exact_guard_of, guard_of
+from ..functions.spans import exact_guard_of, guard_of, with_leaf_spans
 from ..functions.sqltext import (
     fresh,
     let,
@@ -60,13 +60,16 @@ def redact_columns(
     # redaction expression stands once for all flat columns and once for each
     # leaf of a nested type.
     texts = ", ".join(_leaf_text(name(c), kinds[c]) for c in flat)
-    done = df
+    leaves = [f"array({texts})"] if flat else []
+    leaves += [_leaves(name(c), kinds[c]) for c in deep]
+    done, spans, _ = with_leaf_spans(df, f"concat({', '.join(leaves) or 'array()'})", rules)
     if flat:
         done = done.withColumn(
-            "_flat", F.expr(transform(f"array({texts})", lambda t: redact(t, rules)))
+            "_flat",
+            F.expr(transform(f"array({texts})", lambda t: redact(t, rules, python_spans=spans))),
         )
     for c in deep:
-        done = done.withColumn(f"_done_{c}", F.expr(_done(name(c), kinds[c], rules)))
+        done = done.withColumn(f"_done_{c}", F.expr(_done(name(c), kinds[c], rules, spans)))
 
     masked, parts = {}, []
     for i, c in enumerate(flat):
@@ -126,14 +129,41 @@ def _rebuild(value: str, kind: T.DataType, leaf: Callable[[str, T.DataType], str
     return leaf(value, kind)
 
 
-def _done(value: str, kind: T.DataType, rules: Rules) -> str:
+_NO_LEAVES = "cast(array() AS array<string>)"
+
+
+def _leaves(value: str, kind: T.DataType) -> str:
+    """``array<string>`` of the texts of all leaves of a value, as they are searched;
+    never null."""
+    if not _has_leaf(kind):
+        return _NO_LEAVES
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        items = value if isinstance(kind, T.ArrayType) else f"map_values({value})"
+        inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType
+        return f"coalesce(flatten({transform(items, lambda x: _leaves(x, inner))}), {_NO_LEAVES})"
+    if isinstance(kind, T.StructType):
+        parts = [_leaves(f"{value}.{name(f.name)}", f.dataType) for f in kind.fields]
+        return f"if({value} IS NULL, {_NO_LEAVES}, concat({', '.join(parts)}))"
+    if isinstance(kind, T.VariantType):
+        return f"coalesce({json_leaves(f'to_json({value})')}, {_NO_LEAVES})"
+    return f"array({_leaf_text(value, kind)})"
+
+
+def json_leaves(body: str) -> str:
+    """``array<string>``: the body itself and the text of each of its tokens, as
+    :func:`redact_json` and :func:`redact_payloads` search them."""
+    tokens = f"regexp_extract_all({body}, {quote(JSON_TOKEN)}, 0)"
+    return f"concat(array({body}), {transform(tokens, _leaf_of)})"
+
+
+def _done(value: str, kind: T.DataType, rules: Rules, spans: dict | None = None) -> str:
     """The same shape with each leaf turned into the leaf and its redaction."""
 
     def leaf(x: str, k: T.DataType) -> str:
         if isinstance(k, T.VariantType):
-            result = let(f"to_json({x})", lambda t: redact_json(t, rules))
+            result = let(f"to_json({x})", lambda t: redact_json(t, rules, spans))
         else:
-            result = let(_leaf_text(x, k), lambda t: redact(t, rules))
+            result = let(_leaf_text(x, k), lambda t: redact(t, rules, python_spans=spans))
         return f"struct({x} AS original, {result} AS result)"
 
     return _rebuild(value, kind, leaf)
@@ -250,11 +280,13 @@ def _fits_grammar(body: str) -> str:
     return f"({opens} AND NOT {foreign} AND {let(tokens, reduced)})"
 
 
-def redact_json(body: str, rules: Rules) -> str:
+def redact_json(body: str, rules: Rules, spans: dict | None = None) -> str:
     """``struct<text, redactions, blocked>`` of a JSON text, leaf by leaf.
 
     Parts are spaced as ``", "`` and ``": "``, untouched leaves keep their value,
-    a number with a hit becomes a string.
+    a number with a hit becomes a string. ``spans`` are the lookups of
+    :func:`~veilspark.functions.spans.with_leaf_spans` over :func:`json_leaves`, for
+    patterns that need Python's engine.
     """
 
     def unchanged(token: str) -> str:
@@ -268,7 +300,7 @@ def redact_json(body: str, rules: Rules) -> str:
             )
             return f"struct({spelled} AS token, {done}.redactions AS redactions)"
 
-        return let(redact(leaf, rules), result)
+        return let(redact(leaf, rules, python_spans=spans), result)
 
     def rewritten(token: str) -> str:
         key = f"regexp_replace({token}, r'\\s*:\\z', ': ')"
@@ -348,18 +380,19 @@ def redact_payloads(
     """
     column = name(body)
     json_type = f"contains(lower({name(content_type)}), 'application/json')"
-    done = df.withColumn(
+    done, spans, added = with_leaf_spans(df, json_leaves(column), rules)
+    done = done.withColumn(
         "_done",
         F.expr(
             f"if(coalesce({json_type}, false) AND {is_json(column)}, "
-            f"{redact_json(column, rules)}, {redact(column, rules)})"
+            f"{redact_json(column, rules, spans)}, {redact(column, rules, python_spans=spans)})"
         ),
     )
     return (
         done.withColumn(body, F.col("_done.text"))
         .withColumn("redactions", F.col("_done.redactions"))
         .withColumn("blocked", F.col("_done.blocked"))
-        .drop("_done")
+        .drop("_done", *added)
     )
 
 
