@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import DETECTOR_TYPES
 from ..operators import nested as N
 from ..operators.redaction import redact_text
 from ..rules import Rules
 from ..sources.readers import read_table
 from . import oracle as O
-from .corpus import flipped_values_sql, planted, planted_sql, planted_values
+from .corpus import corpus, flipped_values_sql, planted, planted_sql, planted_values
 from .redaction import BLOCK_SQL, blocking
 from .registry import query
 
@@ -44,6 +45,50 @@ def redact_json_strings(spark, folder):
     return N.redact_json_column(bodies, Rules.default()).select("doc_id", "body")
 
 
+# Rules of redact_json_custom: two user patterns that only Python's re can run
+# (repeated groups), all built-in detectors off.
+PYTHON_ONLY_LAYER = {
+    "custom_patterns": [
+        {"type": "code", "pattern": r"(?:[A-Z]{2}-)+\d+"},
+        {"type": "title", "pattern": r"(?:[A-Z][a-z]+ )+[A-Z][a-z]+"},
+    ]
+}
+_PYTHON_ONLY_SEARCHES = [
+    (6, O.Search("code", "code", "", r"(?:[A-Z]{2}-)+\d+", "true", False, 0.6, "")),
+    (7, O.Search("title", "title", "", r"(?:[A-Z][a-z]+ )+[A-Z][a-z]+", "true", False, 0.6, "")),
+]
+_WHOLE_CORPUS = """corpus AS (
+    SELECT doc_id, source, coalesce(text, '') AS text FROM documents
+    UNION ALL SELECT doc_id, source, text FROM ({planted}) AS planted)"""
+
+
+@query(
+    "redact_json_custom",
+    O.hits(
+        "none",
+        texts=_WHOLE_CORPUS.format(planted=planted_sql("customer")),
+        extra=_PYTHON_ONLY_SEARCHES,
+    )
+    + O.redactions()
+    + O.spliced()
+    + """ SELECT doc_id, source, '{"13800138000": "none", "a": [{"t": ' || to_json(text)
+        || '}, true, null, 1.5, ' || doc_id || '], "b": {"c": ' || to_json(text)
+        || ', "d": [[' || to_json(text) || ']]}}' AS body FROM masked_text""",
+)
+def redact_json_custom(spark, folder):
+    """Requests around every whole text of documents and the planted ones, every leaf
+    searched by two patterns that need Python's engine."""
+    rules = Rules.from_layers(
+        PYTHON_ONLY_LAYER, {"detectors": {t: {"enabled": False} for t in DETECTOR_TYPES}}
+    )
+    text = "coalesce(text, '')"
+    json_text = f"substr(to_json(struct({text} AS v)), 6, length(to_json(struct({text} AS v))) - 6)"
+    bodies = corpus(spark, folder).select(
+        "doc_id", "source", F.expr(_REQUEST.format(text=json_text)).alias("body")
+    )
+    return N.redact_json_column(bodies, rules).select("doc_id", "source", "body")
+
+
 _NUMBERS_SQL = f"""WITH v AS ({flipped_values_sql("customer")})"""
 _PAN_MASK = O.mask("partial", "pan")
 _PHONE_MASK = O.mask("partial", "phone")
