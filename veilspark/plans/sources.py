@@ -26,31 +26,25 @@ FILES = 64
         USING (doc_id)""",
 )
 def src_text_corpus(spark, folder):
-    """Documents as lines of a bounded number of files, read back as whole files."""
+    """Documents as lines of files, read back by byte ranges: a file of any size is
+    many tasks, each line read by the range in which it starts."""
     path = sinks.scratch_folder(spark, "files")
     documents = readers.read_table(
         spark, f"{folder}/documents.parquet", ["doc_id", "text"], small=True
     )
-    # no more files than FILES, whatever the number of documents
     group = F.pmod(F.col("doc_id"), F.lit(FILES)).alias("part")
     line = F.concat(F.col("doc_id"), F.lit("\x1e"), F.translate("text", "\n", "\x1f"))
     documents.select(line.alias("value"), group).repartition("part").write.partitionBy(
         "part"
     ).text(path)
-    files = readers.read_text_files(spark, path, glob="*.txt")
-    # a file is one text: its hits are found in it whole, then told to its documents
-    found = H.scan(readers.spread(files), Rules.default(), keys=["source"])
-    lines = files.select("source", F.posexplode(F.split("text", "\n")).alias("at", "value"))
-    parts = F.split("value", "\x1e")
-    lines = lines.filter("value <> ''").select(
-        "source",
-        (F.col("at") + 1).alias("line"),
-        parts[0].cast("long").alias("doc_id"),
-        (F.length(parts[1]) + 1).alias("n_chars"),
+    lines = readers.read_text_lines(spark, path, glob="*.txt").filter("text <> ''")
+    parts = F.split("text", "\x1e", 2)
+    texts = lines.select(
+        parts[0].cast("long").alias("doc_id"), F.translate(parts[1], "\x1f", "\n").alias("text")
     )
-    n = found.groupBy("source", "line").agg(F.count("*").cast("int").alias("n_hits"))
-    return lines.join(n, ["source", "line"], "left").select(
-        "doc_id", "n_chars", F.coalesce("n_hits", F.lit(0)).alias("n_hits")
+    counted = H.hit_counts(texts, Rules.default())
+    return counted.select(
+        "doc_id", (F.length("text") + 1).cast("int").alias("n_chars"), "n_hits"
     )
 
 

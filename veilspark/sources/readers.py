@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import AUDIT_SCHEMA_VERSION
@@ -48,6 +48,40 @@ def read_text_files(spark: SparkSession, *paths: str, glob: str = "*") -> DataFr
     )
 
 
+def read_text_lines(spark: SparkSession, *paths: str, glob: str = "*") -> DataFrame:
+    """Lines of text files: ``source`` (the path), ``line_no`` (from 1 in its file) and
+    ``text`` (UTF-8, bytes that are not valid replaced; lines end at ``\n`` only).
+
+    Files are split into byte ranges as Spark's text reader splits any file
+    (``spark.sql.files.maxPartitionBytes``), so one file of any size is many tasks and
+    no file is ever one value. A line belongs to the range in which it starts; its
+    number is the count of lines of the ranges before it in its file, a prefix sum
+    over one row per range, plus its place in its own range. Nothing is collected.
+    """
+    raw = (
+        spark.read.option("pathGlobFilter", glob)
+        .option("recursiveFileLookup", "true")
+        .option("lineSep", "\n")
+        .text(list(paths))
+    )
+    rows = raw.select(
+        F.col("_metadata.file_path").alias("source"),
+        F.col("_metadata.file_block_start").alias("_range"),
+        F.monotonically_increasing_id().alias("_at"),
+        F.make_valid_utf8(F.col("value").cast("binary")).alias("text"),
+    )
+    ranges = rows.groupBy("source", "_range").agg(
+        F.count("*").alias("_n"), F.min("_at").alias("_first")
+    )
+    before = Window.partitionBy("source").orderBy("_range").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    placed = rows.join(ranges, ["source", "_range"])
+    line = F.col("_before") + F.col("_at") - F.col("_first") + 1
+    return placed.select("source", line.alias("line_no"), "text")
+
+
 def union_sources(*tables: DataFrame) -> DataFrame:
     """Several tables of texts as one, each row keeping its source."""
     first, *rest = tables
