@@ -80,3 +80,28 @@ def test_chains_of_forms(spark):
 def test_empty(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None, "en", "s", 1), (2, "", "en", "s", 1)]) == []
+
+
+def test_one_sided_keys_meet_every_near_pair(spark):
+    import itertools
+    import random
+
+    from pyspark.sql import functions as F
+
+    chance = random.Random(5)
+    letters = "abcéèxyz"
+    base = ["".join(chance.choice(letters) for _ in range(chance.randrange(5, 9))) for _ in range(60)]
+    words = set(base)
+    for w in base:
+        i = chance.randrange(len(w))
+        words |= {w[:i] + w[i + 1 :], w[:i] + chance.choice(letters) + w[i + 1 :], w[:i] + "q" + w[i:]}
+    words = sorted(words)
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    keys = {r.word: (set(r.full), set(r.half), r.r) for r in df.select(
+        "word", S.neighbourhood(S.reduced()).alias("full"), S.one_sided(S.reduced()).alias("half"),
+        S.reduced().alias("r")).collect()}
+    for a, b in itertools.combinations(words, 2):
+        full = keys[b][2] in keys[a][0] or keys[a][2] in keys[b][0]
+        half = keys[b][2] in keys[a][1] or keys[a][2] in keys[b][1]
+        assert full == half
+        assert keys[a][1] <= keys[a][0]

@@ -8,7 +8,8 @@ vocabulary on the reduced form; the few candidates that meet are verified on the
 original strings. The neighbourhood has ``1 + L + L * k + (L + 1) * k`` keys for a
 word of L letters and k symbols, which grows with the word only, never with the
 corpus; a key matches the words whose reduced form it is, about ``V_L / k^L`` of
-the V_L words of that length.
+the V_L words of that length. Each near pair needs to meet only once, so each word
+generates only the part of its neighbourhood that ``one_sided`` names.
 
 Words, counts and forms are built by Spark's own functions (regular expressions,
 CRC-32, higher-order functions on arrays, joins and aggregates); nothing goes
@@ -95,15 +96,52 @@ def neighbourhood(r: F.Column) -> F.Column:
     return F.array_distinct(F.concat(F.array(r), deleted, replaced, inserted))
 
 
+def one_sided(r: F.Column) -> F.Column:
+    """The part of ``neighbourhood(r)`` that one word of each near pair generates.
+
+    An insertion into the shorter word of a pair is a deletion from the longer one,
+    so each word generates only its deletions; of two words of equal length whose
+    reduced forms differ in one place, the one with the smaller symbol there
+    generates the replacement. With ``r`` itself, every near pair meets at least once,
+    as the whole neighbourhood would let it, from some four times fewer keys.
+    """
+    symbols = F.array(*[F.lit(str(s)) for s in range(SYMBOLS)])
+    n = F.length(r)
+    deleted = F.transform(
+        F.sequence(F.lit(0), n - 1),
+        lambda i: F.concat(F.substring(r, 1, i), F.substring(r, i + 2, 1 << 30)),
+    )
+    replaced = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: F.transform(
+                F.filter(symbols, lambda s: s > F.substring(r, i + 1, 1)),
+                lambda s: F.concat(F.substring(r, 1, i), s, F.substring(r, i + 2, 1 << 30)),
+            ),
+        )
+    )
+    return F.concat(F.array(r), deleted, replaced)
+
+
 def near_pairs(vocabulary: DataFrame) -> DataFrame:
-    """(word, other, other_n): every ordered pair of words exactly one edit apart."""
-    keyed = vocabulary.select("word", F.explode(neighbourhood(reduced())).alias("_key"))
-    others = vocabulary.select(
-        F.col("word").alias("other"), F.col("n").alias("other_n"), reduced().alias("_key")
+    """(word, other, other_n): every ordered pair of words exactly one edit apart.
+
+    ``vocabulary`` (word, n, _id) is stored. Keys travel as 64-bit hashes of the
+    reduced strings, with word ids: a clash of hashes only adds a candidate, which the
+    check on the original strings throws out.
+    """
+    keys = F.array_distinct(F.transform(one_sided(reduced()), lambda k: F.xxhash64(k)))
+    keyed = vocabulary.select(F.col("_id").alias("_a"), F.explode(keys).alias("_key"))
+    index = vocabulary.select(F.col("_id").alias("_b"), F.xxhash64(reduced()).alias("_key"))
+    met = keyed.join(index, "_key").filter(F.col("_a") != F.col("_b"))
+    met = met.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
+    a = vocabulary.select(F.col("_id").alias("_a"), F.col("word").alias("wa"), F.col("n").alias("na"))
+    b = vocabulary.select(F.col("_id").alias("_b"), F.col("word").alias("wb"), F.col("n").alias("nb"))
+    near = met.join(a, "_a").join(b, "_b").filter(F.levenshtein("wa", "wb", 1) == 1)
+    near = stored(near.select("wa", "na", "wb", "nb"), "near")
+    return near.select(F.col("wa").alias("word"), F.col("wb").alias("other"), F.col("nb").alias("other_n")).union(
+        near.select(F.col("wb").alias("word"), F.col("wa").alias("other"), F.col("na").alias("other_n"))
     )
-    candidates = keyed.join(others, "_key").filter(F.col("word") != F.col("other"))
-    near = F.levenshtein("word", "other", 1) == 1
-    return candidates.filter(near).select("word", "other", "other_n").distinct()
 
 
 def _roots(forms: DataFrame) -> DataFrame:
@@ -131,13 +169,16 @@ def spelling_variants(docs: DataFrame) -> DataFrame:
     the word itself if it has none. Texts of any length are read whole; an empty table
     or one without words gives no rows; columns other than doc_id and text are not read.
     """
-    vocabulary = stored(words(docs.select("doc_id", "text")), "words")
+    vocabulary = stored(
+        words(docs.select("doc_id", "text")).withColumn("_id", F.monotonically_increasing_id()),
+        "words",
+    )
     pairs = near_pairs(vocabulary)
     best = pairs.groupBy("word").agg(
         F.count("*").alias("n_near"),
         F.min_by(F.struct("other", "other_n"), F.struct(-F.col("other_n"), "other")).alias("b"),
     )
-    forms = vocabulary.join(best, "word", "left").select(
+    forms = vocabulary.drop("_id").join(best, "word", "left").select(
         "word",
         "n",
         F.coalesce("n_near", F.lit(0)).alias("n_near"),
