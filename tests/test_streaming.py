@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from veilspark.operators.nested import redact_payloads
 from veilspark.operators.redaction import redact_text, released
 from veilspark.rules import Rules
-from veilspark.sources.readers import read_audit_log
+from veilspark.sources.readers import parse_audit_lines
 from veilspark.streaming import jobs
 
 SCHEMA = "doc_id bigint, source string, text string"
@@ -39,10 +39,10 @@ def test_audit_and_routes_once_per_batch(spark, tmp_path):
     for again in (state, state + "-lost"):  # a lost checkpoint replays the batches
         stream = jobs.read_text_stream(spark, folder, SCHEMA, files_per_batch=2)
         jobs.stream_block_audit(stream, RULES, out, again, ts="t").awaitTermination()
-        routed = spark.read.parquet(f"{out}/routed")
+        routed = jobs.committed(spark, out, "routed")
         assert routed.count() == 40
         assert routed.filter("route = 'quarantine'").count() == 8
-        log = read_audit_log(spark, f"{out}/audit")
+        log = parse_audit_lines(jobs.committed(spark, out, "audit"))
         assert log.groupBy("action").count().orderBy("action").collect() == [
             ("block", 8),
             ("mask", 32),
@@ -73,12 +73,12 @@ def test_bodies_and_audit_hold_no_raw_value(spark, tmp_path):
         stream, RULES, out, state, ts="t", content_type="kind", trigger={"availableNow": True}
     ).awaitTermination()
     want = redact_payloads(batch, RULES, "text", "kind").select("doc_id", "text", "blocked")
-    got = spark.read.parquet(f"{out}/routed")
+    got = jobs.committed(spark, out, "routed")
     routed = {(r.doc_id, r.text, r.route == "quarantine") for r in got.collect()}
     assert routed == {tuple(r) for r in want.collect()}
     keys = '{"13800138000": '  # keys of JSON stay
     texts = " ".join(r[0] for r in got.select(F.to_json(F.struct("*"))).collect())
-    logged = " ".join(r[0] for r in spark.read.text(f"{out}/audit").collect())
+    logged = " ".join(r[0] for r in jobs.committed(spark, out, "audit").collect())
     assert "13800138000" not in texts.replace(keys.replace('"', '\\"'), "") + logged
     assert "110101199003078515" not in texts + logged and '"type":"id_card"' in logged
     state2, out2 = state + "2", out + "2"
@@ -87,3 +87,28 @@ def test_bodies_and_audit_hold_no_raw_value(spark, tmp_path):
     ).awaitTermination()
     left = {(r.doc_id, r.text) for r in spark.read.parquet(out2).collect()}
     assert left == {r[:2] for r in routed if not r[2]}
+
+
+def test_a_crash_between_the_writes_shows_neither_part(spark, tmp_path, monkeypatch):
+    folder, out, state = (str(tmp_path / p) for p in ("in", "out", "state"))
+    arrive(spark, folder, 0, 20)
+    real = jobs._commit
+
+    def crash(*args):
+        raise RuntimeError("executor lost before the commit")
+
+    monkeypatch.setattr(jobs, "_commit", crash)
+    stream = jobs.read_text_stream(spark, folder, SCHEMA, files_per_batch=100)
+    query = jobs.stream_block_audit(stream, RULES, out, state, ts="t")
+    try:
+        query.awaitTermination()
+    except Exception:
+        pass
+    assert jobs.committed(spark, out, "routed").count() == 0
+    assert jobs.committed(spark, out, "audit").count() == 0
+    assert spark.read.parquet(f"{out}/_staged/part=routed").count() == 20  # written, not seen
+    monkeypatch.setattr(jobs, "_commit", real)
+    stream = jobs.read_text_stream(spark, folder, SCHEMA, files_per_batch=100)
+    jobs.stream_block_audit(stream, RULES, out, state, ts="t").awaitTermination()
+    assert jobs.committed(spark, out, "routed").count() == 20
+    assert parse_audit_lines(jobs.committed(spark, out, "audit")).count() == 20

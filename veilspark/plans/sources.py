@@ -150,14 +150,14 @@ def stream_block_audit(spark, folder):
     jobs.stream_block_audit(
         _arriving(spark, folder), blocking(), out, state, ts=TS
     ).awaitTermination()
-    routed = spark.read.parquet(f"{out}/routed").select(
+    routed = jobs.committed(spark, out, "routed").select(
         F.concat_ws("/", "doc_id", "source").alias("place"),
         "text",
         F.col("route").alias("what"),
         F.size("redactions").alias("n"),
         F.lit(None).cast("boolean").alias("checksum_valid"),
     )
-    logged = readers.read_audit_log(spark, f"{out}/audit").select(
+    logged = readers.parse_audit_lines(jobs.committed(spark, out, "audit")).select(
         F.col("file").alias("place"),
         F.col("masked_preview").alias("text"),
         F.concat_ws(" ", "type", "action").alias("what"),

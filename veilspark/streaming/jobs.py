@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -42,18 +45,62 @@ def _redacted(
 def _append_batch(
     batch: DataFrame, number: int, path: str, file: str, ts: str | None, audit: bool
 ) -> None:
-    """One micro-batch in folders of its own, which a second run overwrites.
-
-    Redaction runs once: rows are written with their redactions, without raw values,
-    and the audit is derived from what was written.
+    """One micro-batch, visible all at once or not at all.
+
+    Both parts are written to a folder of this attempt under ``_staged``: the routed
+    rows, with their redactions and without raw values, and the audit derived from
+    what was written (redaction runs once). Only then is the batch's manifest, which
+    names the attempt, put in place by one rename. Readers go by the manifests
+    (:func:`committed`): a crash before the rename leaves nothing visible, and a rerun
+    of the batch names its own attempt, so each batch is seen once.
     """
-    routed = f"{path}/routed/batch={number}"
-    with_route(batch).write.mode("overwrite").partitionBy("route").parquet(routed)
+    attempt = uuid.uuid4().hex
+    where = f"batch={number}/attempt={attempt}"
+    routed = f"{path}/_staged/part=routed/{where}"
+    with_route(batch).write.partitionBy("route").parquet(routed)
     if audit:
         written = batch.sparkSession.read.schema(with_route(batch).schema).parquet(routed)
-        audit_entries(written, file, ts).select(audit_json().alias("value")).write.mode(
-            "overwrite"
-        ).text(f"{path}/audit/batch={number}")
+        audit_entries(written, file, ts).select(audit_json().alias("value")).write.text(
+            f"{path}/_staged/part=audit/{where}"
+        )
+    _commit(batch.sparkSession, f"{path}/_manifest", number, attempt)
+
+
+def _commit(spark: SparkSession, folder: str, number: int, attempt: str) -> None:
+    """Writes ``{"batch": number, "attempt": attempt}`` as the manifest of a batch:
+    first to a file of its own, then renamed over the old one, which the file systems
+    Spark writes to do at once."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(f"{folder}/batch-{number}.json")
+    fs = target.getFileSystem(conf)
+    temporary = jvm.org.apache.hadoop.fs.Path(f"{folder}/.batch-{number}-{attempt}.tmp")
+    out = fs.create(temporary, True)
+    out.write(json.dumps({"batch": number, "attempt": attempt}).encode())
+    out.close()
+    if fs.exists(target):
+        fs.delete(target, False)
+    if not fs.rename(temporary, target):
+        raise OSError(f"could not commit batch {number} at {folder}")
+
+
+def committed(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """The rows of ``part`` (``routed``: parquet, ``audit``: lines) of all committed
+    batches of :func:`stream_block_audit` at ``path``; attempts that no manifest names
+    are left out. Before any batch has written, one column ``value`` and no rows."""
+    staged = f"{path}/_staged/part={part}"
+    reader = spark.read.option("basePath", staged)
+    try:
+        rows = reader.parquet(staged) if part == "routed" else reader.text(staged)
+    except Exception as missing:  # no batch has written this part yet
+        if "PATH_NOT_FOUND" not in str(missing) and "does not exist" not in str(missing):
+            raise
+        return spark.createDataFrame([], "value string")
+    manifests = spark.createDataFrame([], "batch long, attempt string")
+    known = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifest")
+    if known.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(known):
+        manifests = spark.read.schema("batch long, attempt string").json(f"{path}/_manifest")
+    return rows.join(manifests, ["batch", "attempt"], "left_semi").drop("batch", "attempt")
 
 
 def stream_redact(
@@ -94,7 +141,8 @@ def stream_block_audit(
     audit: bool = True,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Per micro-batch: every row routed and, with ``audit``, every redaction logged."""
+    """Per micro-batch: every row routed and, with ``audit``, every redaction logged;
+    both committed together by a manifest. Read them by :func:`committed`."""
 
     def write_batch(batch: DataFrame, number: int) -> None:
         done = _redacted(batch, rules, text, content_type)
