@@ -180,3 +180,31 @@ def test_an_allowlist_of_any_size(spark):
     many = spark.createDataFrame([*rows, (1, ["allowlist", "1/x"], "1380013")], SETTINGS_SCHEMA)
     left = {r.raw for r in apply_layers(hits, many).collect()}
     assert left == {r.raw for r in hits.collect() if "1380013" not in r.raw}
+
+
+@pytest.mark.parametrize("anchor", [2, 5, 8])
+def test_leaks_agree_with_every_pair(spark, anchor):
+    import random
+
+    chance = random.Random(anchor)
+    digits = "0123456789"
+    raws = ["".join(chance.choice(digits) for _ in range(chance.randrange(1, 14))) for _ in range(40)]
+    rows = []
+    for i in range(300):
+        raw = chance.choice(raws + ["", None])
+        inside = chance.choice(raws) if chance.random() < 0.3 else "x"
+        rows.append((chance.choice("abc"), raw, f"EMP-{inside}*{chance.randrange(99)}"))
+    rows += rows[:20]  # repeated records
+    entries = spark.createDataFrame(rows, "type string, raw string, masked_preview string")
+    for field in FIELDS:
+        if field not in entries.columns:
+            entries = entries.withColumn(field, F.lit(None).cast("string"))
+    lines = [(r.type, r.raw, r.line) for r in entries.select("type", "raw", audit_json().alias("line")).collect()]
+    values = {r for _, r, _ in lines if r}
+    want = {}
+    for t, r, line in lines:
+        n, own, anyr = want.get(t, (0, 0, 0))
+        want[t] = (n + 1, own + (r is not None and r in line), anyr + any(v in line for v in values))
+    got = {r.type: tuple(r)[1:] for r in leaks(entries, anchor).collect()}
+    assert got == want
+    assert leaks(entries.limit(0), anchor).collect() == []

@@ -70,29 +70,67 @@ def audit_json() -> Column:
     return F.to_json(F.struct(*FIELDS), {"ignoreNullFields": "false"})
 
 
-def leaks(entries: DataFrame) -> DataFrame:
+ANCHOR = 8  # a raw value is looked for by one of its substrings of this length
+
+
+def leaks(entries: DataFrame, anchor: int = ANCHOR) -> DataFrame:
     """Per type: records, those holding their own raw value, and those holding any
     raw value of the run.
 
-    ``entries`` come from ``audit_entries(keep_raw=True)``. Records are not paired with
-    values: each line is cut into its pieces of the lengths that raw values have, and
-    the pieces are looked up among the distinct values. Complete, and linear in the
-    lines, which are short.
+    ``entries`` come from ``audit_entries(keep_raw=True)``. A containment join by
+    anchors: every distinct raw value is filed under the one of its substrings of
+    length ``min(len, anchor)`` that the fewest records hold; a record gives each
+    substring of those lengths once, is paired only with the values filed under
+    them, and a pair counts if the record contains the value. A record holding a
+    value holds its anchor, so nothing is missed. Records travel as 64-bit ids
+    until the check, which reads the record itself: ids that clash only add pairs
+    that the check throws out. Equal records of one type are checked once and
+    counted as often as they occur. Null and empty raw values are no values; no
+    entries give no rows.
     """
     lines = entries.select("type", "raw", audit_json().alias("line"))
-    values = lines.select(F.col("raw").alias("piece")).filter("piece <> ''").distinct()
-    lengths = values.agg(F.collect_set(F.length("piece"))).scalar()
-    pieces = F.expr(
-        "array_distinct(flatten(transform(filter(_lengths, n -> n <= length(line)), n -> "
-        "transform(sequence(1, length(line) - n + 1), i -> substr(line, i, n)))))"
+    values = (
+        lines.select(F.col("raw").alias("value"))
+        .filter("value <> ''")
+        .distinct()
+        .withColumn("_a", F.least(F.length("value"), F.lit(anchor)))
+    )
+    # at most ``anchor`` lengths, whatever the data
+    sizes = values.agg(F.collect_set("_a")).scalar()
+    records = lines.groupBy("type", "line").agg(F.count("*").alias("n"))
+    records = records.withColumn("_id", F.xxhash64("type", "line")).withColumn("_sizes", sizes)
+    grams = F.array_distinct(
+        F.flatten(
+            F.transform(
+                F.filter("_sizes", lambda a: a <= F.length("line")),
+                lambda a: F.transform(
+                    F.sequence(F.lit(1), F.length("line") - a + 1),
+                    lambda i: F.col("line").substr(i, a),
+                ),
+            )
+        )
+    )
+    held = records.select("_id", F.explode(grams).alias("gram")).distinct()
+    often = held.groupBy("gram").agg(F.count("*").alias("_f"))
+    filed = values.select(
+        "value",
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(1), F.length("value") - F.col("_a") + 1),
+                lambda i: F.col("value").substr(i, F.col("_a")),
+            )
+        ).alias("gram"),
     )
-    # equal records of one type count once here, so a frequent one is cut once
-    distinct = lines.groupBy("type", "line").agg(F.count("*").alias("n"))
-    cut = distinct.withColumn("_lengths", lengths).select(
-        "type", "line", "n", F.explode(pieces).alias("piece")
+    # a substring no record holds rules its value out at once
+    anchors = filed.join(often, "gram").groupBy("value").agg(
+        F.min_by("gram", F.struct("_f", "gram")).alias("gram")
     )
-    holding = cut.join(values, "piece", "left_semi").groupBy("type", "line").agg(
-        F.first("n").alias("n")
+    pairs = held.join(anchors, "gram").select("_id", "value")
+    holding = (
+        pairs.join(records, "_id")
+        .filter(F.contains("line", "value"))
+        .select("type", "line", "n")
+        .distinct()
     )
     any_raw = holding.groupBy("type").agg(F.sum("n").alias("n_any_raw"))
     per_type = lines.groupBy("type").agg(
