@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions.masking import mask_value, masked_preview
@@ -125,6 +126,59 @@ def test_given_hits_of_any_shape(spark):
     assert [(r.start, r.end, r.raw) for r in done[2].redactions] == [(0, 1, "x")]
 
 
+@pytest.mark.parametrize("bits", [8, 1 << 23])
+def test_given_hits_through_a_filter_of_any_size(spark, bits):
+    from veilspark.operators.redaction import _flag_keys
+
+    rows = [(i, None if i == 7 else f"call 1380013{i:04d} now") for i in range(300)]
+    texts = spark.createDataFrame(rows + [(None, "13800138000")], "doc_id int, text string")
+    hits = scan(texts.filter("doc_id % 3 = 0"), Rules.default(), keys=["doc_id"]).unionByName(
+        spark.createDataFrame([(9999, "phone", 0, 3)], "doc_id int, type string, start int, end int"),
+        allowMissingColumns=True,
+    )
+    got = {r.doc_id: r.text for r in redact_given_hits(texts, hits, Rules.default(), bits=bits).collect()}
+    want = {r.doc_id: r.text for r in redact_text(texts, Rules.default()).collect()}
+    assert len(got) == 301
+    assert {k: v for k, v in got.items() if k is not None and k % 3 == 0} == {
+        k: v for k, v in want.items() if k is not None and k % 3 == 0
+    }
+    assert all(got[k] == t for k, t in rows if k % 3) and got[None] == "13800138000"
+    flags = {r.doc_id: r._maybe_hits for r in _flag_keys(texts, hits.select("doc_id"), ["doc_id"], bits).collect()}
+    assert all(flags[k] for k in range(0, 300, 3))
+    if bits > 8:
+        assert sum(flags[k] for k in range(300) if k % 3) <= 2
+
+
+def test_texts_without_hits_are_not_shuffled(spark, tmp_path):
+    path = str(tmp_path / "texts")
+    rows = [(i, f"tel 1391234{i:04d}") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id int, text string").write.parquet(path)
+    texts = spark.read.parquet(path)
+    hits = scan(texts.filter("doc_id < 5"), Rules.default(), keys=["doc_id"])
+    settings = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k) for k in settings}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # lists are not broadcast
+    try:
+        done = redact_given_hits(texts, hits, Rules.default())
+        plan = done._jdf.queryExecution().executedPlan()
+        assert done.filter("n_redactions > 0").count() == 5
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+    def nodes(node):
+        yield node
+        for i in range(node.children().size()):
+            yield from nodes(node.children().apply(i))
+
+    [union] = [n for n in nodes(plan) if n.nodeName() == "Union"]
+    clear = [c for c in (union.children().apply(i) for i in range(2)) if "NOT coalesce" in c.toString()]
+    names = [n.nodeName() for n in nodes(clear[0])]
+    assert any(n.startswith("Scan parquet") for n in names)
+    assert "Exchange" not in names and "Sort" not in names
+
+
 def test_no_sink_writes_raw_values(spark, tmp_path):
     df = spark.createDataFrame([(1, SNIPPET), (2, "tel 13912345678")], "doc_id int, text string")
     rules = Rules.from_layers({"detectors": {"id_card": {"policy": "block"}}})

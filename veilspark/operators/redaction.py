@@ -50,18 +50,28 @@ def redact_text(
     )
 
 
+FILTER_BITS = 1 << 23  # bits of the filter of keys with hits: 1 MB, whatever the data
+
+
 def redact_given_hits(
     df: DataFrame,
     hits: DataFrame,
     rules: Rules,
     text: str = "text",
     keys: Sequence[str] = ("doc_id",),
+    bits: int = FILTER_BITS,
 ) -> DataFrame:
     """Rewrite texts by a hit table computed elsewhere.
 
     Hits are reduced to one per span before they are gathered, so what a text
-    gathers is bounded by its own length. Only texts with hits get a list; if
-    the lists are small Spark broadcasts them and the texts are not shuffled.
+    gathers is bounded by its own length. Texts that no hit names are never
+    shuffled: the keys with hits set bits of a filter of ``bits`` bits (a Bloom
+    filter of one hash, built by ``bitmap_construct_agg``), which is broadcast
+    whatever the number of hits, as its size is fixed; texts whose bit is clear are
+    redacted in place, with no hits. Only the others, texts with hits and the few
+    the filter lets through by a shared bit, are joined to their lists. Texts with
+    null keys or keys no hit has get no redactions; hits of keys without a text are
+    ignored.
     """
     best = (
         _typed(hits)
@@ -69,11 +79,43 @@ def redact_given_hits(
         .agg(F.max_by(F.struct(*HIT_FIELDS), F.struct("confidence", -F.col("ord"))).alias("hit"))
     )
     lists = best.groupBy(*keys).agg(F.collect_list("hit").alias("_hits"))
-    joined = df.join(lists, list(keys), "left")
+    flagged = _flag_keys(df, lists.select(*keys), keys, bits)
+    maybe = flagged.filter("_maybe_hits").drop("_maybe_hits").join(lists, list(keys), "left")
+    none = flagged.filter("NOT _maybe_hits").drop("_maybe_hits")
+    none = none.withColumn("_hits", F.lit(None).cast(lists.schema["_hits"].dataType))
+    joined = maybe.unionByName(none)
     joined = joined.withColumn("_hits", F.expr(_fitted("_hits", name(text))))
     return redact_text(joined, rules, text, hits="_hits").drop("_hits")
 
 
+def _flag_keys(df: DataFrame, present: DataFrame, keys: Sequence[str], bits: int) -> DataFrame:
+    """``df`` with ``_maybe_hits``: false only where no row of ``present`` has the keys.
+
+    A key is bit ``pmod(xxhash64(keys), bits)`` of a filter held as bitmaps of
+    32,768 bits, at most ``bits / 32768`` rows; the rows of ``df`` look up their bit
+    through a broadcast join and stay where they are.
+    """
+    place = (F.pmod(F.xxhash64(*keys), F.lit(bits)) + 1).alias("_key_bit")
+    held = (
+        present.select(place)
+        .groupBy(F.expr("bitmap_bucket_number(_key_bit)").alias("_key_bucket"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_key_bit))").alias("_key_bits"))
+    )
+    probe = df.withColumn("_key_bit", place).withColumn(
+        "_key_bucket", F.expr("bitmap_bucket_number(_key_bit)")
+    )
+    at = "bitmap_bit_position(_key_bit)"
+    bit = F.expr(
+        f"shiftright(cast(conv(hex(substr(_key_bits, cast({at} div 8 + 1 AS INT), 1)), 16, 10)"
+        f" AS INT), cast({at} % 8 AS INT)) & 1"
+    )
+    return (
+        probe.join(F.broadcast(held), "_key_bucket", "left")
+        .withColumn("_maybe_hits", F.coalesce(bit == 1, F.lit(False)))
+        .drop("_key_bit", "_key_bucket", "_key_bits")
+    )
+
+
 _ABSENT = {"ord": 0, "confidence": 1.0, "checksum_valid": False}
 
 
