@@ -55,7 +55,31 @@ def test_report_grows_with_the_log(spark, tmp_path):
     for n in (3, 8):
         spark.range(5 if n == 8 else 3).select(F.lit(line)).write.mode("append").text(log)
         jobs.stream_audit_report(spark, log, out, state).awaitTermination()
-        assert [tuple(r) for r in spark.read.parquet(out).collect()] == [("phone", "mask", n)]
+        assert [tuple(r) for r in jobs.current_report(spark, out).collect()] == [("phone", "mask", n)]
+
+
+def test_a_reader_never_sees_an_empty_report(spark, tmp_path):
+    log, out, state = (str(tmp_path / p) for p in ("log", "report", "state"))
+    line = '{"type":"phone","action":"mask","file":"f"}'
+    for i in range(6):
+        spark.range(1).select(F.lit(line)).write.mode("append").text(log)
+    assert jobs.current_report(spark, out).count() == 0
+    query = jobs.stream_audit_report(spark, log, out, state, files_per_batch=1)
+    seen = []
+    while query.isActive or not seen:
+        rows = jobs.current_report(spark, out).collect()
+        if seen or rows:
+            assert len(rows) == 1
+            seen.append(rows[0].n)
+        if not query.isActive and seen:
+            break
+    query.awaitTermination()
+    seen.append(jobs.current_report(spark, out).collect()[0].n)
+    assert seen == sorted(seen) and seen[-1] == 6
+    # only the newest two versions are kept
+    import os
+
+    assert len(os.listdir(f"{out}/versions")) <= 2
 
 
 def test_bodies_and_audit_hold_no_raw_value(spark, tmp_path):

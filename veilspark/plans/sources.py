@@ -175,4 +175,4 @@ def stream_audit_report(spark, folder):
     log, out, state = (sinks.scratch_folder(spark, p) for p in ("log", "report", "state"))
     sinks.write_audit_log(entries(spark, folder), log)
     jobs.stream_audit_report(spark, log, out, state, files_per_batch=4).awaitTermination()
-    return spark.read.parquet(out)
+    return jobs.current_report(spark, out)

@@ -70,18 +70,24 @@ def _commit(spark: SparkSession, folder: str, number: int, attempt: str) -> None
     """Writes ``{"batch": number, "attempt": attempt}`` as the manifest of a batch:
     first to a file of its own, then renamed over the old one, which the file systems
     Spark writes to do at once."""
+    _put(spark, folder, f"batch-{number}.json", {"batch": number, "attempt": attempt}, True)
+
+
+def _put(spark: SparkSession, folder: str, name: str, payload: dict, replace: bool) -> None:
+    """``payload`` as the file ``folder/name``, written whole under a name of its own
+    and then renamed into place; without ``replace`` an existing file is an error."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(f"{folder}/batch-{number}.json")
+    target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
     fs = target.getFileSystem(conf)
-    temporary = jvm.org.apache.hadoop.fs.Path(f"{folder}/.batch-{number}-{attempt}.tmp")
+    temporary = jvm.org.apache.hadoop.fs.Path(f"{folder}/.{name}-{uuid.uuid4().hex}.tmp")
     out = fs.create(temporary, True)
-    out.write(json.dumps({"batch": number, "attempt": attempt}).encode())
+    out.write(json.dumps(payload).encode())
     out.close()
-    if fs.exists(target):
+    if replace and fs.exists(target):
         fs.delete(target, False)
     if not fs.rename(temporary, target):
-        raise OSError(f"could not commit batch {number} at {folder}")
+        raise OSError(f"could not put {name} at {folder}")
 
 
 def committed(spark: SparkSession, path: str, part: str) -> DataFrame:
@@ -166,8 +172,9 @@ def stream_audit_report(
 ) -> StreamingQuery:
     """Counts per type and action over a growing audit log.
 
-    Each batch replaces the report at ``path``. State is one row per type and
-    action, whatever the length of the log.
+    Each batch writes a new version of the report and then points to it; read the
+    report by :func:`current_report`, which never sees a half-written or missing one.
+    State is one row per type and action, whatever the length of the log.
     """
     lines = (
         spark.readStream.option("maxFilesPerTrigger", files_per_batch)
@@ -179,7 +186,7 @@ def stream_audit_report(
     )
 
     def replace_report(report: DataFrame, number: int) -> None:
-        report.coalesce(1).write.mode("overwrite").parquet(path)
+        _publish_report(report, number, path)
 
     return (
         counts.writeStream.outputMode("complete")
@@ -188,3 +195,40 @@ def stream_audit_report(
         .trigger(**(trigger or ALL_NOW))
         .start()
     )
+
+
+def _publish_report(report: DataFrame, number: int, path: str) -> None:
+    """The report of batch ``number`` as a version of its own under ``path/versions``,
+    then a new pointer file naming it in ``path/_current``. Pointers get new names
+    and are never overwritten, so the newest complete version is always named. Older
+    pointers and versions but the one before are then removed."""
+    spark = report.sparkSession
+    version = f"batch={number:020d}-{uuid.uuid4().hex}"
+    report.coalesce(1).write.parquet(f"{path}/versions/{version}")
+    _put(spark, f"{path}/_current", f"v-{version}", {"version": version}, False)
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    pointers = jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    fs = pointers.getFileSystem(conf)
+    names = sorted(
+        n for n in (st.getPath().getName() for st in fs.listStatus(pointers)) if n.startswith("v-")
+    )
+    for old in names[:-2]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/versions/{old[2:]}"), True)
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/_current/{old}"), False)
+
+
+def current_report(spark: SparkSession, path: str) -> DataFrame:
+    """The newest published report of :func:`stream_audit_report` at ``path``
+    (type, action, n); before any is published, no rows."""
+    jvm = spark.sparkContext._jvm
+    pointers = jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    fs = pointers.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = []
+    if fs.exists(pointers):
+        names = sorted(
+            n for n in (st.getPath().getName() for st in fs.listStatus(pointers)) if n.startswith("v-")
+        )
+    if not names:
+        return spark.createDataFrame([], "type string, action string, n long")
+    return spark.read.parquet(f"{path}/versions/{names[-1][2:]}")
