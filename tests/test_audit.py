@@ -208,3 +208,25 @@ def test_leaks_agree_with_every_pair(spark, anchor):
     got = {r.type: tuple(r)[1:] for r in leaks(entries, anchor).collect()}
     assert got == want
     assert leaks(entries.limit(0), anchor).collect() == []
+
+
+def test_a_frequent_value_is_spread_over_tasks(spark):
+    from veilspark.operators.layered_rules import _with_allowed
+
+    rows = [(i, "phone", "13800138000" if i % 2 else f"1391234{i:04d}", 0, 11) for i in range(400)]
+    rows += [(1000 + i, "phone", None, 0, 0) for i in range(3)] + [rows[0], rows[1]]
+    hits = spark.createDataFrame(rows, "doc_id int, type string, raw string, start int, end int")
+    settings = settings_table(spark, {"allowlist": ["12340"]})
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        kept = _with_allowed(hits, settings).withColumn("_task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = sorted(map(repr, (r for r in rows if r[2] is None or "12340" not in r[2])))
+    names = ("doc_id", "type", "raw", "start", "end")
+    assert sorted(repr(tuple(r[n] for n in names)) for r in kept) == want
+    hot = {r._task for r in kept if r.raw == "13800138000"}
+    assert len(hot) > 4

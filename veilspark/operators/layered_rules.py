@@ -15,6 +15,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.masking import mask_full, mask_partial
 from ..functions.sqltext import quote
@@ -114,8 +115,12 @@ class _MaskingColumns:
     replacement = "regexp_replace(_mask_char, '([\\\\\\\\$])', '\\\\\\\\$1')"
 
 
+SALT = 32  # tasks among which the hits of one value are spread
+
+
 def _with_allowed(hits: DataFrame, settings: DataFrame) -> DataFrame:
-    """Hits whose value contains no entry of the allowlist."""
+    """Hits whose value contains no entry of the allowlist; the verdict is taken once
+    per distinct value. A null value is never allowed."""
     entries = settings.filter((F.col("path")[0] == "allowlist") & (F.col("value") != ""))
     entries = entries.select(F.col("value").alias("piece")).distinct()
     lengths = entries.agg(F.collect_set(F.length("piece"))).scalar()
@@ -126,7 +131,12 @@ def _with_allowed(hits: DataFrame, settings: DataFrame) -> DataFrame:
     values = hits.select("raw").distinct().withColumn("_lengths", lengths)
     cut = values.select("raw", F.explode(F.array_distinct(pieces)).alias("piece"))
     allowed = cut.join(entries, "piece", "left_semi").select("raw").distinct()
-    return hits.join(allowed, "raw", "left_anti")
+    # hits of one value go to SALT tasks, not one: the salt is a hash of the hit's own
+    # atomic fields, the same on every recompute; each allowed value is there SALT times
+    atomic = [f.name for f in hits.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    salted = hits.withColumn("_salt", F.pmod(F.xxhash64(*atomic), F.lit(SALT)))
+    every = allowed.select("raw", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
+    return salted.join(every, ["raw", "_salt"], "left_anti").drop("_salt")
 
 
 def apply_layers(hits: DataFrame, settings: DataFrame) -> DataFrame:
