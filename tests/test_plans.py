@@ -50,3 +50,35 @@ def test_gate_shuffles_partial_sums_of_needed_columns(table):
 def test_disabled_types_are_not_in_the_plan(table):
     off = Rules.from_layers({"detectors": {"id_card": {"enabled": False}}})
     assert ONE_PATTERN not in plan(redact_text(table, off))
+
+
+def test_sorted_hits_keep_their_layout(spark, tmp_path):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from veilspark.operators.hits import place_in_text, sort_hits, write_sorted_hits
+
+    rows = [(d, "s", 100 - i, 101 - i, i % 3) for d in range(7) for i in range(30)]
+    hits = spark.createDataFrame(rows, "doc_id int, source string, start int, end int, ord int")
+    placed = place_in_text(sort_hits(hits.repartition(5)))
+    got = {(r.doc_id, r.start, r.end, r.ord): r.hit_no for r in placed.collect()}
+    # places follow (start, end, ord) within a text, 1 to the number of its rows
+    for d in range(7):
+        mine = sorted((k for k in got if k[0] == d), key=lambda k: got[k])
+        assert [k[1:] for k in mine] == sorted(k[1:] for k in mine)
+        assert [got[k] for k in mine] == list(range(1, len(mine) + 1))
+    before = sort_hits(hits.repartition(5))._jdf.queryExecution().executedPlan().toString()
+    fresh = place_in_text(sort_hits(hits.repartition(5)))
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == before.count("Exchange")
+    table = f"hits_{abs(hash(str(tmp_path))) % 10**8}"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        write_sorted_hits(hits, table, 4)
+        read = spark.table(table)
+        ranked = read.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("start")))
+        assert "Exchange" not in ranked._jdf.queryExecution().executedPlan().toString()
+        assert ranked.count() == len(rows)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

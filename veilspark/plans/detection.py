@@ -145,7 +145,10 @@ def _no_allowlist() -> Rules:
 )
 def sort_hits(spark, folder):
     found = H.scan(corpus(spark, folder), Rules.default(), positions=False)
-    return H.sort_hits(found).select(
+    # hits dealt round-robin, so that the rows of a text are scattered and out of
+    # order; hit_no is taken from the order sort_hits gives, not from scan's
+    scattered = found.drop("hit_no").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return H.place_in_text(H.sort_hits(scattered)).select(
         "doc_id", "source", "type", "start", "end", "raw", "hit_no"
     )
 
