@@ -142,3 +142,18 @@ def test_dedupe_prefers_confidence_then_order(spark):
         rows, "doc_id int, source string, start int, end int, ord int, confidence double"
     )
     assert [r.ord for r in dedupe_hits(df).collect()] == [0]
+
+
+def test_dedupe_in_the_row_is_the_dedupe_of_the_table(spark):
+    from veilspark.operators.hits import dedupe_hits, scan
+
+    rules = Rules.from_layers({"custom_patterns": [{"type": "eleven", "pattern": r"1\d{10}"}]})
+    rows = [(1, "a", "tel 13800138000 and 13912345678"), (2, "b", None), (3, "c", ""), (4, "d", "13800138000")]
+    df = spark.createDataFrame(rows, "doc_id int, source string, text string")
+    fields = ("doc_id", "source", "start", "end", "type", "confidence")
+    table = scan(df, rules, positions=False)
+    assert table.count() > table.select("doc_id", "start", "end").distinct().count()
+    want = sorted(tuple(r[f] for f in fields) for r in dedupe_hits(table).collect())
+    inrow = scan(df, rules, positions=False, dedupe=True)
+    assert sorted(tuple(r[f] for f in fields) for r in inrow.collect()) == want
+    assert "Exchange" not in inrow._jdf.queryExecution().executedPlan().toString()

@@ -13,6 +13,7 @@ from ..functions.spans import (
     positioned,
     with_python_spans,
 )
+from ..functions.masking import dedupe_spans
 from ..functions.sqltext import name
 from ..rules import Rules
 
@@ -25,15 +26,20 @@ def scan(
     text: str = "text",
     keys: Sequence[str] = KEYS,
     positions: bool = True,
+    dedupe: bool = False,
 ) -> DataFrame:
     """Every hit of every row, with 1-based line and column unless switched off.
 
     Narrow: each row is detected and exploded in place. ``hit_no`` numbers the hits of a row in
-    (start, end, recognizer) order, so no global sort is needed to restore it.
+    (start, end, recognizer) order, so no global sort is needed to restore it. With
+    ``dedupe``, one hit per identical span of a row (the most confident, the first on a
+    tie), chosen inside the row: what :func:`dedupe_hits` does to a table by a shuffle.
     """
     column = name(text)
     df, python_spans = with_python_spans(df, column, rules)
     hits = detections(column, rules, python_spans)
+    if dedupe:
+        hits = dedupe_spans(hits)
     if positions:
         hits = positioned(column, hits)
     # the outer form: an inner explode makes Catalyst evaluate the array twice,
