@@ -142,14 +142,16 @@ _KIND = "CAST((doc_id - doc_id % 4) / 4 AS bigint) % 4"
 
 @query(
     "src_payloads",
-    _masked(policy=BLOCK_SQL)
+    _masked(policy=BLOCK_SQL, texts=_WHOLE_CORPUS.format(planted=planted_sql("customer")))
     + f""" SELECT doc_id, n_redactions > 0 AND {_KIND} <> 3 AND blocked AS blocked, CASE {_KIND}
         WHEN 0 THEN '{{"model": "m", "input": ' || to_json(text) || ', "n": ' || doc_id || '}}'
         WHEN 3 THEN 'null' ELSE text END AS body FROM masked_text""",
 )
 def src_payloads(spark, folder):
     json_text = "substr(to_json(struct(text AS v)), 6, length(to_json(struct(text AS v))) - 6)"
-    payloads = planted(spark, folder).select(
+    # every document and the planted texts; a null text is the empty one
+    texts = corpus(spark, folder).withColumn("text", F.coalesce("text", F.lit("")))
+    payloads = texts.select(
         "doc_id",
         F.expr(
             f"""CASE {_KIND} WHEN 0 THEN 'application/json; charset=utf-8' WHEN 1 THEN 'text/plain'
