@@ -18,6 +18,11 @@ _PLANTED_ONLY = f"""corpus AS (
     SELECT doc_id, source, text FROM ({planted_sql("customer")}) AS planted)"""
 
 
+_WHOLE_CORPUS = """corpus AS (
+    SELECT doc_id, source, coalesce(text, '') AS text FROM documents
+    UNION ALL SELECT doc_id, source, text FROM ({planted}) AS planted)"""
+
+
 def _masked(*, policy: str = "'mask'", texts: str = _PLANTED_ONLY) -> str:
     return O.hits(texts=texts) + O.redactions(policy=policy) + O.spliced()
 
@@ -32,16 +37,16 @@ _REQUEST = (
 
 @query(
     "redact_json_strings",
-    _masked()
+    _masked(texts=_WHOLE_CORPUS.format(planted=planted_sql("customer")))
     + """ SELECT doc_id, '{"13800138000": "none", "a": [{"t": ' || to_json(text)
         || '}, true, null, 1.5, ' || doc_id || '], "b": {"c": ' || to_json(text)
         || ', "d": [[' || to_json(text) || ']]}}' AS body FROM masked_text""",
 )
 def redact_json_strings(spark, folder):
     json_text = "substr(to_json(struct(text AS v)), 6, length(to_json(struct(text AS v))) - 6)"
-    bodies = planted(spark, folder).select(
-        "doc_id", F.expr(_REQUEST.format(text=json_text)).alias("body")
-    )
+    # every document and the planted texts; a null text is the empty one
+    texts = corpus(spark, folder).withColumn("text", F.coalesce("text", F.lit("")))
+    bodies = texts.select("doc_id", F.expr(_REQUEST.format(text=json_text)).alias("body"))
     return N.redact_json_column(bodies, Rules.default()).select("doc_id", "body")
 
 
@@ -57,11 +62,6 @@ _PYTHON_ONLY_SEARCHES = [
     (6, O.Search("code", "code", "", r"(?:[A-Z]{2}-)+\d+", "true", False, 0.6, "")),
     (7, O.Search("title", "title", "", r"(?:[A-Z][a-z]+ )+[A-Z][a-z]+", "true", False, 0.6, "")),
 ]
-_WHOLE_CORPUS = """corpus AS (
-    SELECT doc_id, source, coalesce(text, '') AS text FROM documents
-    UNION ALL SELECT doc_id, source, text FROM ({planted}) AS planted)"""
-
-
 @query(
     "redact_json_custom",
     O.hits(
