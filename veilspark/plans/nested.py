@@ -89,6 +89,7 @@ def redact_json_custom(spark, folder):
     return N.redact_json_column(bodies, rules).select("doc_id", "source", "body")
 
 
+CUSTOMER_COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 _NUMBERS_SQL = f"""WITH v AS ({flipped_values_sql("customer")})"""
 _PAN_MASK = O.mask("partial", "pan")
 _PHONE_MASK = O.mask("partial", "phone")
@@ -211,12 +212,18 @@ def redact_chat_turns(spark, folder):
         {_PHONE_MASK} AS phone,
         CASE WHEN {O.luhn_ok("pan")} THEN {_PAN_MASK} ELSE pan END AS pan,
         'host ' || {O.mask("partial", "host")} AS tags, 'x' || k || ' ' || {_PHONE_MASK} AS by_name,
-        k % 2 = 0 AS flag, {O.id_card_ok("id_no")} AS blocked FROM v""",
+        k % 2 = 0 AS flag, {O.id_card_ok("id_no")} AS blocked,
+        c_name, c_nationkey, c_acctbal, c_mktsegment FROM v JOIN customer ON c_custkey = k""",
 )
 def redact_columns(spark, folder):
     rules = Rules.from_layers({"detectors": {"id_card": {"policy": "block"}}})
-    table = planted_values(spark, folder).select(
+    # every column of customer beside the planted values, all of them redacted
+    customer = read_table(spark, f"{folder}/customer.parquet", CUSTOMER_COLUMNS)
+    table = planted_values(spark, folder).join(
+        customer.withColumnRenamed("c_custkey", "k"), "k"
+    ).select(
         "k",
+        *CUSTOMER_COLUMNS[1:],
         "id_no",
         F.col("phone").cast("long").alias("phone"),
         F.col("pan").cast("decimal(20,0)").alias("pan"),
@@ -226,10 +233,10 @@ def redact_columns(spark, folder):
         ),
         F.expr("k % 2 = 0").alias("flag"),
     )
-    columns = [c for c in table.columns if c != "k"]
-    done = N.redact_columns(table, rules, columns)
+    done = N.redact_columns(table, rules, table.columns)
     return done.select(
         "k",
+        *CUSTOMER_COLUMNS[1:],
         "id_no",
         F.col("phone").cast("string").alias("phone"),
         F.col("pan").cast("string").alias("pan"),
