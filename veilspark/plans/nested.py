@@ -92,6 +92,13 @@ def redact_json_custom(spark, folder):
 CUSTOMER_COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 _NUMBERS_SQL = f"""WITH v AS ({flipped_values_sql("customer")})"""
 _PAN_MASK = O.mask("partial", "pan")
+_WITH_CUSTOMER = " FROM v JOIN customer ON c_custkey = k"
+
+
+def _values_and_customer(spark, folder):
+    """The planted values of each customer beside all of its columns."""
+    customer = read_table(spark, f"{folder}/customer.parquet", CUSTOMER_COLUMNS)
+    return planted_values(spark, folder).join(customer.withColumnRenamed("c_custkey", "k"), "k")
 _PHONE_MASK = O.mask("partial", "phone")
 
 
@@ -101,38 +108,44 @@ _PHONE_MASK = O.mask("partial", "phone")
         '{{"pan": ' || CASE WHEN {O.luhn_ok("pan")} THEN '"' || {_PAN_MASK} || '"' ELSE pan END
         || ', "phone": "' || {_PHONE_MASK} || '", "share": "' || {_PHONE_MASK} || '.0"'
         || ', "max_tokens": 256, "rate": 1.5, "neg": "-' || {_PHONE_MASK} || '"'
-        || ', "big": "' || {_PHONE_MASK} || '.0", "flag": true}}' AS body FROM v""",
+        || ', "big": "' || {_PHONE_MASK} || '.0", "name": "' || c_name || '", "nation": '
+        || c_nationkey || ', "acctbal": ' || c_acctbal || ', "segment": "' || c_mktsegment
+        || '", "flag": true}}' AS body{_WITH_CUSTOMER}""",
 )
 def redact_json_numbers(spark, folder):
-    values = planted_values(spark, folder)
+    values = _values_and_customer(spark, folder)
     body = """'{"pan":' || pan || ',"phone":' || phone || ', "share": ' || phone || '.0'
         || ',"max_tokens":256,"rate":1.50,"neg":-' || phone || ',"big":' || substr(phone, 1, 1)
-        || '.' || substr(phone, 2) || 'e10,"flag":true}'"""
+        || '.' || substr(phone, 2) || 'e10,"name":"' || c_name || '","nation":' || c_nationkey
+        || ',"acctbal":' || c_acctbal || ',"segment":"' || c_mktsegment || '","flag":true}'"""
     bodies = values.select("k", F.expr(body).alias("body"))
     return N.redact_json_column(bodies, Rules.default()).select("k", "body")
 
 
 @query(
     "redact_json_passthrough",
-    f"""{_NUMBERS_SQL} SELECT k, '{{"' || phone || '": true, "n": null, "e": {{}}, "l": [], "f": false}}'
-        AS body, false AS blocked FROM v""",
+    f"""{_NUMBERS_SQL} SELECT k, '{{"' || phone || '": true, "n": null, "e": {{}}, "l": [], "f": false, '
+        || '"' || c_name || '": [' || c_nationkey || ', ' || c_acctbal || ', "' || c_mktsegment || '"]}}'
+        AS body, false AS blocked{_WITH_CUSTOMER}""",
 )
 def redact_json_passthrough(spark, folder):
-    body = """'{"' || phone || '" : true,\n "n":null,"e":{ },"l":[ ],"f":false}'"""
-    bodies = planted_values(spark, folder).select("k", F.expr(body).alias("body"))
+    body = """'{"' || phone || '" : true,\n "n":null,"e":{ },"l":[ ],"f":false,"' || c_name
+        || '":[' || c_nationkey || ',' || c_acctbal || ',"' || c_mktsegment || '"]}'"""
+    bodies = _values_and_customer(spark, folder).select("k", F.expr(body).alias("body"))
     done = N.redact_json_column(bodies, blocking())
     return done.select("k", "body", "blocked")
 
 
 @query(
     "json_blocked_any",
-    f"""{_NUMBERS_SQL} SELECT k, {O.id_card_ok("id_no")} AND NOT (k % 5 = 0) AS blocked FROM v""",
+    f"""{_NUMBERS_SQL} SELECT k, {O.id_card_ok("id_no")} AND NOT (k % 5 = 0) AS blocked{_WITH_CUSTOMER}""",
 )
 def json_blocked_any(spark, folder):
     body = """'{"p":"' || phone || '","x":[{"y":["' || CASE WHEN k % 5 = 0 THEN 'none' ELSE id_no END
-        || '"]}]}'"""
+        || '"]}],"c":{"name":"' || c_name || '","nation":' || c_nationkey || ',"acctbal":'
+        || c_acctbal || ',"segment":"' || c_mktsegment || '"}}'"""
     rules = Rules.from_layers({"detectors": {"id_card": {"policy": "block"}}})
-    bodies = planted_values(spark, folder).select("k", F.expr(body).alias("body"))
+    bodies = _values_and_customer(spark, folder).select("k", F.expr(body).alias("body"))
     return N.redact_json_column(bodies, rules).select("k", "blocked")
 
 
