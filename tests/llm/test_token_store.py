@@ -72,3 +72,26 @@ def test_selective_reads(spark, tmp_path, plain):
     column = file.metadata.row_group(0).column(4)
     assert "ids" in column.path_in_schema and column.has_offset_index
     assert any("DICTIONARY" in e for e in column.encodings)
+
+
+def _one_slice(encoder, texts):
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    ids, borders = encoder.encode(data, offsets)
+    return [ids[a:b].tolist() for a, b in zip(borders[:-1], borders[1:])]
+
+
+def test_a_slice_gives_each_text_its_own_ids(plain):
+    import random
+
+    encoder = T.ChunkEncoder(T.default_tokenizer())
+    fixed = ["Hello World again", "x <| y", "word\x1c next", "a\x1f b", "café\x1d", "über\x1e",
+             "\x1chello", "Tab\there", "CAPS and\r\nLines", ""]
+    assert _one_slice(encoder, fixed) == [plain(t) for t in fixed]
+    chance = random.Random(3)
+    alphabet = [chr(c) for c in range(0x20, 0x3000) if chr(c).isprintable()]
+    alphabet += ["\x1c", "\x1d", "\x1e", "\x1f", " ", " ", "\n", "\t", "<|", "A", "z"]
+    for _ in range(20):
+        texts = ["".join(chance.choice(alphabet) for _ in range(chance.randrange(0, 40))) for _ in range(30)]
+        texts += [chance.choice(fixed) + " " + t for t in texts[:5]]
+        assert _one_slice(encoder, texts) == [plain(t) for t in texts]

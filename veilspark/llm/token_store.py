@@ -87,23 +87,28 @@ class ChunkEncoder:
         self.old: dict[str, bytes] = {}
 
     def learn(self, chunks: list[str]) -> None:
-        """Ids of new chunks. A chunk that is one word of plain letters skips the
-        normaliser: it goes to the model as it is, and its last token shows its end."""
-        words = [c for c in chunks if c.strip().isalpha()]
+        """Ids of new chunks. A chunk that is one word of plain letters after its breaks
+        (spaces and newlines only: Python's ``strip`` takes more, U+001C to U+001F among
+        them, which the tokenizer keeps) skips the normaliser: it is lowered here, goes
+        to the model, and its last token shows its end. If the pieces the model gives do
+        not agree with the words in number, the words go to the tokenizer whole."""
+        words = [c for c in chunks if c.lstrip(" \n").isalpha()]
         line = " ".join(words)
         if _NOT_PLAIN(line):
             words = [c for c in words if not _NOT_PLAIN(c)]
             line = " ".join(words)
         if words:
+            line = line.lower()
             if not line.isascii():
-                spelled = np.frombuffer(line.lower().encode(), np.uint8)
+                spelled = np.frombuffer(line.encode(), np.uint8)
                 line = _BYTE_SIGNS[spelled].tobytes().decode("utf-32-le")
             ids = self._ids(self.plain, line)
             cut = np.append(0, 4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist()
-            raw = ids.tobytes()
-            found = [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            self.young.update(zip(words, found, strict=True))
-        others = [c for c in chunks if c not in self.young] if len(words) < len(chunks) else []
+            if len(cut) - 1 == len(words) and cut[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                found = [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                self.young.update(zip(words, found, strict=True))
+        others = [c for c in chunks if c not in self.young]
         for i in range(0, len(others), TOGETHER):
             self._learn_others(others[i : i + TOGETHER])
 
