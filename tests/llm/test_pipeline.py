@@ -39,7 +39,12 @@ def test_against_sql(spark, duck, name):
     assert got == sorted(map(repr, want)) and got
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLES])
+# op12 gives rows per (anchor, positive, negative) and op13 per word, by their
+# contracts; their own tests hold them against brute force
+PER_DOCUMENT = [n for n in QUERIES if n not in ORACLES and not n.startswith(("op12_", "op13_"))]
+
+
+@pytest.mark.parametrize("name", PER_DOCUMENT)
 def test_a_row_for_each_row(spark, name):
     table = "conversations" if name.startswith("op10") else "documents"
     n = spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
