@@ -225,8 +225,9 @@ def redact_chat_turns(spark, folder):
         {_PHONE_MASK} AS phone,
         CASE WHEN {O.luhn_ok("pan")} THEN {_PAN_MASK} ELSE pan END AS pan,
         'host ' || {O.mask("partial", "host")} AS tags, 'x' || k || ' ' || {_PHONE_MASK} AS by_name,
-        k % 2 = 0 AS flag, {O.id_card_ok("id_no")} AS blocked,
-        c_name, c_nationkey, c_acctbal, c_mktsegment FROM v JOIN customer ON c_custkey = k""",
+        k % 2 = 0 AS flag, {O.id_card_ok("id_no")} AS blocked, c_name,
+        CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_acctbal AS VARCHAR) AS c_acctbal,
+        c_mktsegment FROM v JOIN customer ON c_custkey = k""",
 )
 def redact_columns(spark, folder):
     rules = Rules.from_layers({"detectors": {"id_card": {"policy": "block"}}})
@@ -247,9 +248,13 @@ def redact_columns(spark, folder):
         F.expr("k % 2 = 0").alias("flag"),
     )
     done = N.redact_columns(table, rules, table.columns)
+    # numbers come back as variants (a number with a hit would become a string)
     return done.select(
-        "k",
-        *CUSTOMER_COLUMNS[1:],
+        F.col("k").cast("string").cast("long").alias("k"),
+        "c_name",
+        F.col("c_nationkey").cast("string").alias("c_nationkey"),
+        F.col("c_acctbal").cast("string").alias("c_acctbal"),
+        "c_mktsegment",
         "id_no",
         F.col("phone").cast("string").alias("phone"),
         F.col("pan").cast("string").alias("pan"),
