@@ -92,3 +92,33 @@ def test_threshold():
     scores, good = np.array([0.1, 0.2, 0.3, 0.8, 0.9]), np.array([1, 1, 1, 0, 0], bool)
     assert 0.3 < Q.best_threshold(scores, good) < 0.8
     assert Q.best_threshold(scores, ~good | good) == 1.0
+
+
+def test_calibration_reads_every_row(spark, monkeypatch):
+    """Nothing is learned from a sample, however large the table is."""
+    monkeypatch.setattr(Q, "SAMPLE_ROWS", 20, raising=False)
+    rows, labels = corpus()
+    docs, known = table(spark, rows), spark.createDataFrame(labels, LABELS)
+    stats = Q.stored(Q.with_statistics(docs, keep=["doc_id"]), "statistics")
+    model = Q.calibrate(stats, known)
+    every = np.array([brute(r[1]) for r in rows])
+    good = np.array([bool(g) for _, g, _ in labels])
+    passed = ~Q.base_failed(every)
+    shares = Q.shares_of(every[passed & good])
+    usual = np.quantile(shares, 1 - Q.UNUSUAL, axis=0)
+    assert model.usual.tolist() == usual.tolist()
+    assert model.forest.rows == passed.sum()
+    alone = Q.grow(Q.features_of(every[passed], usual))
+    assert np.array_equal(model.forest.feature, alone.feature)
+    assert np.array_equal(model.forest.value, alone.value)
+    assert np.array_equal(model.forest.length, alone.length)
+    scores = alone.score(Q.features_of(every[passed], usual))
+    assert model.threshold == Q.best_threshold(scores, good[passed])
+    kept = {r.doc_id: r.kept for r in Q.quality_report(docs, known).collect()}
+    assert all(kept[i] == bool(g) for (i, g, _), ok in zip(labels, passed) if ok)
+
+
+def test_threshold_of_counted_scores():
+    scores, good, n = np.array([0.2, 0.2, 0.6, 0.6]), np.array([1, 0, 1, 0], bool), np.array([90, 1, 2, 30])
+    every = Q.best_threshold(np.repeat(scores, n), np.repeat(good, n))
+    assert Q.best_threshold(scores, good, n) == every

@@ -2,15 +2,17 @@
 
 Two fixed rules fail a document outright. For the others the statistics become
 features of a forest of random splits; documents that few splits set apart are
-anomalous. The forest is grown from a bounded sample (each tree sees 256 documents in
-any case), the threshold is the one that best tells the labelled rows of good from
-those of bad quality, and every document is judged whole where it is read.
+anomalous. Nothing is learned from a sample: what is usual and the threshold come from
+all labelled rows, and every tree is grown from all documents. Level by level, tasks
+count the rows of each node and find the range of each feature in it; a split needs no
+more than these. The driver gets histograms and a row per node of a level, which are
+bounded whatever the data. Every document is judged whole where it is read.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import stored
 from .textbytes import (
     NOT_SPACE,
     mix,
@@ -28,10 +31,12 @@ from .textbytes import (
     words_of,
 )
 
-SAMPLE_ROWS = 20_000
-"""Expected bound of the documents a forest may draw from, and of labelled rows."""
 TREES = 100
-TREE_ROWS = 256
+HEIGHT = 8
+NODES = 2 ** (HEIGHT + 1) - 1
+SCORES = 1 << 16
+"""Scores are whole parts of this many, which bounds the values of their histogram."""
+FEATURES = 4
 UNUSUAL = 0.005
 STEP = 0.01
 """Least difference of a share that counts; it grows by a quarter of what is usual."""
@@ -125,27 +130,32 @@ def features_of(statistics: np.ndarray, usual: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Forest:
-    """Trees as arrays: the feature and value of each split, its children, path lengths."""
+    """Trees as arrays: the feature (-1: a leaf) and value of each split, path lengths.
+
+    Node 0 is the root; the children of node i are 2 i + 1 and 2 i + 2.
+    """
 
     feature: np.ndarray
     value: np.ndarray
-    left: np.ndarray
     length: np.ndarray
     rows: int
 
+    def nodes(self, x: np.ndarray, tree: int) -> np.ndarray:
+        """How far down the tree each row comes."""
+        node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+        for _ in range(HEIGHT):
+            feature = self.feature[tree, node]
+            right = x[rows, np.maximum(feature, 0)] >= self.value[tree, node]
+            node = np.where(feature >= 0, 2 * node + 1 + right, node)
+        return node
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """From 0 to 1; the shorter the mean path, the higher."""
         total = np.zeros(len(x))
-        for t in range(len(self.feature)):
-            node = np.zeros(len(x), np.int64)
-            for _ in range(int(np.ceil(np.log2(max(self.rows, 2)))) + 1):
-                inner = self.feature[t, node] >= 0
-                go = np.maximum(self.feature[t, node], 0)
-                right = x[np.arange(len(x)), go] >= self.value[t, node]
-                node = np.where(inner, self.left[t, node] + right, node)
-            total += self.length[t, node]
+        for t in range(TREES):
+            total += self.length[t, self.nodes(x, t)]
         usual = _path(self.rows)
-        return 2.0 ** (-total / max(len(self.feature), 1) / usual) if usual else total
+        return np.round(SCORES * 2.0 ** (-total / TREES / usual)) / SCORES if usual else total
 
 
 @dataclass
@@ -165,43 +175,75 @@ def _path(n: float) -> float:
     return 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
 
 
-def grow(x: np.ndarray, seed: int = 11) -> Forest:
-    """An isolation forest over the rows of ``x``."""
+def node_ranges(forest: Forest, level: int, x: np.ndarray, n: np.ndarray) -> dict:
+    """Of each node of a level that rows reach: ``place`` (tree * NODES + node), how many
+    they are, and the range of each feature. Row i of ``x`` stands for ``n[i]`` rows."""
+    parts = []
+    for t in range(TREES if len(x) else 0):
+        node = forest.nodes(x, t)
+        own = np.flatnonzero(node >= 2**level - 1)
+        if len(own):
+            own = own[np.argsort(node[own], kind="stable")]
+            first = np.flatnonzero(np.diff(node[own], prepend=-1))
+            ranges = [f.reduceat(x[own], first) for f in (np.minimum, np.maximum)]
+            place = t * NODES + node[own][first]
+            parts.append([place, np.add.reduceat(n[own], first), *ranges[0].T, *ranges[1].T])
+    columns = zip(*parts, strict=True) if parts else [[np.empty(0)]] * len(_ranges_of(x.shape[1]))
+    return dict(zip(_ranges_of(x.shape[1]), map(np.concatenate, columns), strict=True))
+
+
+def _ranges_of(features: int) -> list[str]:
+    return ["place", "n", *(f"{end}{k}" for end in ("low", "high") for k in range(features))]
+
+
+def grown(ranges: Callable[[Forest, int], dict], features: int, seed: int = 11) -> Forest:
+    """An isolation forest over rows of which ``ranges`` tells the ``node_ranges``."""
     chance = np.random.default_rng(seed)
-    rows = min(TREE_ROWS, len(x))
-    depth = int(np.ceil(np.log2(max(rows, 2))))
-    size = 2 ** (depth + 1) + 1
-    shape = (TREES, size)
-    feature, value = np.full(shape, -1), np.zeros(shape)
-    left, length = np.zeros(shape, np.int64), np.zeros(shape)
-    for t in range(TREES):
-        free = 1
-        open_ = [(0, chance.choice(len(x), rows, replace=False) if rows else np.empty(0, int), 0)]
-        while open_:
-            node, own, level = open_.pop()
-            low, high = (x[own].min(0), x[own].max(0)) if len(own) else (np.zeros(1), np.zeros(1))
-            varied = np.flatnonzero(high > low)
-            if level == depth or len(own) < 2 or not len(varied):
-                length[t, node] = level + _path(len(own))
+    shape = (TREES, NODES)
+    forest = Forest(np.full(shape, -1), np.zeros(shape), np.zeros(shape), 0)
+    for level in range(HEIGHT + 1):
+        found = ranges(forest, level)
+        if not len(found["place"]):
+            break
+        order = np.argsort(found["place"])
+        tree, node = np.divmod(found["place"][order].astype(np.int64), NODES)
+        rows = found["n"][order]
+        low, high = (
+            np.column_stack([found[f"{end}{k}"][order] for k in range(features)])
+            for end in ("low", "high")
+        )
+        forest.rows = max(forest.rows, int(rows.max()))
+        for i, at in enumerate(zip(tree.tolist(), node.tolist(), strict=True)):
+            varied = np.flatnonzero(high[i] > low[i])
+            if level == HEIGHT or not len(varied):
+                forest.length[at] = level + _path(float(rows[i]))
                 continue
             f = int(chance.choice(varied))
-            cut = chance.uniform(low[f], high[f])
-            cut = high[f] if cut <= low[f] else cut
-            right = x[own, f] >= cut
-            feature[t, node], value[t, node], left[t, node] = f, cut, free
-            open_ += [(free, own[~right], level + 1), (free + 1, own[right], level + 1)]
-            free += 2
-    return Forest(feature, value, left, length, rows)
+            cut = chance.uniform(low[i, f], high[i, f])
+            forest.feature[at], forest.value[at] = f, high[i, f] if cut <= low[i, f] else cut
+    return forest
 
 
-def best_threshold(scores: np.ndarray, good: np.ndarray) -> float:
-    """The score from which documents go: highest mean of the two kinds' shares told right."""
+def grow(x: np.ndarray, seed: int = 11) -> Forest:
+    """The forest of the rows of ``x``."""
+    n = np.ones(len(x), np.int64)
+    return grown(lambda forest, level: node_ranges(forest, level, x, n), x.shape[1], seed)
+
+
+def best_threshold(
+    scores: np.ndarray, good: np.ndarray, n: np.ndarray | None = None
+) -> float:
+    """The score from which documents go: highest mean of the two kinds' shares told right.
+
+    An entry stands for ``n`` rows, or for one.
+    """
     if not len(scores) or good.all() or not good.any():
         return 1.0
     order = np.argsort(scores)
-    s, g = scores[order], good[order]
+    s, n = scores[order], np.ones(len(scores), np.int64) if n is None else n[order]
+    g, b = n * good[order], n * ~good[order]
     right_good = np.concatenate([[0], np.cumsum(g)]) / g.sum()
-    right_bad = 1 - np.concatenate([[0], np.cumsum(~g)]) / (~g).sum()
+    right_bad = 1 - np.concatenate([[0], np.cumsum(b)]) / b.sum()
     between = np.concatenate([[True], s[1:] > s[:-1], [True]])
     value = np.where(between, right_good + right_bad, -1)
     k = len(s) - int(np.argmax(value[::-1]))
@@ -223,41 +265,135 @@ def with_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None
     return docs.mapInArrow(run, docs.select(*names, *added).schema)
 
 
-def _sample(docs: DataFrame, n: int) -> DataFrame:
-    share = min(1.0, SAMPLE_ROWS / n) if n else 1.0
-    mark = F.xxhash64("doc_id", F.lit("quality"))
-    return docs.filter(F.pmod(mark, F.lit(1 << 20)) < int(share * (1 << 20)))
+def _mapped(df: DataFrame, columns: str, run: Callable[[np.ndarray], list]) -> DataFrame:
+    """``columns`` that ``run`` makes of all the columns of ``df`` (a matrix, a row each)."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def batches(given: Iterator[pa.RecordBatch]):
+        for batch in given:
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            made = run(np.column_stack(rows)) if batch.num_rows else None
+            if made is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=names)
+
+    return df.mapInArrow(batches, columns)
 
 
-def calibrate(docs: DataFrame, labels: DataFrame) -> Model:
-    """The forest of a sample of documents, and thresholds from labelled ones.
+def _collected(df: DataFrame) -> dict[str, np.ndarray]:
+    table = df.toArrow()
+    return {c: table[c].to_numpy() for c in table.column_names}
 
-    Both samples are bounded by ``SAMPLE_ROWS``. Of the rows labelled good all but
-    ``UNUSUAL`` are usual in each share; the forest sees what is above. Labels that are
-    null teach nothing; an id labelled twice is good if both say so. Without labels of
-    both kinds nothing is an anomaly.
+
+def usual_shares(good: DataFrame) -> np.ndarray:
+    """Of each share the quantile that all but ``UNUSUAL`` of the rows keep to.
+
+    ``good`` has ``STATISTICS`` and is read several times: give a stored table. The
+    rows on both sides of the quantile are found 16 bits at a time: shares are no less
+    than zero, so their bits are in their order.
     """
-    docs = docs.select("doc_id", "text")
+    n = good.count()
+    if not n:
+        return np.zeros(FEATURES)
+    middle = (n - 1) * (1 - UNUSUAL)
+    ranks = np.array([int(middle), min(int(middle) + 1, n - 1)] * FEATURES)
+    known = np.zeros(2 * FEATURES, np.int64)  # the leading bits of each
+    for shift in (48, 32, 16, 0):
+
+        def counts(rows, shift=shift, known=known):
+            bits = (shares_of(rows) + 0.0).view(np.int64).T
+            found = []
+            for k in range(2 * FEATURES):
+                # two shifts, for one by 64 bits would be none
+                own = bits[k // 2][(bits[k // 2] >> shift >> 16) == known[k]] >> shift
+                value, times = np.unique(own, return_counts=True)
+                found.append([np.full(len(value), k), value, times])
+            return [np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True)]
+
+        seen = _mapped(good.select(*STATISTICS), "k long, value long, n long", counts)
+        seen = _collected(seen.groupBy("k", "value").agg(F.sum("n").alias("n")))
+        below, known = ranks, known.copy()
+        ranks = ranks.copy()
+        for k in range(2 * FEATURES):
+            own = np.flatnonzero(seen["k"] == k)
+            own = own[np.argsort(seen["value"][own])]
+            upto = np.cumsum(seen["n"][own])
+            at = int(np.searchsorted(upto, below[k], "right"))
+            known[k] = seen["value"][own[at]]
+            ranks[k] = below[k] - (upto[at] - seen["n"][own[at]])
+    a, b = known.view(np.float64).reshape(-1, 2).T
+    part = middle - int(middle)
+    return a + (b - a) * part if part < 0.5 else b - (b - a) * (1 - part)
+
+
+_VECTOR = [f"f{k}" for k in range(FEATURES)]
+
+
+def _vectors(rows: DataFrame, usual: np.ndarray) -> DataFrame:
+    """The features of rows of ``STATISTICS`` and whatever number follows."""
     n = len(STATISTICS)
-    sample = with_statistics(_sample(docs, docs.count()), keep=[])
-    rows = np.array([tuple(r) for r in sample.collect()], np.int64).reshape(-1, n)
-    rows = rows[np.lexsort(rows.T)]
-    rows = rows[~base_failed(rows)]
+    more = [c for c in rows.columns if c not in STATISTICS]
+    columns = ", ".join([f"{c} double" for c in _VECTOR] + [f"{c} long" for c in more])
+
+    def run(given):
+        return [*features_of(given[:, :n], usual).T, *given[:, n:].T]
+
+    return _mapped(rows.select(*STATISTICS, *more), columns, run)
+
+
+def forest_of(rows: DataFrame, usual: np.ndarray) -> Forest:
+    """The forest of all rows of ``STATISTICS``; rows of the same features are one row
+    that counts as many."""
+    vectors = _vectors(rows, usual).groupBy(*_VECTOR).agg(F.count("*").alias("n"))
+    vectors = stored(vectors, "features")
+    names = _ranges_of(FEATURES)
+    columns = ", ".join(f"{c} {'long' if c in ('place', 'n') else 'double'}" for c in names)
+
+    def ranges(forest: Forest, level: int) -> dict:
+        so_far = rows.sparkSession.sparkContext.broadcast(forest)
+
+        def run(given):
+            x, n = given[:, :FEATURES], given[:, FEATURES].astype(np.int64)
+            found = node_ranges(so_far.value, level, x, n)
+            return [found[c].astype(np.int64 if c in ("place", "n") else float) for c in names]
+
+        how = {"n": F.sum, "low": F.min, "high": F.max}
+        found = _mapped(vectors, columns, run).groupBy("place")
+        return _collected(found.agg(*(how[c.rstrip("0123456789")](c).alias(c) for c in names[1:])))
+
+    return grown(ranges, FEATURES)
+
+
+def calibrate(stats: DataFrame, labels: DataFrame) -> Model:
+    """The forest of all documents, and thresholds from all labelled ones.
+
+    ``stats`` has doc_id and ``STATISTICS`` of each document and is read several times:
+    give a stored table. Of the rows labelled good all but ``UNUSUAL`` are usual in each
+    share; the forest sees what is above. Labels that are null teach nothing; an id
+    labelled twice is good if both say so. Without labels of both kinds nothing is an
+    anomaly.
+    """
+    passing = stats.filter(
+        (F.col("n_words") >= MIN_WORDS)
+        & (100 * F.col("n_repeat_words") <= MOST_REPEATED * F.col("n_words"))
+    )
     known = (
         labels.filter("quality IS NOT NULL")
         .groupBy("doc_id")
-        .agg((F.min("quality") > 0).alias("good"))
+        .agg((F.min("quality") > 0).cast("long").alias("good"))
     )
-    known = _sample(known, known.count())
-    seen = with_statistics(docs.join(known, "doc_id"), keep=["good"]).collect()
-    told = np.array([tuple(r)[1:] for r in seen], np.int64).reshape(-1, n)
-    good = np.array([r.good for r in seen], bool)
-    passed = ~base_failed(told)
-    told, good = told[passed], good[passed]
-    shares = shares_of(told[good])
-    usual = np.quantile(shares, 1 - UNUSUAL, axis=0) if len(shares) else np.zeros(4)
-    model = Model(usual, grow(features_of(rows, usual)), 1.0)
-    model.threshold = best_threshold(model.anomaly(told), good)
+    told = stored(passing.join(known, "doc_id").select(*STATISTICS, "good"), "labelled")
+    usual = usual_shares(told.filter("good = 1").drop("good"))
+    model = Model(usual, forest_of(passing.select(*STATISTICS), usual), 1.0)
+    forest = stats.sparkSession.sparkContext.broadcast(model.forest)
+
+    def scored(given):
+        x, numbers = given[:, :FEATURES], given[:, FEATURES:].astype(np.int64)
+        return [forest.value.score(x), *numbers.T]
+
+    counts = _vectors(told, usual).groupBy(*_VECTOR, "good").agg(F.count("*").alias("n"))
+    seen = _mapped(counts, "score double, good long, n long", scored).groupBy("score", "good")
+    seen = _collected(seen.agg(F.sum("n").alias("n")))
+    model.threshold = best_threshold(seen["score"], seen["good"] == 1, seen["n"])
     return model
 
 
@@ -267,8 +403,8 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A null or empty text has no words and fails the base rule. Repeated rows are judged
     one by one and alike.
     """
-    docs = docs.select("doc_id", "text")
-    model = docs.sparkSession.sparkContext.broadcast(calibrate(docs, labels))
+    stats = stored(with_statistics(docs.select("doc_id", "text"), keep=["doc_id"]), "statistics")
+    model = docs.sparkSession.sparkContext.broadcast(calibrate(stats, labels))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -281,6 +417,5 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 names=[*batch.schema.names, "base_failed", "anomaly", "kept"],
             )
 
-    stats = with_statistics(docs, keep=["doc_id"])
     added = (F.lit(True).alias("base_failed"), F.lit(0.0).alias("anomaly"), F.lit(True).alias("kept"))
     return stats.mapInArrow(run, stats.select("*", *added).schema)
