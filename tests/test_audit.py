@@ -8,6 +8,7 @@ from veilspark.operators.audit import (
     audit_entries,
     audit_json,
     leaks,
+    record_parts,
     report_by_action,
     report_by_type,
     report_totals,
@@ -230,3 +231,21 @@ def test_a_frequent_value_is_spread_over_tasks(spark):
     assert sorted(repr(tuple(r[n] for n in names)) for r in kept) == want
     hot = {r._task for r in kept if r.raw == "13800138000"}
     assert len(hot) > 4
+
+
+def test_records_are_searched_in_two_parts(spark):
+    """Records of one source and type share all but the preview; a value across the cut is found."""
+    rules = Rules.from_layers({"custom_patterns": [{"type": "odd", "pattern": r"preview\":\"\S+"}]})
+    texts = [(i, "a", f"1380013{i:04d} 139123{i:05d}") for i in range(200)]
+    texts += [(1000, "b", 'preview":"p 13800138000'), (1001, "b", "13800139000")]
+    entries = audit_entries(
+        redact_text(spark.createDataFrame(texts, SCHEMA), rules), ts=TS, keep_raw=True
+    )
+    head, tail = record_parts()
+    parts = entries.select(audit_json().alias("line"), head.alias("head"), tail.alias("tail"))
+    rows = parts.collect()
+    assert all(r.line == r.head + r.tail for r in rows)
+    assert len({r.head for r in rows}) == 3 and max(len(r.tail) for r in rows) < 40
+    raws, pairs = [r.raw for r in entries.select("raw").collect()], [r.line for r in rows]
+    want = sum(any(raw in line for raw in raws) for line in pairs)
+    assert sum(r.n_any_raw for r in leaks(entries).collect()) == want > 0

@@ -71,71 +71,96 @@ def audit_json() -> Column:
 
 
 ANCHOR = 8  # a raw value is looked for by one of its substrings of this length
+_CUT = ',"masked_preview":'
 
 
-def leaks(entries: DataFrame, anchor: int = ANCHOR) -> DataFrame:
-    """Per type: records, those holding their own raw value, and those holding any
-    raw value of the run.
+def record_parts() -> tuple[Column, Column]:
+    """``audit_json`` in two: up to the preview, which few records differ in, and the rest."""
+    others = F.to_json(F.struct(*FIELDS[:-1]), {"ignoreNullFields": "false"})
+    head = F.concat(F.substring(others, F.lit(1), F.length(others) - 1), F.lit(_CUT))
+    return head, F.substring(audit_json(), F.length(head) + 1, F.length(audit_json()))
 
-    ``entries`` come from ``audit_entries(keep_raw=True)``. A containment join by
-    anchors: every distinct raw value is filed under the one of its substrings of
-    length ``min(len, anchor)`` that the fewest records hold; a record gives each
-    substring of those lengths once, is paired only with the values filed under
-    them, and a pair counts if the record contains the value. A record holding a
-    value holds its anchor, so nothing is missed. Records travel as 64-bit ids
-    until the check, which reads the record itself: ids that clash only add pairs
-    that the check throws out. Equal records of one type are checked once and
-    counted as often as they occur. Null and empty raw values are no values; no
-    entries give no rows.
-    """
-    lines = entries.select("type", "raw", audit_json().alias("line"))
-    values = (
-        lines.select(F.col("raw").alias("value"))
-        .filter("value <> ''")
-        .distinct()
-        .withColumn("_a", F.least(F.length("value"), F.lit(anchor)))
-    )
-    # at most ``anchor`` lengths, whatever the data
-    sizes = values.agg(F.collect_set("_a")).scalar()
-    records = lines.groupBy("type", "line").agg(F.count("*").alias("n"))
-    records = records.withColumn("_id", F.xxhash64("type", "line")).withColumn("_sizes", sizes)
-    grams = F.array_distinct(
+
+def _grams(text: str, sizes: Column) -> Column:
+    """64-bit ids of the distinct substrings of the given lengths."""
+    return F.array_distinct(
         F.flatten(
             F.transform(
-                F.filter("_sizes", lambda a: a <= F.length("line")),
+                F.filter(sizes, lambda a: a <= F.length(text)),
                 lambda a: F.transform(
-                    F.sequence(F.lit(1), F.length("line") - a + 1),
-                    lambda i: F.col("line").substr(i, a),
+                    F.sequence(F.lit(1), F.length(text) - a + 1),
+                    lambda i: F.xxhash64(F.col(text).substr(i, a)),
                 ),
             )
         )
     )
-    held = records.select("_id", F.explode(grams).alias("gram")).distinct()
+
+
+def _holding(texts: DataFrame, values: DataFrame, anchor: int) -> DataFrame:
+    """``text`` of the distinct ``texts`` that contain any of the distinct ``value``s.
+
+    A containment join by anchors: every value is filed under the one of its substrings
+    of length ``min(len, anchor)`` that the fewest texts hold; a value of which some
+    substring is in no text is in none itself. A text gives each substring of those
+    lengths once, is paired only with the values filed under them, and a pair counts if
+    the text contains the value. A text holding a value holds its anchor, so nothing is
+    missed. Texts and substrings travel as 64-bit ids until the check, which reads the
+    text itself: ids that clash only add pairs that the check throws out.
+    """
+    values = values.withColumn("_a", F.least(F.length("value"), F.lit(anchor)))
+    # at most ``anchor`` lengths, whatever the data; without values none
+    sizes = values.agg(F.collect_set("_a")).scalar()
+    texts = texts.withColumn("_id", F.xxhash64("text"))
+    held = texts.withColumn("_sizes", sizes).select(
+        "_id", F.explode(_grams("text", F.col("_sizes"))).alias("gram")
+    )
     often = held.groupBy("gram").agg(F.count("*").alias("_f"))
-    filed = values.select(
-        "value",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.length("value") - F.col("_a") + 1),
-                lambda i: F.col("value").substr(i, F.col("_a")),
-            )
-        ).alias("gram"),
+    filed = values.withColumn("_grams", _grams("value", F.array("_a"))).select(
+        "value", F.size("_grams").alias("_n"), F.explode("_grams").alias("gram")
     )
-    # a substring no record holds rules its value out at once
-    anchors = filed.join(often, "gram").groupBy("value").agg(
-        F.min_by("gram", F.struct("_f", "gram")).alias("gram")
+    anchors = (
+        filed.join(often, "gram")
+        .groupBy("value", "_n")
+        .agg(F.min_by("gram", F.struct("_f", "gram")).alias("gram"), F.count("*").alias("_found"))
+        .filter("_found = _n")
+        .select("value", "gram")
     )
     pairs = held.join(anchors, "gram").select("_id", "value")
-    holding = (
-        pairs.join(records, "_id")
-        .filter(F.contains("line", "value"))
-        .select("type", "line", "n")
-        .distinct()
+    return pairs.join(texts, "_id").filter(F.contains("text", "value")).select("text").distinct()
+
+
+def leaks(entries: DataFrame, anchor: int = ANCHOR) -> DataFrame:
+    """Per type: records, those holding their own raw value, and those holding any
+    raw value of the run.
+
+    ``entries`` come from ``audit_entries(keep_raw=True)``. Few records differ up to the
+    preview, so both parts of the records are looked at apart, each distinct one once
+    (``_holding``). A value that reaches from one into the other holds the signs on both
+    sides of the cut; such values, if there are any, are looked for in whole records.
+    Equal records are checked once and counted as often as they occur. Null and empty
+    raw values are no values; no entries give no rows.
+    """
+    head, tail = record_parts()
+    lines = entries.select("type", "raw", head.alias("head"), tail.alias("tail"))
+    # every branch below starts with the same shuffle (n included), which is run once
+    lines = lines.groupBy("type", "raw", "head", "tail").agg(F.count("*").alias("n")).filter("n > 0")
+    values = lines.select(F.col("raw").alias("value")).filter("value <> ''").distinct()
+    across = values.filter(F.contains("value", F.lit(':"')) | F.contains("value", F.lit(":n")))
+    line = F.concat("head", "tail")
+    records = lines.groupBy("type", "head", "tail").agg(F.sum("n").alias("n"))
+    records = records.withColumn("line", line)
+    for part, sought in (("head", values), ("tail", values), ("line", across)):
+        texts = lines.withColumn("line", line).select(F.col(part).alias("text")).distinct()
+        found = _holding(texts, sought, anchor).select(
+            F.col("text").alias(part), F.lit(True).alias(f"_{part}")
+        )
+        records = records.join(found, part, "left")
+    any_raw = (
+        records.filter("_head OR _tail OR _line").groupBy("type").agg(F.sum("n").alias("n_any_raw"))
     )
-    any_raw = holding.groupBy("type").agg(F.sum("n").alias("n_any_raw"))
     per_type = lines.groupBy("type").agg(
-        F.count("*").alias("n_entries"),
-        F.count_if(F.contains("line", "raw")).alias("n_own_raw"),
+        F.sum("n").alias("n_entries"),
+        F.sum(F.when(F.contains(line, F.col("raw")), F.col("n")).otherwise(0)).alias("n_own_raw"),
     )
     return per_type.join(any_raw, "type", "left").withColumn(
         "n_any_raw", F.coalesce("n_any_raw", F.lit(0))
