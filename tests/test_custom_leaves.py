@@ -67,3 +67,9 @@ def test_variant_leaves(spark, redact):
     df = df.select(F.parse_json("j").alias("v"))
     [row] = redact_columns(df, RULES).collect()
     assert json.loads(row.v.toJson())["v"][0] == want
+
+
+def test_all_patterns_share_one_python_step(spark):
+    df = spark.createDataFrame([(1, '{"a": "AB-CD-1 abc"}')], "i int, body string")
+    plan = redact_json_column(df, RULES)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

@@ -8,9 +8,10 @@ gives the end of every match.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -337,39 +338,62 @@ def with_leaf_spans(
     df = df.withColumn(
         "_leaves", F.expr(f"array_distinct(filter({leaves}, {x} -> {x} IS NOT NULL))")
     )
-    added, lookups = ["_leaves"], {}
-    for order, recognizer in python:
-        spans, table = f"_leaf_spans_{order}", f"_leaf_table_{order}"
-        df = df.withColumn(spans, _python_leaf_finder(recognizer.python_pattern)("_leaves"))
-        df = df.withColumn(table, F.map_from_arrays("_leaves", spans))
-        added += [spans, table]
+    # all patterns in one step: one Python worker a task, whatever their number
+    found = {
+        f"_leaf_spans_{order}": _python_leaf_finder(recognizer.python_pattern)("_leaves")
+        for order, recognizer in python
+    }
+    tables = {
+        f"_leaf_table_{order}": F.map_from_arrays("_leaves", f"_leaf_spans_{order}")
+        for order, _ in python
+    }
+    df = df.withColumns(found).withColumns(tables)
+    added, lookups = ["_leaves", *found, *tables], {}
+    for order, _ in python:
+        table = f"_leaf_table_{order}"
         lookups[order] = lambda text, table=table: (
             f"if({text} IS NULL, NULL, try_element_at({name(table)}, {text}))"
         )
     return df, lookups, added
 
 
-def _spans_of(compiled: re.Pattern):
-    group = "v" if "v" in compiled.groupindex else 0
+TEXTS_AT_ONCE = 256
+"""Texts that are Python strings at one time."""
 
-    def spans(text: str | None) -> list[dict]:
-        return [
-            {"start": m.start(group), "end": m.end(group), "raw": m[group]}
-            for m in (compiled.finditer(text) if text else ())
-            if m[group] is not None
-        ]
 
-    return spans
+def _spans_of(compiled: re.Pattern, texts: pa.Array) -> pa.Array:
+    """Spans of the pattern in each text, none in a null one, as Arrow lists.
+
+    Only ``TEXTS_AT_ONCE`` texts and their matches are Python objects at a time.
+    """
+    group = "v" if "v" in compiled.groupindex else 0
+    kind = pa.struct({"start": pa.int32(), "end": pa.int32(), "raw": texts.type})
+    parts = [pa.array([], pa.list_(kind))]
+    for i in range(0, len(texts), TEXTS_AT_ONCE):
+        cuts, starts, ends, raws = [0], [], [], []
+        for text in texts.slice(i, TEXTS_AT_ONCE).to_pylist():
+            for m in compiled.finditer(text) if text else ():
+                if m[group] is not None:
+                    starts.append(m.start(group))
+                    ends.append(m.end(group))
+                    raws.append(m[group])
+            cuts.append(len(raws))
+        spans = [pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(raws, texts.type)]
+        spans = pa.StructArray.from_arrays(spans, fields=list(kind))
+        parts.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), spans))
+    return pa.concat_arrays(parts)
 
 
 def _python_leaf_finder(pattern: str):
     """Arrow UDF giving, for an array of texts, the spans of each."""
 
-    @F.pandas_udf(f"array<{SPANS}>")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        spans = _spans_of(re.compile(pattern))
-        for leaves in batches:
-            yield leaves.map(lambda texts: None if texts is None else [spans(t) for t in texts])
+    @F.arrow_udf(f"array<{SPANS}>")
+    def find(leaves: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(leaves), 0)
+        ends = pc.cumulative_sum(pc.cast(sizes, pa.int32()))
+        cuts = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+        spans = _spans_of(re.compile(pattern), leaves.flatten())
+        return pa.ListArray.from_arrays(cuts, spans, mask=leaves.is_null())
 
     return find
 
@@ -377,19 +401,8 @@ def _python_leaf_finder(pattern: str):
 def _python_finder(pattern: str):
     """Arrow UDF giving the spans of a pattern by Python's own engine."""
 
-    @F.pandas_udf(SPANS)
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        compiled = re.compile(pattern)
-        group = "v" if "v" in compiled.groupindex else 0
-
-        def spans(text: str | None) -> list[dict]:
-            return [
-                {"start": m.start(group), "end": m.end(group), "raw": m[group]}
-                for m in (compiled.finditer(text) if text else ())
-                if m[group] is not None
-            ]
-
-        for texts in batches:
-            yield texts.map(spans)
+    @F.arrow_udf(SPANS)
+    def find(texts: pa.Array) -> pa.Array:
+        return _spans_of(re.compile(pattern), texts)
 
     return find
