@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 """Bytes of text looked at together; a longer text is a slice of its own."""
 
 LOWER = np.arange(256, dtype=np.uint8)

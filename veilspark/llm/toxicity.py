@@ -176,7 +176,7 @@ def _entries(text: str) -> set[str]:
 def _count_entries(batches: Iterator[pa.RecordBatch]):
     """(entry, n toxic, n clean) over the documents of a task."""
     counts: tuple[Counter, Counter] = Counter(), Counter()
-    for batch in batches:
+    for batch in slices(batches, "text"):
         for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             counts[not toxic].update(_entries(text or ""))
     names = [*counts[0], *(counts[1].keys() - counts[0].keys())]
@@ -312,7 +312,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
     def count_phrases(batches):
         counts: tuple[Counter, Counter] = Counter(), Counter()
-        for batch in batches:
+        for batch in slices(batches, "text"):
             for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 counts[not toxic].update(_phrases(text or "", weights.value))
         names = [*(counts[0].keys() | counts[1].keys())]
@@ -339,7 +339,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
     def measure(batches):
         search = measured.value.automaton()
-        for batch in batches:
+        for batch in slices(batches, "text"):
             found = [features(t, search) for t in batch.column(0).to_pylist()]
             a, b = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays(
