@@ -116,3 +116,17 @@ def test_pieces_hold_every_string_once():
             assert len(texts[d][i : i + 50]) == 50
     assert all(len(a) == 1 for a in strings.values())  # equal strings share an anchor
     assert n.sum() == sum(max(0, len(t) - 49) for t in texts)
+
+
+def test_hashes_that_occur_once_are_not_sorted():
+    from veilspark.llm.suffix_dedup import _maybe_twice
+
+    chance = np.random.default_rng(5)
+    hashes = chance.integers(0, 2**63, 50_000, dtype=np.uint64)
+    hashes[100:200] = hashes[40_000:40_100]
+    hashes[7] = hashes[8] = hashes[9]
+    values, times = np.unique(hashes, return_counts=True)
+    twice = np.flatnonzero(np.isin(hashes, values[times > 1]))
+    found = _maybe_twice(hashes)
+    assert np.isin(twice, found).all() and len(found) < len(hashes) // 2
+    assert len(_maybe_twice(hashes[:0])) == 0 and len(_maybe_twice(hashes[:1])) == 0
