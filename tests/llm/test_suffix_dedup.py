@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -130,3 +131,103 @@ def test_hashes_that_occur_once_are_not_sorted():
     found = _maybe_twice(hashes)
     assert np.isin(twice, found).all() and len(found) < len(hashes) // 2
     assert len(_maybe_twice(hashes[:0])) == 0 and len(_maybe_twice(hashes[:1])) == 0
+
+
+def peak_mb(run):
+    """The most that numpy and Python hold at a time, beyond what they hold before."""
+    tracemalloc.start()
+    run()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most / 1e6
+
+
+def asked_pieces(anchors, each, piece=100, seed=3):
+    """Rows of step 3 in order of their anchors; each anchor has a string in two documents."""
+    chance = np.random.default_rng(seed)
+    rows = anchors * each
+    texts = chance.integers(32, 127, (rows, piece), dtype=np.uint8)
+    if each > 1:
+        texts[1::each, :60] = texts[::each, :60]
+        texts[1::each, 60] = texts[::each, 60] ^ 1
+    return pa.record_batch(
+        {
+            "p": pa.array(np.zeros(rows, np.int32)),
+            "anchor": pa.array(np.repeat(np.arange(anchors, dtype=np.int32), each)),
+            "doc": pa.array(np.arange(rows)),
+            "salt": pa.array(np.zeros(rows, np.int64)),
+            "start": pa.array(np.zeros(rows, np.int32)),
+            "piece": pa.array([t.tobytes() for t in texts], pa.binary()),
+        }
+    )
+
+
+def in_batches(rows, n):
+    return iter([rows.slice(i, n) for i in range(0, rows.num_rows, n)])
+
+
+def test_pieces_are_compared_some_anchors_at_a_time():
+    pieces = asked_pieces(20_000, 4)  # 8 MB
+    found = []
+    most = peak_mb(lambda: found.extend(r for b in S._compared(in_batches(pieces, 10_000)) for r in b.to_pylist()))
+    assert most < 100
+    assert sorted((f["doc"], f["start"], f["n"]) for f in found) == [
+        (4 * i + 1, 0, 11) for i in range(20_000)
+    ]
+
+
+@pytest.mark.parametrize("block", [1, 300, 5_000, 1 << 20])
+@pytest.mark.parametrize("batch", [1, 3, 7, 1000])
+def test_anchors_stay_whole(monkeypatch, block, batch):
+    monkeypatch.setattr(S, "BLOCK", block)
+    pieces = pa.concat_batches([asked_pieces(9, 4), asked_pieces(1, 40), asked_pieces(9, 1)])
+    pieces = pieces.take(pc.sort_indices(pieces, [("anchor", "ascending")]))
+    tables = list(S._whole_anchors(in_batches(pieces, batch)))
+    assert pa.concat_tables(tables).equals(pa.Table.from_batches([pieces]))
+    seen = [set(t["anchor"].to_pylist()) for t in tables]
+    assert sum(map(len, seen)) == len(set.union(*seen)) and len(seen) == (1 if block > 9000 else len(seen))
+    if block == 1:
+        assert all(len(a) == 1 for a in seen)
+
+
+def cut_and_matched(rows, partitions=1):
+    docs = pa.record_batch(
+        {
+            "_id": pa.array([r[0] for r in rows]),
+            "_salt": pa.array([0] * len(rows)),
+            "text": pa.array([r[1] for r in rows], pa.string()),
+        }
+    )
+    return list(S._cut(partitions)(iter([docs])))
+
+
+def test_pieces_are_matched_some_anchors_at_a_time(monkeypatch):
+    rows = [(i, prose(i, 150)) for i in range(1500)]
+    rows += [(2000 + i, prose(i, 150) + prose(9000 + i, 20)) for i in range(300)]
+    monkeypatch.setattr(S, "SLICE", 100_000)
+    cut = cut_and_matched(rows)
+    key = ("doc", "start", "n", "anchor", "kind")
+
+    def found():
+        return sorted(tuple(r[k] for k in key) for b in S._matched(iter(cut)) for r in b.to_pylist())
+
+    want = found()
+    monkeypatch.setattr(S, "TOGETHER", 1000)
+    assert found() == want and {w[-1] for w in want} == {S.REPEAT, S.ASK}
+
+
+def test_long_texts_are_hashed_in_steps(monkeypatch):
+    rows = [(i, prose(i, 900)) for i in range(3)] + [(3, ""), (4, prose(1, 900)), (5, "x" * 49)]
+    want = in_one_process(rows)
+    monkeypatch.setattr(S, "STEP", 100)
+    assert in_one_process(rows) == want and len(want) > 3000
+    text = np.frombuffer(prose(1, 500_000).encode(), np.uint8)
+    monkeypatch.undo()
+    assert peak_mb(lambda: S._hashed_pieces(text, np.array([0, len(text)]))) < 40 * len(text) / 1e6
+
+
+def test_known_repeats_are_dealt_evenly():
+    line = "the very same line stands in each of the documents of this slice, and in full"
+    cut = pa.Table.from_batches(cut_and_matched([(i, line) for i in range(2000)], 16)).to_pylist()
+    known = {r["p"]: sum(r["known"]) for r in cut}
+    assert len(known) == 16 and max(known.values()) < 2 * min(known.values())
