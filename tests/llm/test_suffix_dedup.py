@@ -231,3 +231,16 @@ def test_known_repeats_are_dealt_evenly():
     cut = pa.Table.from_batches(cut_and_matched([(i, line) for i in range(2000)], 16)).to_pylist()
     known = {r["p"]: sum(r["known"]) for r in cut}
     assert len(known) == 16 and max(known.values()) < 2 * min(known.values())
+
+
+def test_shuffle_of_the_stored_table_goes_at_once(spark, monkeypatch):
+    seen, stored = [], S.stored
+
+    def watched(*given):
+        seen.append(spark.conf.get(S.FILE_CLEANUP))
+        return stored(*given)
+
+    monkeypatch.setattr(S, "stored", watched)
+    before = spark.conf.get(S.FILE_CLEANUP)
+    S.repeats_report(table(spark, awkward()))
+    assert seen == ["true"] and spark.conf.get(S.FILE_CLEANUP) == before
